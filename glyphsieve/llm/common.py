@@ -23,6 +23,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -58,3 +65,19 @@ def bounded(df: DataFrame, rows: int) -> bool:
 def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     """df with a broadcast hint if its counted size is within the bound, else as it is (shuffled join)."""
     return F.broadcast(df) if bounded(df, rows) else df
+
+
+def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
+    """df.mapInArrow(fn), with this package's folder on the workers' path."""
+    here = __file__.rsplit("/", 3)[0]
+    env = df.sparkSession.sparkContext.environment
+    if here not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(p for p in (here, env.get("PYTHONPATH", "")) if p)
+    return df.mapInArrow(fn, schema)
+
+
+def small_batches(batches, rows: int = 256):
+    """Arrow batches cut into slices, so that what Python holds at once stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

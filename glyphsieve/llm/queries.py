@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, sharding
-from .common import documents
+from . import decontaminate, quality, sharding, token_counts, token_files, transducer
+from .common import documents, tokenizer
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +17,29 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(documents(spark, sf_dir))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(documents(spark, sf_dir), tokenizer(token_files.MODEL))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.digest(documents(spark, sf_dir), tokenizer(quality.MODEL))
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.digest(documents(spark, sf_dir), tokenizer(token_counts.MODEL))
+
+
+def op10_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.digest(documents(spark, sf_dir), tokenizer(transducer.MODEL))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op3_token_files": op3_token_files,
+    "op4_quality": op4_quality,
+    "op6_token_counts": op6_token_counts,
     "op7_shards": op7_shards,
+    "op10_transducer": op10_transducer,
 }
 
 SQL: dict[str, str] = {}
