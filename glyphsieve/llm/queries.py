@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, sharding, token_counts, token_files, transducer
+from . import decontaminate, quality, sharding, simhash, token_counts, token_files, transducer
 from .common import documents, tokenizer
 
 
@@ -17,6 +17,10 @@ def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(documents(spark, sf_dir))
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.digest(documents(spark, sf_dir))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(documents(spark, sf_dir), tokenizer(token_files.MODEL))
 
@@ -35,6 +39,7 @@ def op10_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
     "op6_token_counts": op6_token_counts,
