@@ -73,7 +73,7 @@ def read_at(content, offset: int) -> tuple[bytes, int]:
 class WordCache(Bounded):
     """White-space-free chunk to packed ids. Chunks are encoded alone: the tokenizer drops white space before it splits.
 
-    A chunk in ASCII is looked up in lower case, and its last full stop or comma after a
+    A chunk in Latin-1 (where lower case and composition are by character) is looked up in lower case, and its last full stop or comma after a
     letter apart, as the tokenizer's own normaliser and splitter do.
     """
 
@@ -82,7 +82,11 @@ class WordCache(Bounded):
 
         super().__init__({"": b""})
         self.tokenizer = Tokenizer.from_file(path)
-        self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
+        vocabulary = self.tokenizer.get_vocab()
+        self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
+        self.kind = "<u2" if self.width == 2 else "<u4"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     def make(self, chunk: str) -> bytes:
         low, end = self.base(chunk)
@@ -90,23 +94,32 @@ class WordCache(Bounded):
 
     @staticmethod
     def base(chunk: str) -> tuple[str, str]:
-        if not chunk.isascii() or "<" in chunk:
+        if "<" in chunk or not (chunk.isascii() or max(chunk) < "\u0100"):
             return chunk, ""
         low = chunk.lower()
         return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".,;:?!" and low[-2].isalpha() else (low, "")
 
     def pack(self, ids) -> bytes:
-        return np.array(ids, "<u2" if self.width == 2 else "<u4").tobytes()
+        return np.array(ids, self.kind).tobytes()
 
     def encode(self, chunk: str) -> bytes:
         return self.pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
 
     def fill(self, chunks: set[str]) -> None:
-        """Encode what is missing in one call."""
+        """Encode what is missing in one call.
+
+        Words of letters alone are encoded as one text, word by word between spaces, and
+        cut apart after each id that ends a word.
+        """
         lack = {self.base(c)[0] for c in chunks if c not in self and c not in self.old}
         lack = [c for c in lack if len(c) <= self.chars and c not in self and c not in self.old]
-        for c, e in zip(lack, self.tokenizer.encode_batch_fast(lack, add_special_tokens=False), strict=True):
-            self[c] = self.pack(e.ids)
+        plain = [c for c in lack if c.isalpha() and max(c) < "\u0100"]
+        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, self.kind)
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist() if plain else []
+        raw, at = ids.tobytes(), 0
+        for c, end in zip(plain, cuts, strict=True):
+            self[c] = raw[at:end]
+            at = end
 
 
 @lru_cache(maxsize=1)
