@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, quality, sharding, simhash, token_counts, token_files, transducer
+from . import decontaminate, licences, quality, sharding, simhash, token_counts, token_files, transducer
 from .common import documents, tokenizer
 
 
@@ -29,6 +29,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digest(documents(spark, sf_dir), tokenizer(quality.MODEL))
 
 
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.digest(documents(spark, sf_dir))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(documents(spark, sf_dir), tokenizer(token_counts.MODEL))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op2_simhash": op2_simhash,
     "op3_token_files": op3_token_files,
     "op4_quality": op4_quality,
+    "op5_licences": op5_licences,
     "op6_token_counts": op6_token_counts,
     "op7_shards": op7_shards,
     "op10_transducer": op10_transducer,
