@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licences, pii, quality, sharding, simhash, token_counts, token_files, transducer
+from . import decontaminate, licences, pii, quality, repeats, sharding, simhash, token_counts, token_files, transducer
 from .common import documents, tokenizer
 
 
@@ -37,6 +37,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.digest(documents(spark, sf_dir), tokenizer(token_counts.MODEL))
 
 
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(documents(spark, sf_dir))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(documents(spark, sf_dir))
 
@@ -53,6 +57,7 @@ QUERIES = {
     "op5_licences": op5_licences,
     "op6_token_counts": op6_token_counts,
     "op7_shards": op7_shards,
+    "op8_repeats": op8_repeats,
     "op9_pii": op9_pii,
     "op10_transducer": op10_transducer,
 }
