@@ -38,11 +38,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, shared_dir
+from .common import mapped, shared_dir, written
 
 SPAN, GRAM = 50, 24
 #: Text bytes of a block and of the pieces that are hashed at once; keys a bucket is planned for; runs that make a key hot; bytes of a suffix array.
-BLOCK, PIECE, BUCKET_KEYS, HOT, POOL = 24 << 20, 1 << 20, 2_000_000, 4096, 1 << 20
+BLOCK, PIECE, BUCKET_KEYS, HOT, POOL = 8 << 20, 1 << 20, 2_000_000, 4096, 1 << 20
 NULL_ID = (1 << 63) - 1
 LOW = 32
 
@@ -363,7 +363,7 @@ def _cut(raw, offsets: np.ndarray, doc_ids: np.ndarray, answers: dict[int, bytes
 
 
 def _segments(blocks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
-    """Two kinds of rows: state (block, bucket -1, body) and the segments sent (block, bucket, body)."""
+    """Two kinds of rows (block, bucket, body): the segments sent to a bucket, and under a bucket below 0 the block's own state."""
     gathered = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     # A block's answers are bounded by its size; the blocks stay where they are bucketed.
     joined = blocks.select("block", "body").join(gathered.hint("shuffle_hash"), "block", "left")
@@ -378,7 +378,7 @@ def _segments(blocks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
                 positions[number] = count
                 sent = np.flatnonzero(out)
                 sent = sent[np.argsort(seg_id[sent], kind="stable")]
-                rows = [(-1, pack(start.astype(np.uint32), count.astype(np.uint32), number.astype(np.uint32), whole, sent.astype(np.uint32), positions.astype(np.uint32), seg_id[sent]))]
+                rows = [(-1 - block, pack(start.astype(np.uint32), count.astype(np.uint32), number.astype(np.uint32), whole, sent.astype(np.uint32), positions.astype(np.uint32), seg_id[sent]))]
                 for bucket, a, b in _by_bucket(seg_id[sent], bits):
                     own = sent[a:b]
                     rows.append((bucket, pack(seg_id[own], positions[own].astype(np.uint32), least[own], b"".join(segments[j] for j in own.tolist()))))
@@ -428,8 +428,13 @@ def settle(ids: np.ndarray, positions: np.ndarray, owners: np.ndarray, text: byt
 
 
 def _settled(sent: DataFrame, parts: int) -> DataFrame:
+    """(block, bucket, bits): a flag for each position of the segments sent; the blocks' states as they are."""
+
     def run(batches):
         for bucket, rows in _grouped(batches):
+            if bucket < 0:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0][1]]), pa.array([bucket]), pa.array([rows[0][2]], pa.binary())], names=["block", "bucket", "bits"])
+                continue
             ids, positions, owners, texts = [], [], [], []
             for _, _, body in rows:
                 i, p, o, t = unpack(body)
@@ -474,7 +479,7 @@ def spans(at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _removed(blocks: DataFrame, state: DataFrame, answers: DataFrame, bits: int, texts: bool) -> DataFrame:
     gathered = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
-    side = state.select("block", F.col("body").alias("state")).join(gathered, "block", "left")
+    side = state.select("block", F.col("bits").alias("state")).join(gathered, "block", "left")
     joined = blocks.select("block", "body").join(side.hint("shuffle_hash"), "block", "left")
     last = "kept_text binary" if texts else "kept_sha256 string"
 
@@ -517,11 +522,9 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     buckets = max(4 * parts, int(total * 2 / (SPAN - GRAM + 2) / BUCKET_KEYS))
     bits = max(1, (buckets - 1).bit_length())
     answers = _shared_keys(_keys_of_blocks(blocks, bits), parts)
-    path = f"{shared_dir(spark).rstrip('/')}/glyphsieve/segments-{uuid.uuid4().hex}"
-    _segments(blocks, answers, bits).withColumn("kind", F.when(F.col("bucket") < 0, "state").otherwise("sent")).write.partitionBy("kind").parquet(path)
-    held = spark.read.schema("block bigint, bucket bigint, body binary, kind string").parquet(path)
-    sent = held.filter("kind = 'sent'").select("bucket", "block", "body")
-    return _removed(blocks, held.filter("kind = 'state'"), _settled(sent, parts), bits, texts)
+    sent = _segments(blocks, answers, bits).select("bucket", "block", "body")
+    held = written(_settled(sent, parts), "settled")
+    return _removed(blocks, held.filter("bucket < 0"), held.filter("bucket >= 0"), bits, texts)
 
 
 def digest(docs: DataFrame) -> DataFrame:
