@@ -74,64 +74,78 @@ class Transducer:
             self.pair_ok[key] = ok
         return ok
 
+    def stands(self, piece: int) -> bool:
+        """Whether merging a piece's own characters gives the piece."""
+        key = piece << 32 | 0xFFFFFFFF
+        ok = self.pair_ok.get(key)
+        if ok is None:
+            text = self.pieces.text[piece]
+            ok = self.pair_ok[key] = self.merged(text) == [text]
+        return ok
+
     # -- composition and shortest path -------------------------------------------------
 
-    def arcs(self, token: str, i: int):
-        """(end, id) of the pieces that start at i; UNKNOWN for a character that no piece holds."""
-        node, j, n = self.root.get(token[i]), i + 1, len(token)
+    def arcs(self, token: str, i: int) -> list[tuple[int, int]]:
+        """(end, id) of the pieces that start at i, longest first; UNKNOWN for a character that no piece holds."""
+        node, j, n, out = self.root.get(token[i]), i + 1, len(token), []
         if node is None:
-            yield j, UNKNOWN
-            return
-        while node is not None:
-            if "" in node:
-                yield j, node[""]
-            if j == n:
-                return
-            node = node.get(token[j])
+            return [(j, UNKNOWN)]
+        while True:
+            piece = node.get("")
+            if piece is not None:
+                out.append((j, piece))
+            node = node.get(token[j]) if j < n else None
+            if node is None:
+                out.reverse()
+                return out
             j += 1
 
     def path(self, token: str) -> list[int]:
-        states = self._unigram(token) if self.pieces.unigram else self._bpe(token)
         out: list[int] = []
-        at = len(token), min(states[len(token)], key=lambda s: (states[len(token)][s][0], s))
-        while at[0]:
-            _, back = states[at[0]][at[1]]
-            out[:0] = [at[1]] if at[1] != UNKNOWN else [self.pieces.byte_id[b] for b in token[back[0] : at[0]].encode()]
-            at = back
+        at = 0
+        for end, piece in self._unigram(token) if self.pieces.unigram else self._bpe(token):
+            out += [piece] if piece != UNKNOWN else [self.pieces.byte_id[b] for b in token[at:end].encode()]
+            at = end
         return out
 
-    def _bpe(self, token: str) -> list[dict]:
-        """For each position the last ids with a finite path to it: (weight, previous state)."""
-        states: list[dict] = [{} for _ in range(len(token) + 1)]
-        states[0][UNKNOWN] = (0.0, None)
-        joins = self.joins
-        for i in range(len(token)):
-            here = states[i]
-            if not here:
-                continue
-            for j, piece in self.arcs(token, i):
-                if piece in states[j]:
+    def _bpe(self, token: str) -> list[tuple[int, int]]:
+        """The arcs of the path of weight 0: depth first through the states (place, last id), each entered once."""
+        n, joins, closed = len(token), self.joins, set()
+        held, at, last = [], 0, UNKNOWN
+        stack = [iter(self.arcs(token, 0))]
+        while True:
+            for end, piece in stack[-1]:
+                if (end, piece) in closed:
                     continue
-                for last in here:
-                    if last == UNKNOWN or piece == UNKNOWN or joins(last, piece):
-                        states[j][piece] = (0.0, (i, last))
-                        break
-        return states
-
-    def _unigram(self, token: str) -> list[dict]:
-        states: list[dict] = [{} for _ in range(len(token) + 1)]
-        states[0][UNKNOWN] = (0.0, None)
-        scores = self.pieces.scores
-        worst = 10.0 - min(scores.values(), default=0.0)
-        for i in range(len(token)):
-            if not states[i]:
-                continue
-            last, (weight, _) = min(states[i].items(), key=lambda s: s[1][0])
-            for j, piece in self.arcs(token, i):
-                total = weight + (worst if piece == UNKNOWN else -scores[piece])
-                if not states[j] or total < min(w for w, _ in states[j].values()):
-                    states[j] = {piece: (total, (i, last))}
-        return states
+                if (end < n or self.stands(piece)) if at == 0 and piece != UNKNOWN else last == UNKNOWN or piece == UNKNOWN or joins(last, piece):
+                    closed.add((end, piece))
+                    held.append((end, piece))
+                    if end == n:
+                        return held
+                    at, last = end, piece
+                    stack.append(iter(self.arcs(token, end)))
+                    break
+            else:
+                stack.pop()
+                held.pop()
+                at, last = held[-1] if held else (0, UNKNOWN)
+
+    def _unigram(self, token: str) -> list[tuple[int, int]]:
+        """The arcs of the path of least weight, by relaxing the positions in order."""
+        scores, n = self.pieces.scores, len(token)
+        unknown = 10.0 - min(scores.values(), default=0.0)
+        best: list = [(0.0, 0, UNKNOWN)] + [None] * n
+        for i in range(n):
+            if best[i] is not None:
+                for end, piece in self.arcs(token, i):
+                    total = best[i][0] + (unknown if piece == UNKNOWN else -scores[piece])
+                    if best[end] is None or total < best[end][0]:
+                        best[end] = (total, i, piece)
+        out = []
+        while n:
+            out.append((n, best[n][2]))
+            n = best[n][1]
+        return out[::-1]
 
     # -- texts ---------------------------------------------------------------------------
 
