@@ -52,6 +52,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Column of numbered_rows().
+ROW = "__row"
+
+
+def numbered_rows(docs: DataFrame) -> DataFrame:
+    """docs with a number for each row, written once so that it stays the same."""
+    return written(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def ascii_lower(text: Column) -> Column:
     """A-Z to a-z and nothing else; pure ASCII texts take the JVM's byte-wise lower()."""
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))

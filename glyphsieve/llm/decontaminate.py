@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD_BREAK, ascii_lower, maybe_broadcast, written
+from .common import ROW, WORD_BREAK, ascii_lower, maybe_broadcast, numbered_rows, written
 
 WINDOW = 10
 #: Broadcast bounds in rows, checked by counting; above them the same joins shuffle.
@@ -134,3 +134,11 @@ def digest(found: DataFrame) -> DataFrame:
         "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", "item_ids").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of docs, all columns, in which no benchmark window occurs."""
+    rows = numbered_rows(docs)
+    found = decontaminate(rows.select(F.col(ROW).alias("doc_id"), "text"), benchmark, size)
+    gone = written(found.filter("n_hit > 0").select(F.col("doc_id").alias(ROW)), "contaminated")
+    return rows.join(maybe_broadcast(gone, KEY_ROWS), ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import mapped, small_batches, written
+from .common import ROW, mapped, maybe_broadcast, numbered_rows, small_batches, written
 
 #: Fixed by the contract: the base kinds in their order, and their patterns.
 KINDS = ["email", "ip", "card", "phone"]
@@ -43,6 +43,8 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+][A-Za-z0-9._+/-]{4,126}[A-Za-z0-9]")
 CUE = re.compile(r"([^\W\d_]{1,32})([ \t\"'=:#(]{0,6})\Z")
 NEAR = 40
 ROUNDS, ACCEPT, SUPPORT = 3, 0.8, 3
+#: Rows with spans up to which they are broadcast, checked by counting.
+SPAN_ROWS = 100_000
 #: Characters looked at for an e-mail's local part at a time.
 STEP = 256
 
@@ -178,13 +180,8 @@ def extract(docs: DataFrame) -> DataFrame:
     return joined.select("key", "doc_id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """docs with a row number of its own, written once so that it stays the same."""
-    return written(docs.withColumn("key", F.monotonically_increasing_id()), "pii-rows")
-
-
 def digest(docs: DataFrame) -> DataFrame:
-    found = extract(keyed(docs.select("doc_id", "text")))
+    found = extract(numbered_rows(docs.select("doc_id", "text")).withColumnRenamed(ROW, "key"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
@@ -192,9 +189,9 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame) -> DataFrame:
     """docs, all columns, with every span of text replaced by its kind in angle brackets (overlapping spans become one)."""
-    rows = keyed(docs)
-    spans = extract(rows).filter("size(spans) > 0").select("key", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("__spans"))
-    joined = rows.join(spans, "key", "left").drop("key")
+    rows = numbered_rows(docs)
+    spans = extract(rows.select(F.col(ROW).alias("key"), "doc_id", "text")).filter("size(spans) > 0").select("key", F.transform("spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))).alias("__spans"))
+    joined = rows.join(maybe_broadcast(spans.withColumnRenamed("key", ROW), SPAN_ROWS), ROW, "left").drop(ROW)
     names = docs.columns
     at, marks = names.index("text"), len(names)
 

@@ -127,23 +127,28 @@ def fertility(path: str, text: str) -> tuple:
     return n, len(text) / n, float(np.count_nonzero(fallback[ids])) / n, float(max(0.0, -(p * np.log2(p)).sum()))
 
 
+def figures(doc_ids, texts, path: str) -> list[pa.Array]:
+    """The columns of SCHEMA."""
+    rows = []
+    for doc_id, cell in zip(doc_ids.to_pylist(), texts, strict=True):
+        text = cell.as_py() or ""
+        raw = text.encode()
+        words = raw.split()
+        rows.append((
+            doc_id, len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicate_lines(raw), repeated_words(words),
+            *fertility(path, text), script(text),
+        ))
+    kinds = [pa.int64()] * 7 + [pa.float64()] * 3 + [pa.string()]
+    return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+
+
 def measure(docs: DataFrame, path: str) -> DataFrame:
     """doc_id with all figures."""
+    names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches):
         for batch in small_batches(batches):
-            rows = []
-            for doc_id, cell in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = cell.as_py() or ""
-                raw = text.encode()
-                words = raw.split()
-                rows.append((
-                    doc_id, len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicate_lines(raw), repeated_words(words),
-                    *fertility(path, text), script(text),
-                ))
-            kinds = [pa.int64()] * 7 + [pa.float64()] * 3 + [pa.string()]
-            names = [f.split()[0] for f in SCHEMA.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays(figures(batch.column(0), batch.column(1), path), names=names)
 
     return mapped(docs.select("doc_id", "text"), run, SCHEMA)
 
@@ -161,3 +166,19 @@ def judged(measured: DataFrame, bands: dict[str, tuple[float, float, float, floa
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
     return judged(measure(docs, path))
+
+
+def keep(docs: DataFrame, path: str) -> DataFrame:
+    """The rows of docs that are kept, all columns."""
+    names = docs.columns
+    held = [f"__c{i}" for i in range(len(names))]
+    at = names.index("doc_id"), names.index("text")
+    own = [f.split()[0] for f in SCHEMA.split(", ")]
+
+    def run(batches):
+        for batch in small_batches(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *figures(batch.column(at[0]), batch.column(at[1]), path)], names=[*held, *own])
+
+    fields = ", ".join(f"`{h}` {f.dataType.simpleString()}" for h, f in zip(held, docs.schema, strict=True))
+    out = judged(mapped(docs.toDF(*held), run, f"{fields}, {SCHEMA}")).filter("kept")
+    return out.select(*[F.col(h).alias(n) for h, n in zip(held, names, strict=True)])

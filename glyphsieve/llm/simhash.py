@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import mapped, small_batches, written
+from .common import ROW, mapped, maybe_broadcast, numbered_rows, small_batches, written
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SHARD_NODES = 4096
@@ -43,6 +43,8 @@ SHARD_NODES = 4096
 NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_WORDS, GROUP, GROUPS = 5, 0.8, 4, 4, 16
 #: Nodes a tree of near_duplicates holds; later rows of the shard are searched for, and kept only if they join nothing.
 TREE_NODES = 50_000
+#: Rows up to which a list of removed rows is broadcast, checked by counting.
+GONE_ROWS = 1_000_000
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
 
 
@@ -376,3 +378,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = mapped(nodes.repartition(parts, "key").sortWithinPartitions("key"), run, "a binary, b binary")
     return classes(prints.select("doc_id", "fp"), found)
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """docs, all columns, with one row of each class of near duplicates: the smallest doc_id, nulls last, then the first row."""
+    rows = numbered_rows(docs)
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
+    found = written(found.join(rows.select(ROW, "doc_id"), ROW), "near-classes")
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("best"), F.count("*").alias("n")).filter("n > 1")
+    gone = found.join(best.select("component_id", F.col(f"best.{ROW}").alias("stays")), "component_id").filter(F.col(ROW) != F.col("stays")).select(ROW)
+    gone = written(gone, "near-gone")
+    return rows.join(maybe_broadcast(gone, GONE_ROWS), ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
