@@ -2,7 +2,7 @@
 
 No piece of the vocabulary holds certain neighbouring characters; no merge or path can
 then join them, so a text falls apart there and its pre-tokens can be encoded once and
-kept. `PieceModel.split` cuts at spaces and line feeds, `PieceModel.factors` at every
+kept. `PieceModel.prepare` cuts at spaces and line feeds, `PieceModel.factors` at every
 other pair that occurs in no piece. Both are exact for identity normalisers with a dummy
 prefix; a model with another normaliser is refused.
 """
@@ -12,10 +12,17 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
+from pyarrow.compute import split_pattern as pc_split
+
 SPACE = "▁"
 #: Entries a worker keeps before it starts anew, and the longest pre-token that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 350_000, 48
 _RUNS = re.compile(" {2,}")
+#: Signs that end words, and one of them after anything but a letter or digit of Latin-1.
+_STOPS = ".,"
+_ODD_STOP = re.compile("[.,](?<![0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff][.,])")
 
 
 @lru_cache(maxsize=2)
@@ -44,19 +51,24 @@ class PieceModel:
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        # A stop can be cut off after letters if no piece has the two side by side.
+        self.stops = not any(p[1] in _STOPS and p[0].isalnum() and p[0] < "\u0100" for p in self.pairs)
         if any("\n" in p or p.find(SPACE, len(p) - len(p.lstrip(SPACE))) >= 0 for p in self.ids):
             raise ValueError("a piece crosses a space or line feed")
 
-    def split(self, text: str) -> list[str]:
-        """Pre-tokens: an optional run of the space mark and what follows, or a line feed; '' may occur and means nothing."""
+    def prepare(self, text: str) -> str:
+        """The pre-tokens, parted by spaces: an optional run of the space mark and what follows, or a line feed; '' may occur and means nothing."""
         if not text:
-            return []
+            return ""
         text = text.replace(SPACE, " ") if SPACE in text else text
         if "  " in text or text[0] == " ":
             # Marks of a run stay together with the word after it.
             text = _RUNS.sub(lambda m: " " + SPACE * (len(m[0]) - 1), " " + text)
-            return text.replace(" ", " " + SPACE).replace("\n", " \n ").split(" ")
-        return (SPACE + text.replace(" ", " " + SPACE).replace("\n", " \n ")).split(" ")
+            return text.replace(" ", " " + SPACE).replace("\n", " \n ")
+        text = text.replace(" ", " " + SPACE).replace("\n", " \n ")
+        if self.stops and not _ODD_STOP.search(text):
+            text = text.replace(".", " .").replace(",", " ,")
+        return SPACE + text
 
     def factors(self, token: str) -> list[str]:
         """A pre-token cut at each pair of characters that no piece holds."""
@@ -86,18 +98,31 @@ class Bounded(dict):
         value = self.old.get(token)
         if value is None:
             value = self.make(token)
-            if len(token) > self.chars:
-                return value
-        if len(self) >= self.entries + len(self.fixed):
-            self.old = dict(self)
-            self.clear()
-            self.update(self.fixed)
-        self[token] = value
+        self.keep(token, value)
         return value
 
+    def keep(self, token: str, value) -> None:
+        if len(token) <= self.chars:
+            if len(self) >= self.entries + len(self.fixed):
+                self.old = dict(self)
+                self.clear()
+                self.update(self.fixed)
+            self[token] = value
+
     def make(self, token: str):
         raise NotImplementedError
 
+    def prefetch(self, tokens: list[str]) -> None:
+        """A chance to make many at once."""
+
+    def all(self, tokens: list[str]) -> list:
+        values = list(map(self.get, tokens))
+        lack = [i for i, v in enumerate(values) if v is None]
+        self.prefetch([tokens[i] for i in lack])
+        for i in lack:
+            values[i] = self[tokens[i]]
+        return values
+
 
 class Cache(Bounded):
     """Pre-token to value: from its factors' values if there are several, else by `encode`."""
@@ -109,3 +134,65 @@ class Cache(Bounded):
     def make(self, token: str):
         parts = self.pieces.factors(token)
         return self.join([self[p] for p in parts]) if len(parts) > 1 else self.encode(token)
+
+
+# -- whole batches ----------------------------------------------------------------------------
+
+#: Text bytes that are worked on at once, and characters of a part of a longer text.
+BATCH_BYTES, PART_CHARS = 8 << 20, 2 << 20
+
+
+def sized_batches(batches, column: int):
+    """Arrow batches cut where their texts reach BATCH_BYTES."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < batch.num_rows:
+            base = ends[at - 1] if at else 0
+            upto = max(at + 1, int(np.searchsorted(ends, base + BATCH_BYTES, "right")))
+            yield batch.slice(at, upto - at)
+            at = upto
+
+
+def dealt(prepared: list[str]):
+    """(distinct chunks, number of each chunk in order, ends of the texts) of space-parted texts.
+
+    Splitting and numbering run in compiled code, so Python sees each distinct chunk of a batch
+    once. Longer texts are cut at spaces first.
+    """
+    parts, owners = [], []
+    for text in prepared:
+        at = 0
+        while len(text) - at > PART_CHARS and (cut := text.find(" ", at + PART_CHARS)) >= 0:
+            parts.append(text[at:cut])
+            at = cut + 1
+        parts.append(text[at:] if at else text)
+        owners.append(len(parts))
+    words = pc_split(pa.array(parts, pa.large_string()), " ")
+    coded = words.values.dictionary_encode() if len(parts) else pa.array([], pa.large_string()).dictionary_encode()
+    ends = words.offsets.to_numpy()[np.array(owners, np.int64)] if owners else np.empty(0, np.int64)
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy(), ends
+
+
+def counted(prepared: list[str], look) -> np.ndarray:
+    """The sum over each text of its chunks' numbers. look: distinct chunks to their numbers."""
+    chunks, which, ends = dealt(prepared)
+    values = np.array(look(chunks), np.int64)
+    sums = np.concatenate([[0], np.cumsum(values[which])])
+    return np.diff(np.concatenate([[0], sums[ends]]))
+
+
+def encoded(prepared: list[str], look, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts one after another, and each text's first place among them and the end. look: distinct chunks to their packed ids."""
+    chunks, which, ends = dealt(prepared)
+    values = look(chunks)
+    width = np.dtype(kind).itemsize
+    sizes = np.fromiter(map(len, values), np.int64, len(values)) // width
+    flat = np.frombuffer(b"".join(values), kind)
+    starts = np.cumsum(sizes) - sizes
+    n = sizes[which]
+    places = np.concatenate([[0], np.cumsum(n)])
+    ids = flat[np.repeat((starts[which] - places[:-1]).astype(np.int32), n) + np.arange(places[-1], dtype=np.int32)] if places[-1] < 1 << 31 else flat[np.repeat(starts[which] - places[:-1], n) + np.arange(places[-1])]
+    return ids, np.concatenate([[0], places[ends]])

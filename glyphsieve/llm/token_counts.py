@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped
-from .pieces import SPACE, Cache, model
+from .pieces import SPACE, Cache, counted, model, sized_batches
 
 MODEL, LIMIT = "piece_bpe_32k.model", 4096
 
@@ -44,10 +44,9 @@ def count(docs: DataFrame, path: str, text: str = "text", column: str = "n_token
 
     def run(batches):
         cache = _counter(path, table)
-        split, look = cache.pieces.split, cache.__getitem__
-        for batch in batches:
-            # cache[x] through map(): misses go to __missing__.
-            counts = [sum(map(look, split(t.as_py() or ""))) for t in batch.column(at)]
+        prepare = cache.pieces.prepare
+        for batch in sized_batches(batches, at):
+            counts = counted([prepare(t or "") for t in batch.column(at).to_pylist()], cache.all)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
