@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-from .common import mapped, shared_dir, small_batches, written  # noqa: E402
-from .pieces import Bounded  # noqa: E402
+from .common import mapped, shared_dir, written  # noqa: E402
+from .pieces import Bounded, encoded, sized_batches  # noqa: E402
 
 MODEL, END_ID = "word_bpe_49k.json", 1
 #: Text bytes a file is planned for; ids of two bytes take less than that.
@@ -70,12 +70,29 @@ def read_at(content, offset: int) -> tuple[bytes, int]:
     return payload, offset + HEAD + n + TAIL
 
 
-class WordCache(Bounded):
-    """White-space-free chunk to packed ids. Chunks are encoded alone: the tokenizer drops white space before it splits.
+#: Two signs side by side, which the tokenizer would keep together.
+_SIGNS = re.compile(r"[^\w\s](?=[^\w\s])")
+#: A word of lower-case ASCII letters and the signs after it, which the tokenizer parts there.
+_ENDED = re.compile(r"([a-z]+)([!-&(-/:-;=-@\[-^`{-~]+)")
+
 
-    A chunk in Latin-1 (where lower case and composition are by character) is looked up in lower case, and its last full stop or comma after a
-    letter apart, as the tokenizer's own normaliser and splitter do.
+def prepare(text: str) -> str:
+    """Parts of a text that the tokenizer encodes alone, parted by spaces; '' may occur and means nothing.
+
+    It drops white space before it splits, so spaces and line feeds always part. In Latin-1
+    lower case and composition are by character; where no two signs touch, a full stop or
+    comma is always a part of its own.
     """
+    text = text.replace("\n", " ")
+    if "<" not in text and (text.isascii() or max(text) < "\u0100"):
+        text = text.lower()
+        if not _SIGNS.search(text):
+            text = text.replace(".", " .").replace(",", " ,")
+    return text
+
+
+class WordCache(Bounded):
+    """Chunk to packed ids."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -88,34 +105,26 @@ class WordCache(Bounded):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
+        # Words in lower case need no normaliser and no splitter but spaces.
+        from tokenizers import pre_tokenizers
+
+        self.bare = Tokenizer.from_file(path)
+        self.bare.normalizer = None
+        self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
     def make(self, chunk: str) -> bytes:
-        low, end = self.base(chunk)
-        return self[low] + self[end] if end else self[low] if low != chunk else self.encode(chunk)
-
-    @staticmethod
-    def base(chunk: str) -> tuple[str, str]:
-        if "<" in chunk or not (chunk.isascii() or max(chunk) < "\u0100"):
-            return chunk, ""
-        low = chunk.lower()
-        return (low[:-1], low[-1]) if len(low) > 1 and low[-1] in ".,;:?!" and low[-2].isalpha() else (low, "")
-
-    def pack(self, ids) -> bytes:
-        return np.array(ids, self.kind).tobytes()
-
-    def encode(self, chunk: str) -> bytes:
-        return self.pack(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
-
-    def fill(self, chunks: set[str]) -> None:
-        """Encode what is missing in one call.
-
-        Words of letters alone are encoded as one text, word by word between spaces, and
-        cut apart after each id that ends a word.
-        """
-        lack = {self.base(c)[0] for c in chunks if c not in self and c not in self.old}
-        lack = [c for c in lack if len(c) <= self.chars and c not in self and c not in self.old]
-        plain = [c for c in lack if c.isalpha() and max(c) < "\u0100"]
-        ids = np.array(self.tokenizer.encode(" ".join(plain), add_special_tokens=False).ids, self.kind)
-        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist() if plain else []
+        ended = _ENDED.fullmatch(chunk)
+        if ended:
+            return self[ended[1]] + self[ended[2]]
+        return np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.kind).tobytes()
+
+    def prefetch(self, wanted: list[str]) -> None:
+        """Words of letters alone are encoded many in one text, whose ids are cut apart after each that ends a word."""
+        plain = [c for c in wanted if c not in self.old and len(c) <= self.chars and c.isalpha() and max(c) < "\u0100" and c == c.lower()]
+        lines = [" ".join(plain[i : i + 200]) for i in range(0, len(plain), 200)]
+        found = [np.array(e.ids, self.kind) for e in self.bare.encode_batch_fast(lines, add_special_tokens=False)]
+        ids = np.concatenate([*found, np.empty(0, self.kind)])
+        cuts = ((np.flatnonzero(self.ends[ids]) + 1) * self.width).tolist()
         raw, at = ids.tobytes(), 0
         for c, end in zip(plain, cuts, strict=True):
             self[c] = raw[at:end]
@@ -137,14 +146,12 @@ def write(docs: DataFrame, path: str, model_path: str, end_id: int = END_ID) ->
 
     def run(batches):
         cache = words(model_path)
-        look, width = cache.__getitem__, cache.width
-        end = end_id.to_bytes(width, "little")
-        for batch in small_batches(batches, 128):
-            out = []
-            texts = [(text.as_py() or "").replace("\n", " ").split(" ") for text in batch.column(1)]
-            cache.fill(set().union(*texts))
-            for doc_id, chunks in zip(batch.column(0).to_pylist(), texts, strict=True):
-                out.append(frame(pack(doc_id, b"".join(map(look, chunks)) + end, width)))
+        end = end_id.to_bytes(cache.width, "little")
+        for batch in sized_batches(batches, 1):
+            texts = [prepare(t or "") for t in batch.column(1).to_pylist()]
+            ids, places = encoded(texts, cache.all, cache.kind)
+            raw, at = memoryview(ids.tobytes()), (places * cache.width).tolist()
+            out = [frame(pack(d, bytes(raw[a:b]) + end, cache.width)) for d, a, b in zip(batch.column(0).to_pylist(), at[:-1], at[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     # The line writer adds the end byte.
