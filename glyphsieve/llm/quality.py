@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mapped, small_batches
-from .pieces import Cache, model
+from .common import mapped
+from .pieces import Cache, encoded, model, sized_batches
 
 MODEL = "piece_bpe_32k.model"
 #: Fixed by the contract.
@@ -115,28 +115,32 @@ def _cache(path: str) -> tuple[Cache, np.ndarray]:
     return Cache(m, lambda t: np.array(m.encode(t), "<u2").tobytes(), b"".join), fallback
 
 
-def fertility(path: str, text: str) -> tuple:
-    """(n_tokens, chars_per_token, byte_share, entropy)."""
+def fertility(path: str, texts: list[str]) -> list[tuple]:
+    """(n_tokens, chars_per_token, byte_share, entropy) of each text; figures of no tokens are null."""
     cache, fallback = _cache(path)
-    ids = np.frombuffer(b"".join(map(cache.__getitem__, cache.pieces.split(text))), "<u2")
-    n = len(ids)
-    if not n:
-        return 0, None, None, None
-    _, counts = np.unique(ids, return_counts=True)
-    p = counts / n
-    return n, len(text) / n, float(np.count_nonzero(fallback[ids])) / n, float(max(0.0, -(p * np.log2(p)).sum()))
+    ids, ends = encoded([cache.pieces.prepare(t) for t in texts], cache.all, "<u2")
+    out = []
+    for text, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+        own = ids[a:b]
+        if a == b:
+            out.append((0, None, None, None))
+            continue
+        _, counts = np.unique(own, return_counts=True)
+        p = counts / len(own)
+        out.append((len(own), len(text) / len(own), float(np.count_nonzero(fallback[own])) / len(own), float(max(0.0, -(p * np.log2(p)).sum()))))
+    return out
 
 
 def figures(doc_ids, texts, path: str) -> list[pa.Array]:
     """The columns of SCHEMA."""
     rows = []
-    for doc_id, cell in zip(doc_ids.to_pylist(), texts, strict=True):
-        text = cell.as_py() or ""
+    plain = [t or "" for t in texts.to_pylist()]
+    for doc_id, text, fertile in zip(doc_ids.to_pylist(), plain, fertility(path, plain), strict=True):
         raw = text.encode()
         words = raw.split()
         rows.append((
             doc_id, len(words), len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), duplicate_lines(raw), repeated_words(words),
-            *fertility(path, text), script(text),
+            *fertile, script(text),
         ))
     kinds = [pa.int64()] * 7 + [pa.float64()] * 3 + [pa.string()]
     return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
@@ -147,7 +151,7 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
     names = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches):
-        for batch in small_batches(batches):
+        for batch in sized_batches(batches, 1):
             yield pa.RecordBatch.from_arrays(figures(batch.column(0), batch.column(1), path), names=names)
 
     return mapped(docs.select("doc_id", "text"), run, SCHEMA)
@@ -176,7 +180,7 @@ def keep(docs: DataFrame, path: str) -> DataFrame:
     own = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches):
-        for batch in small_batches(batches):
+        for batch in sized_batches(batches, at[1]):
             yield pa.RecordBatch.from_arrays([*batch.columns, *figures(batch.column(at[0]), batch.column(at[1]), path)], names=[*held, *own])
 
     fields = ", ".join(f"`{h}` {f.dataType.simpleString()}" for h, f in zip(held, docs.schema, strict=True))
