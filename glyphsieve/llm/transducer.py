@@ -28,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import mapped, small_batches
-from .pieces import SPACE, Cache, PieceModel, model
+from .common import mapped
+from .pieces import SPACE, Cache, PieceModel, encoded, model, sized_batches
 
 MODEL = "piece_bpe_32k.model"
 PAIR_ENTRIES = 1_000_000
@@ -162,25 +162,29 @@ def machine(path: str) -> tuple[Transducer, Cache]:
     return t, Cache(t.pieces, lambda token: np.array(t.path(token), width).tobytes(), b"".join)
 
 
-def ids_of(path: str, text: str) -> np.ndarray:
+def ids_of(path: str, texts: list[str]) -> list[np.ndarray]:
     t, cache = machine(path)
-    return np.frombuffer(b"".join(map(cache.__getitem__, t.pieces.split(text))), "<u2" if len(t.surface) < 1 << 16 else "<u4")
+    ids, ends = encoded([t.pieces.prepare(x) for x in texts], cache.all, "<u2" if len(t.surface) < 1 << 16 else "<u4")
+    return np.split(ids.astype("<i4"), ends[1:-1])
+
+
+def _columns(path: str, doc_ids, texts: list[str]) -> list:
+    """doc_id, ids, n_tokens, ids_crc32 and the decoded texts (a list)."""
+    t, _ = machine(path)
+    rows = ids_of(path, texts)
+    ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
+    ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, "<i4")])))
+    crc = pa.array([zlib.crc32(r.tobytes()) for r in rows], pa.int64())
+    return [doc_ids, ids, pa.array(np.diff(ends), pa.int64()), crc, [t.decode(r.tolist()) for r in rows]]
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32 (of ids as little-endian u32), decoded (the text of the ids)."""
 
     def run(batches):
-        t, _ = machine(path)
-        for batch in small_batches(batches, 128):
-            rows = [ids_of(path, x.as_py() or "") for x in batch.column(1)]
-            wide = [r.astype("<i4") for r in rows]
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*wide, np.empty(0, "<i4")])))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), ids, pa.array([len(r) for r in rows], pa.int64()), pa.array([zlib.crc32(w.tobytes()) for w in wide], pa.int64()), pa.array([t.decode(r.tolist()) for r in rows], pa.string())],
-                names=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded"],
-            )
+        for batch in sized_batches(batches, 1):
+            *columns, back = _columns(path, batch.column(0), [x or "" for x in batch.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(back, pa.string())], names=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded"])
 
     return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, decoded string")
 
@@ -189,20 +193,11 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
     """The ids and their digests, with what decoding gives, hashed: equal to the text's own hash when it is lossless."""
 
     def run(batches):
-        t, _ = machine(path)
-        for batch in small_batches(batches, 128):
-            texts = [x.as_py() or "" for x in batch.column(1)]
-            rows = [ids_of(path, x) for x in texts]
-            wide = [r.astype("<i4") for r in rows]
-            ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
-            back = [t.decode(r.tolist()) for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0), pa.array([len(r) for r in rows], pa.int64()), pa.array([zlib.crc32(w.tobytes()) for w in wide], pa.int64()),
-                    pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string()), pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_()),
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*wide, np.empty(0, "<i4")]))),
-                ],
-                names=["doc_id", "n_tokens", "ids_crc32", "decoded_sha256", "lossless", "ids"],
-            )
-
-    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, lossless boolean, ids array<int>")
+        for batch in sized_batches(batches, 1):
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            *columns, back = _columns(path, batch.column(0), texts)
+            hashes = pa.array([hashlib.sha256(b.encode()).hexdigest() for b in back], pa.string())
+            same = pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())
+            yield pa.RecordBatch.from_arrays([*columns, hashes, same], names=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
+
+    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, lossless boolean")
