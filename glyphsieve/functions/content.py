@@ -148,7 +148,7 @@ def first_difference(a: Column, b: Column, context: int = dims.CONTEXT_CHARS) ->
     start = F.greatest(index - context, F.lit(0))
     return F.struct(
         index.alias("index"), point(a).alias("code_point_a"), point(b).alias("code_point_b"), char(a).alias("char_a"), char(b).alias("char_b"),
-        F.substring(a, start + 1, index - start).alias("before"), F.substring(a, index + 1, F.lit(context)).alias("after"),
+        F.coalesce(F.substring(a, start + 1, index - start), F.lit("")).alias("before"), F.coalesce(F.substring(a, index + 1, F.lit(context)), F.lit("")).alias("after"),
     )
 
 

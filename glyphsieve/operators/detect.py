@@ -127,7 +127,7 @@ def diagnosed(df: DataFrame, codec: str, mode: str, out: str, content: str = "co
 
 def silent_loss(df: DataFrame) -> DataFrame:
     """Production decoding went through where strict decoding did not."""
-    return df.withColumn("silent_loss", (F.col("strict.stage") == "Decode") & F.col("production.stage").isNull())
+    return df.withColumn("silent_loss", F.coalesce(F.col("strict.stage") == "Decode", F.lit(False)) & F.col("production.stage").isNull())
 
 
 def forced_reference(df: DataFrame, reference: str, sha256: str, outcome: str, content: str = "content") -> DataFrame:

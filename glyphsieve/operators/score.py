@@ -210,7 +210,7 @@ def corpus_rollup(df: DataFrame) -> DataFrame:
 
 def by_reference(df: DataFrame) -> DataFrame:
     """A column for each outcome."""
-    return df.groupBy("ReferenceEncoding").pivot("FailureCategory", dims.OUTCOMES).agg(F.count("*")).na.fill(0)
+    return df.groupBy("ReferenceEncoding").pivot("FailureCategory", dims.OUTCOMES).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def strictness_by_page(probes: DataFrame) -> DataFrame:
