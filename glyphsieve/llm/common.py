@@ -82,7 +82,15 @@ def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
     env = df.sparkSession.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(p for p in (here, env.get("PYTHONPATH", "")) if p)
-    return df.mapInArrow(fn, schema)
+
+    def run(batches):
+        import pyarrow
+
+        yield from fn(batches)
+        # Workers outlive their tasks.
+        pyarrow.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def small_batches(batches, rows: int = 256):

@@ -18,7 +18,7 @@ from pyarrow.compute import split_pattern as pc_split
 
 SPACE = "▁"
 #: Entries a worker keeps before it starts anew, and the longest pre-token that is kept.
-CACHE_ENTRIES, CACHE_CHARS = 350_000, 48
+CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
 _RUNS = re.compile(" {2,}")
 #: Signs that end words, and one of them after anything but a letter or digit of Latin-1.
 _STOPS = ".,"
@@ -87,12 +87,25 @@ class PieceModel:
         return self.library.encode("\n" + token)[2:]
 
 
+_holders: list["Bounded"] = []
+
+
 class Bounded(dict):
     """A memo of two generations: when the young one is full it becomes the old one, whose entries come back when asked for."""
 
     def __init__(self, fixed: dict, entries: int = CACHE_ENTRIES, chars: int = CACHE_CHARS):
         super().__init__(fixed)
         self.fixed, self.entries, self.chars, self.old = fixed, entries, chars, {}
+        _holders.append(self)
+
+    def claim(self) -> "Bounded":
+        """This memo, for use now; a worker that goes from one operator to another keeps no other's entries."""
+        for other in _holders:
+            if other is not self and (len(other) > len(other.fixed) or other.old):
+                other.old = {}
+                other.clear()
+                other.update(other.fixed)
+        return self
 
     def __missing__(self, token: str):
         value = self.old.get(token)
@@ -139,7 +152,7 @@ class Cache(Bounded):
 # -- whole batches ----------------------------------------------------------------------------
 
 #: Text bytes that are worked on at once, and characters of a part of a longer text.
-BATCH_BYTES, PART_CHARS = 8 << 20, 2 << 20
+BATCH_BYTES, PART_CHARS = 4 << 20, 2 << 20
 
 
 def sized_batches(batches, column: int):

@@ -118,6 +118,7 @@ def _cache(path: str) -> tuple[Cache, np.ndarray]:
 def fertility(path: str, texts: list[str]) -> list[tuple]:
     """(n_tokens, chars_per_token, byte_share, entropy) of each text; figures of no tokens are null."""
     cache, fallback = _cache(path)
+    cache.claim()
     ids, ends = encoded([cache.pieces.prepare(t) for t in texts], cache.all, "<u2")
     out = []
     for text, a, b in zip(texts, ends[:-1].tolist(), ends[1:].tolist(), strict=True):

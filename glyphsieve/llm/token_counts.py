@@ -43,7 +43,7 @@ def count(docs: DataFrame, path: str, text: str = "text", column: str = "n_token
     at = docs.columns.index(text)
 
     def run(batches):
-        cache = _counter(path, table)
+        cache = _counter(path, table).claim()
         prepare = cache.pieces.prepare
         for batch in sized_batches(batches, at):
             counts = counted([prepare(t or "") for t in batch.column(at).to_pylist()], cache.all)

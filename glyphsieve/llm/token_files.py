@@ -145,7 +145,7 @@ def write(docs: DataFrame, path: str, model_path: str, end_id: int = END_ID) ->
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
     def run(batches):
-        cache = words(model_path)
+        cache = words(model_path).claim()
         end = end_id.to_bytes(cache.width, "little")
         for batch in sized_batches(batches, 1):
             texts = [prepare(t or "") for t in batch.column(1).to_pylist()]

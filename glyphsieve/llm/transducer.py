@@ -32,7 +32,7 @@ from .common import mapped
 from .pieces import SPACE, Cache, PieceModel, encoded, model, sized_batches
 
 MODEL = "piece_bpe_32k.model"
-PAIR_ENTRIES = 1_000_000
+PAIR_ENTRIES = 300_000
 UNKNOWN = -1
 
 
@@ -164,6 +164,7 @@ def machine(path: str) -> tuple[Transducer, Cache]:
 
 def ids_of(path: str, texts: list[str]) -> list[np.ndarray]:
     t, cache = machine(path)
+    cache.claim()
     ids, ends = encoded([t.pieces.prepare(x) for x in texts], cache.all, "<u2" if len(t.surface) < 1 << 16 else "<u4")
     return np.split(ids.astype("<i4"), ends[1:-1])
 
