@@ -26,7 +26,7 @@ REJECTED = (UnicodeError, LookupError, ValueError)
 
 
 def strip_bom(text: str) -> str:
-    return text.removeprefix("﻿")
+    return text.removeprefix("\ufeff")
 
 
 def text_sha256(text: str) -> str:
@@ -45,6 +45,8 @@ def decode_whole(data: bytes, codec: str) -> str | None:
     """V2: strict, but an unfinished sequence at the end is dropped. A BOM stays."""
     try:
         name = {"utf-8-sig": "utf-8"}.get(codec, codec)
+        if name == "utf-8" and len(data) > 1 and data[-2] == 0xED and data[-1] >= 0xA0:
+            return None  # can only become a surrogate, which the incremental decoder finds out later
         return codecs.getincrementaldecoder(name)("strict").decode(data, final=False)
     except REJECTED:
         return None
@@ -67,7 +69,7 @@ def opposite_decodes(data: bytes, codec: str) -> bool:
     """V7: the other byte order reads the bytes and does not begin with U+FFFE."""
     swapped = {"utf-16-le": "utf-16-be", "utf-16-be": "utf-16-le", "utf-32-le": "utf-32-be", "utf-32-be": "utf-32-le", "utf-16": "utf-16-be", "utf-32": "utf-32-be"}.get(codec)
     text = strict(data, swapped) if swapped else None
-    return bool(text) and text[0] != "￾"
+    return bool(text) and text[0] != "\ufffe"
 
 
 def reference_reading(data: bytes, codec: str) -> dict:
@@ -75,7 +77,7 @@ def reference_reading(data: bytes, codec: str) -> dict:
     text = strict(data, codec)
     if text is None:
         return {"verdict": "CorpusByteOrderMislabel" if opposite_decodes(data, codec) else "ReferenceDecodeError"}
-    if text[:1] == "￾":
+    if text[:1] == "\ufffe":
         return {"verdict": "CorpusByteOrderMislabel"}
     text = strip_bom(text)
     return {"text": text, "length": len(text), "sha256": text_sha256(text)}

@@ -102,7 +102,7 @@ def unchanged(before: DataFrame, after: DataFrame) -> DataFrame:
 
 def _csv(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, encoding="UTF-8", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, nullValue="\x00", emptyValue="")
-    return rows.toDF(*[c.removeprefix("﻿").strip() for c in rows.columns])
+    return rows.toDF(*[c.removeprefix("\ufeff").strip() for c in rows.columns])
 
 
 def manifest(spark: SparkSession, path: str, exact: bool = False) -> DataFrame | None:
