@@ -76,19 +76,38 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if bounded(df, rows) else df
 
 
-def mapped(df: DataFrame, fn, schema: str) -> DataFrame:
-    """df.mapInArrow(fn), with this package's folder on the workers' path."""
+#: Rows of an Arrow batch. Texts are long, and both sides of the pipe hold whole batches.
+ARROW_ROWS = "1000"
+
+
+def released() -> None:
+    """Gives unused memory back: workers outlive their tasks."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, fn, schema: str, memo: bool = False) -> DataFrame:
+    """df.mapInArrow(fn), with this package's folder on the workers' path. memo: fn uses one of the workers' memos; others drop them."""
     here = __file__.rsplit("/", 3)[0]
-    env = df.sparkSession.sparkContext.environment
+    spark = df.sparkSession
+    env = spark.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(p for p in (here, env.get("PYTHONPATH", "")) if p)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
 
     def run(batches):
-        import pyarrow
+        from glyphsieve.llm.pieces import drop_memos
 
+        if not memo:
+            drop_memos()
         yield from fn(batches)
-        # Workers outlive their tasks.
-        pyarrow.default_memory_pool().release_unused()
+        released()
 
     return df.mapInArrow(run, schema)
 

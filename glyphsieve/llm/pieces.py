@@ -90,6 +90,14 @@ class PieceModel:
 _holders: list["Bounded"] = []
 
 
+def drop_memos(but: "Bounded | None" = None) -> None:
+    for memo in _holders:
+        if memo is not but and (len(memo) > len(memo.fixed) or memo.old):
+            memo.old = {}
+            memo.clear()
+            memo.update(memo.fixed)
+
+
 class Bounded(dict):
     """A memo of two generations: when the young one is full it becomes the old one, whose entries come back when asked for."""
 
@@ -100,11 +108,7 @@ class Bounded(dict):
 
     def claim(self) -> "Bounded":
         """This memo, for use now; a worker that goes from one operator to another keeps no other's entries."""
-        for other in _holders:
-            if other is not self and (len(other) > len(other.fixed) or other.old):
-                other.old = {}
-                other.clear()
-                other.update(other.fixed)
+        drop_memos(self)
         return self
 
     def __missing__(self, token: str):

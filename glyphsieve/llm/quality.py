@@ -155,7 +155,7 @@ def measure(docs: DataFrame, path: str) -> DataFrame:
         for batch in sized_batches(batches, 1):
             yield pa.RecordBatch.from_arrays(figures(batch.column(0), batch.column(1), path), names=names)
 
-    return mapped(docs.select("doc_id", "text"), run, SCHEMA)
+    return mapped(docs.select("doc_id", "text"), run, SCHEMA, True)
 
 
 def judged(measured: DataFrame, bands: dict[str, tuple[float, float, float, float]] = BANDS) -> DataFrame:
@@ -185,5 +185,5 @@ def keep(docs: DataFrame, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *figures(batch.column(at[0]), batch.column(at[1]), path)], names=[*held, *own])
 
     fields = ", ".join(f"`{h}` {f.dataType.simpleString()}" for h, f in zip(held, docs.schema, strict=True))
-    out = judged(mapped(docs.toDF(*held), run, f"{fields}, {SCHEMA}")).filter("kept")
+    out = judged(mapped(docs.toDF(*held), run, f"{fields}, {SCHEMA}", True)).filter("kept")
     return out.select(*[F.col(h).alias(n) for h, n in zip(held, names, strict=True)])

@@ -296,7 +296,7 @@ def _dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
     return df.repartition(parts, key).sortWithinPartitions(key)
 
 
-def _shared_keys(sent: DataFrame, parts: int) -> DataFrame:
+def _shared_keys(sent: DataFrame, parts: int, most: int = HOT) -> DataFrame:
     """(block, bucket, body): a bit for each key sent: shared with another block, and one: hot."""
 
     def run(batches):
@@ -312,7 +312,7 @@ def _shared_keys(sent: DataFrame, parts: int) -> DataFrame:
             sizes = np.diff(np.append(group, len(low)))
             shared, hot = np.empty(len(low), bool), np.empty(len(low), bool)
             shared[order] = np.repeat(sizes > 1, sizes)
-            hot[order] = np.repeat(np.add.reduceat(many[order].astype(np.int64), group) >= HOT, sizes)
+            hot[order] = np.repeat(np.add.reduceat(many[order].astype(np.int64), group) >= most, sizes)
             ends = np.cumsum([0, *map(len, lows)]).tolist()
             bodies = [np.packbits(np.concatenate([shared[a:b], hot[a:b]])).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), pa.array(bodies, pa.binary())], names=["block", "bucket", "bits"])
@@ -512,7 +512,7 @@ def _removed(blocks: DataFrame, state: DataFrame, answers: DataFrame, bits: int,
     return mapped(joined, run, f"doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, {last}")
 
 
-def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, texts: bool = True, most: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and what is kept: its bytes, or their SHA-256."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -521,7 +521,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True) -> DataFrame:
     # Some 2 / (SPAN - GRAM + 2) of the positions begin a run; buckets are a power of two.
     buckets = max(4 * parts, int(total * 2 / (SPAN - GRAM + 2) / BUCKET_KEYS))
     bits = max(1, (buckets - 1).bit_length())
-    answers = _shared_keys(_keys_of_blocks(blocks, bits), parts)
+    answers = _shared_keys(_keys_of_blocks(blocks, bits), parts, most)
     sent = _segments(blocks, answers, bits).select("bucket", "block", "body")
     held = written(_settled(sent, parts), "settled")
     return _removed(blocks, held.filter("bucket < 0"), held.filter("bucket >= 0"), bits, texts)

@@ -106,10 +106,10 @@ def numbered(df: DataFrame, key: str, column: str) -> DataFrame:
     held = held.withColumns({"__pid": pid, "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
     # One row per partition, so the running sum is over a bounded table.
     counts = held.groupBy("__pid").agg(F.count("*").alias("n"))
-    run = F.expr("transform(parts, (p, i) -> struct(p.__pid AS __pid, aggregate(slice(parts, 1, i), 0L, (s, q) -> s + q.n) AS before))")
+    run = F.expr("transform(parts, (p, i) -> struct(p.__pid AS __pid, aggregate(slice(parts, 1, i), 0L, (s, q) -> s + q.n) AS __before))")
     offsets = counts.agg(F.array_sort(F.collect_list(F.struct("__pid", "n"))).alias("parts")).select(F.explode(run).alias("o")).select("o.*")
     out = held.join(F.broadcast(offsets), "__pid")
-    return out.withColumn(column, F.col("__at") + F.col("before")).drop("__id", "__pid", "__at", "before")
+    return out.withColumn(column, F.col("__at") + F.col("__before")).drop("__id", "__pid", "__at", "__before")
 
 
 def assign(df: DataFrame, key: str = "doc_id", shards: int = SHARDS, seed: int = SEED) -> DataFrame:

@@ -149,7 +149,7 @@ class BKTree:
         self.components -= len(roots) - 1
 
 
-def _groups(batches):
+def _groups(batches, limit: int = SHARD_NODES):
     """(first, key, fps) of runs of equal keys in sorted batches; a long run comes in pieces, first is False for its later ones.
 
     Runs of one row are left out. Keys and fps are compared as numpy arrays or bytes.
@@ -171,7 +171,7 @@ def _groups(batches):
                 if given or len(held) > 1:
                     yield not given, held_key, held, True
                 held_key, held, given = key, rows, False
-            if len(held) > SHARD_NODES:
+            if len(held) > limit:
                 yield not given, held_key, held, False
                 held, given = [], True
     if given or len(held) > 1:
@@ -197,7 +197,7 @@ def _shards(nodes: DataFrame) -> DataFrame:
     return nodes.select(F.explode(F.array(*keys)).alias("key"), "fp")
 
 
-def _trees(sharded: DataFrame, defer: bool) -> DataFrame:
+def _trees(sharded: DataFrame, defer: bool, limit: int = SHARD_NODES) -> DataFrame:
     """Links (a, b) of the shards; where defer holds, the rows (key as a, fp as b) of large shards instead, marked."""
 
     def run(batches):
@@ -209,7 +209,7 @@ def _trees(sharded: DataFrame, defer: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(np.full(len(a), flag))], names=["a", "b", "late"])
 
         tree = BKTree(RADIUS)
-        for first, key, fps, whole in _groups(batches):
+        for first, key, fps, whole in _groups(batches, limit):
             if first:
                 tree = BKTree(RADIUS)
             if defer and not (first and whole):
@@ -235,9 +235,9 @@ def _trees(sharded: DataFrame, defer: bool) -> DataFrame:
     return mapped(sharded.repartition(parts, "key").sortWithinPartitions("key"), run, "a bigint, b bigint, late boolean")
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, limit: int = SHARD_NODES) -> DataFrame:
     """Links (a, b) between distinct fingerprints (fp) that join all that are within radius 3."""
-    first = written(_trees(_shards(nodes), True), "simhash-links")
+    first = written(_trees(_shards(nodes), True, limit), "simhash-links")
     late = first.filter("late")
     out = first.filter("NOT late").select("a", "b")
     if late.isEmpty():

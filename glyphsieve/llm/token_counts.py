@@ -50,7 +50,7 @@ def count(docs: DataFrame, path: str, text: str = "text", column: str = "n_token
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, column])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return mapped(docs, run, f"{fields}, `{column}` bigint")
+    return mapped(docs, run, f"{fields}, `{column}` bigint", True)
 
 
 def digest(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:

@@ -155,7 +155,7 @@ def write(docs: DataFrame, path: str, model_path: str, end_id: int = END_ID) ->
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     # The line writer adds the end byte.
-    mapped(placed, run, "record binary").select(F.expr("substring(record, 1, length(record) - 1)").cast("string").alias("value")).write.text(path)
+    mapped(placed, run, "record binary", True).select(F.expr("substring(record, 1, length(record) - 1)").cast("string").alias("value")).write.text(path)
 
 
 def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:

@@ -187,7 +187,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
             *columns, back = _columns(path, batch.column(0), [x or "" for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*columns, pa.array(back, pa.string())], names=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded"])
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, decoded string")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, decoded string", True)
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
@@ -201,4 +201,4 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
             same = pa.array([a == b for a, b in zip(texts, back, strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([*columns, hashes, same], names=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded_sha256", "lossless"])
 
-    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, lossless boolean")
+    return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, decoded_sha256 string, lossless boolean", True)
