@@ -4,7 +4,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SF, same_rows
+from helpers import SF, same_rows
 
 from glyphsieve.plans import oracles, queries
 

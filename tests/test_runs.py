@@ -9,7 +9,7 @@ from glyphsieve import cli, dims
 from glyphsieve.operators import classify, compare, integrity, score
 from glyphsieve.plans import corpus as rel
 from glyphsieve.sources import catalogue, files, sinks
-from conftest import SF
+from helpers import SF
 
 
 @pytest.fixture
