@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.compute import binary_length
 from pyarrow.compute import split_pattern as pc_split
 
 SPACE = "▁"
@@ -159,18 +160,25 @@ class Cache(Bounded):
 BATCH_BYTES, PART_CHARS = 4 << 20, 2 << 20
 
 
-def sized_batches(batches, column: int):
-    """Arrow batches cut where their texts reach BATCH_BYTES."""
-    import pyarrow.compute as pc
-
+def sized_batches(batches, column: int, limit: int = BATCH_BYTES):
+    """Arrow batches joined or cut to where their texts reach the limit."""
+    held, size = [], 0
     for batch in batches:
-        ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
+        ends = np.cumsum(binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
-            upto = max(at + 1, int(np.searchsorted(ends, base + BATCH_BYTES, "right")))
-            yield batch.slice(at, upto - at)
+            upto = int(np.searchsorted(ends, base + limit - size, "right"))
+            upto = max(upto, at + 1) if not held else max(upto, at)
+            if upto > at:
+                held.append(batch.slice(at, upto - at))
+                size += int(ends[upto - 1] - base)
+            if upto < batch.num_rows:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held, size = [], 0
             at = upto
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def dealt(prepared: list[str]):

@@ -36,6 +36,8 @@ from .pieces import Bounded, encoded, sized_batches  # noqa: E402
 MODEL, END_ID = "word_bpe_49k.json", 1
 #: Text bytes a file is planned for; ids of two bytes take less than that.
 FILE_BYTES = 16 << 20
+#: Entries of a worker's memo, and text bytes that are encoded at once.
+MEMO, BATCH = 350_000, 8 << 20
 HEAD, TAIL, FIXED = 12, 5, 14
 
 
@@ -97,7 +99,7 @@ class WordCache(Bounded):
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__({"": b""}, MEMO)
         self.tokenizer = Tokenizer.from_file(path)
         vocabulary = self.tokenizer.get_vocab()
         self.width = 2 if max(vocabulary.values()) < 1 << 16 else 4
@@ -147,7 +149,7 @@ def write(docs: DataFrame, path: str, model_path: str, end_id: int = END_ID) ->
     def run(batches):
         cache = words(model_path).claim()
         end = end_id.to_bytes(cache.width, "little")
-        for batch in sized_batches(batches, 1):
+        for batch in sized_batches(batches, 1, BATCH):
             texts = [prepare(t or "") for t in batch.column(1).to_pylist()]
             ids, places = encoded(texts, cache.all, cache.kind)
             raw, at = memoryview(ids.tobytes()), (places * cache.width).tolist()
