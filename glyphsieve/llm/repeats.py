@@ -41,6 +41,8 @@ from pyspark.sql import functions as F
 from .common import mapped, shared_dir, written
 
 SPAN, GRAM = 50, 24
+#: Text bytes to a partition of segments.
+SETTLED = 8 << 20
 #: Text bytes of a block and of the pieces that are hashed at once; keys a bucket is planned for; runs that make a key hot; bytes of a suffix array.
 BLOCK, PIECE, BUCKET_KEYS, HOT, POOL = 8 << 20, 1 << 20, 2_000_000, 4096, 1 << 20
 NULL_ID = (1 << 63) - 1
@@ -523,7 +525,8 @@ def remove_repeats(docs: DataFrame, texts: bool = True, most: int = HOT) -> Data
     bits = max(1, (buckets - 1).bit_length())
     answers = _shared_keys(_keys_of_blocks(blocks, bits), parts, most)
     sent = _segments(blocks, answers, bits).select("bucket", "block", "body")
-    held = written(_settled(sent, parts), "settled")
+    # Segments grow with what is shared, so their partitions follow the bytes, not the session's setting alone.
+    held = written(_settled(sent, max(parts, total // SETTLED)), "settled")
     return _removed(blocks, held.filter("bucket < 0"), held.filter("bucket >= 0"), bits, texts)
 
 
