@@ -92,6 +92,13 @@ def oracle_verdicts(rows: DataFrame, first: str, second: str) -> DataFrame:
     return rows.withColumn("verdict", verdict)
 
 
+def hash_faults(rows: DataFrame, text: str, stored: str) -> DataFrame:
+    """Q3: rows whose stored text digest is not what the JVM computes from the text (the stored one comes from the codec layer)."""
+    from ..functions.content import text_sha256
+
+    return rows.filter(~F.col(stored).eqNullSafe(text_sha256(F.col(text))))
+
+
 def greedy_batches(items: DataFrame, budget: int = dims.BATCH_CHARS, extra: int = dims.BATCH_EXTRA) -> DataFrame:
     """Codec, path, batch: paths of a codec in order, a new batch where the next path would break the budget.
 

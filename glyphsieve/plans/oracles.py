@@ -183,4 +183,7 @@ SQL = {
     "convert_corpus": f"""WITH {DETECTED}, x AS (SELECT b.doc_id, b.h, b.v, b.text, f.actual, b.v = 10 AND b.doc_id % 24 = 10 AS named FROM b JOIN found f USING (doc_id)), y AS (SELECT *, CASE WHEN NOT named AND actual IS NULL THEN 'Skipped' WHEN named AND actual NOT IN ('ascii','legacy') THEN 'Refused' WHEN NOT named AND actual = 'legacy' THEN 'Refused' WHEN hex(encode(text)) = h THEN 'Unchanged' ELSE 'Converted' END AS status FROM x)
  SELECT doc_id, status, CASE WHEN status = 'Skipped' THEN 'EncodingNotIdentified' WHEN status <> 'Refused' THEN '' WHEN named THEN 'ExplicitSourceConflictsWithDetection' ELSE 'LegacySourceNotNamed' END AS reason, CASE WHEN status IN ('Converted','Unchanged') THEN sha256(encode(text)) END AS sha256, CASE WHEN status IN ('Converted','Unchanged') THEN true END AS identical FROM y""",
     "silent_loss": "SELECT doc_id, doc_id % 48 = 0 AS silent_loss, CASE WHEN doc_id % 48 = 0 THEN 'Decode' ELSE '' END AS stage FROM documents WHERE doc_id % 12 = 0",
+    "hash_recheck": f"WITH {CORPUS}, n AS (SELECT declared AS Corpus, count(*) AS n FROM corpus GROUP BY 1) SELECT Corpus, least(n, 150) AS n, 0::bigint AS wrong FROM n",
+    "token_faults": _values([("koi8-r", "cp1251", "koi8-r")], "ReferenceEncodingDeclared, ReferenceEncoding, itself"),
+    "text_equivalent": f"WITH {CORPUS} SELECT doc_id, v <> 0 OR regexp_full_match(h, '([0-7].)*') AS equivalent FROM corpus WHERE v IN (0, 10, 11)",
 }

@@ -356,6 +356,27 @@ def oracle_readings(s: S, d: str) -> D:
     return integrity.oracle_verdicts(rows, "first", "second").groupBy("codec", "verdict").agg(F.count("*").alias("n"))
 
 
+def hash_recheck(s: S, d: str) -> D:
+    """A sample of each declared encoding, with the digests of two implementations."""
+    names = ["utf-8", "utf-8", "utf-16-le", "utf-16-le", "utf-16-be", "utf-16-be", "utf-32-le", "utf-32-le", "utf-32-be", "utf-32-be", "iso8859-1", "ascii"]
+    rows = rel.corpus(s, d).select("doc_id", c("declared").alias("Corpus"), c("path").alias("RelativePath"), "content", "text")
+    rows = integrity.uniform_sample(rows).withColumn("codec", F.element_at(F.array(*map(F.lit, names)), (c("doc_id") % 12 + 1).cast("int")))
+    rows = detect.reference_text(rows, "codec").withColumn("stored", c("reference.sha256"))
+    wrong = integrity.hash_faults(rows, "text", "stored").select("doc_id", F.lit(True).alias("wrong"))
+    joined = rows.select("doc_id", "Corpus").join(wrong, "doc_id", "left")
+    return joined.groupBy("Corpus").agg(F.count("*").alias("n"), score.count_if(c("wrong")).alias("wrong"))
+
+
+def token_faults(s: S, d: str) -> D:
+    rows = [("utf-16-be", "utf-16"), ("utf-32-be", "utf-32"), ("koi8-r", "cp1251"), ("utf-8", "utf-8"), ("shift-jis", "shift_jis"), ("weird", "utf-8"), ("viscii", None)]
+    return integrity.token_faults(s.createDataFrame(rows, "ReferenceEncodingDeclared string, ReferenceEncoding string"))
+
+
+def text_equivalent(s: S, d: str) -> D:
+    rows = rel.corpus(s, d).filter("doc_id % 12 IN (0, 10, 11)").withColumn("other", F.lit("cp1252"))
+    return detect.text_equivalent(rows, "other", "text").select("doc_id", "equivalent")
+
+
 def greedy_batches(s: S, d: str) -> D:
     rows = rel.corpus(s, d).select(c("declared").alias("codec"), "path")
     return integrity.greedy_batches(rows, 400).groupBy("codec", "batch").agg(F.count("*").alias("n"))
@@ -370,6 +391,6 @@ QUERIES = {
         first_difference, text_identity, outcome_cascade, outcome_counts, coverage_rows, pair_summary, metadata_summary, outcome_pivot, bom_policy, text_loss_risk,
         refusal_reasons, detection_taxonomy, four_metrics, detection_rollup, top_confusions, missing_codecs, divergences, corpus_rollup, reconcile, run_transitions,
         transition_counts, distribution_shift, coverage_anti_join, row_rule_violations, stratified_sample, uniform_sample, malformed_refused, strictness_probe,
-        strictness_by_page, convert_corpus, forced_reference, codec_evidence, silent_loss, oracle_readings, greedy_batches,
+        strictness_by_page, convert_corpus, forced_reference, codec_evidence, silent_loss, oracle_readings, hash_recheck, token_faults, text_equivalent, greedy_batches,
     )
 }
