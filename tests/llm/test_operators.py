@@ -340,3 +340,26 @@ def test_queries_at_the_smallest_scale(spark):
 
     for name, query in queries.QUERIES.items():
         assert query(spark, SF).count() == 200, name
+
+
+def test_unigram_path_is_the_lightest():
+    class Stub:
+        unigram = True
+        ids = {"a": 0, "b": 1, "ab": 2, "ba": 3, "aba": 4, "bb": 5}
+        scores = {0: -2.0, 1: -2.5, 2: -3.0, 3: -4.1, 4: -4.4, 5: -3.9}
+        text = {i: p for p, i in ids.items()}
+        pairs = {"ab", "ba", "bb"}
+        byte_id, byte_of = {}, {}
+
+    machine = transducer.Transducer(Stub)
+
+    def best(token):
+        if not token:
+            return 0.0
+        return max((Stub.scores[Stub.ids[token[:n]]] + best(token[n:]) for n in (1, 2, 3) if token[:n] in Stub.ids and len(token) >= n), default=-1e9)
+
+    draw = np.random.default_rng(8)
+    for _ in range(200):
+        token = "".join("ab"[k] for k in draw.integers(0, 2, 9))
+        path = machine.path(token)
+        assert "".join(Stub.text[i] for i in path) == token and abs(sum(Stub.scores[i] for i in path) - best(token)) < 1e-9
