@@ -48,7 +48,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, lost executors cost no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/glyphsieve/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # Small row groups: a writer holds one in memory.
+    df.write.option("parquet.block.size", 16 << 20).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -158,6 +158,8 @@ class Cache(Bounded):
 
 #: Text bytes that are worked on at once, and characters of a part of a longer text.
 BATCH_BYTES, PART_CHARS = 4 << 20, 2 << 20
+#: The same for the stages of a pipeline, whose executors hold much else.
+STAGE_BYTES = 1 << 20
 
 
 def sized_batches(batches, column: int, limit: int = BATCH_BYTES):

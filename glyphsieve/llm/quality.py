@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import mapped
-from .pieces import Cache, encoded, model, sized_batches
+from .pieces import STAGE_BYTES, Cache, encoded, model, sized_batches
 
 MODEL = "piece_bpe_32k.model"
 #: Fixed by the contract.
@@ -181,7 +181,7 @@ def keep(docs: DataFrame, path: str) -> DataFrame:
     own = [f.split()[0] for f in SCHEMA.split(", ")]
 
     def run(batches):
-        for batch in sized_batches(batches, at[1]):
+        for batch in sized_batches(batches, at[1], STAGE_BYTES):
             yield pa.RecordBatch.from_arrays([*batch.columns, *figures(batch.column(at[0]), batch.column(at[1]), path)], names=[*held, *own])
 
     fields = ", ".join(f"`{h}` {f.dataType.simpleString()}" for h, f in zip(held, docs.schema, strict=True))

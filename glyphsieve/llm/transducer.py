@@ -29,10 +29,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import mapped
-from .pieces import SPACE, Cache, PieceModel, encoded, model, sized_batches
+from .pieces import SPACE, STAGE_BYTES, Cache, PieceModel, encoded, model, sized_batches
 
 MODEL = "piece_bpe_32k.model"
-PAIR_ENTRIES = 300_000
+PAIR_ENTRIES = 200_000
 UNKNOWN = -1
 
 
@@ -183,7 +183,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, ids, n_tokens, ids_crc32 (of ids as little-endian u32), decoded (the text of the ids)."""
 
     def run(batches):
-        for batch in sized_batches(batches, 1):
+        for batch in sized_batches(batches, 1, STAGE_BYTES):
             *columns, back = _columns(path, batch.column(0), [x or "" for x in batch.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([*columns, pa.array(back, pa.string())], names=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded"])
 
