@@ -181,7 +181,8 @@ def extract(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    found = extract(numbered_rows(docs.select("doc_id", "text")).withColumnRenamed(ROW, "key"))
+    # The candidates' table fixes the numbers; the texts need not be written again.
+    found = extract(docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text"))
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) AS bigint)").alias(f"n_{k}") for k in KINDS]
     return found.select("doc_id", *counts, F.sha2(text(F.col("base")).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
