@@ -385,7 +385,8 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = numbered_rows(docs)
     found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text")).select(F.col("doc_id").alias(ROW), "component_id")
     found = written(found.join(rows.select(ROW, "doc_id"), ROW), "near-classes")
-    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("best"), F.count("*").alias("n")).filter("n > 1")
-    gone = found.join(best.select("component_id", F.col(f"best.{ROW}").alias("stays")), "component_id").filter(F.col(ROW) != F.col("stays")).select(ROW)
+    # Every class has one row that stays, so the rest is what is not among these: no join on a class, however large.
+    best = found.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)).alias("best"))
+    gone = found.join(best.select(F.col(f"best.{ROW}").alias(ROW)), ROW, "left_anti").select(ROW)
     gone = written(gone, "near-gone")
     return rows.join(maybe_broadcast(gone, GONE_ROWS), ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
