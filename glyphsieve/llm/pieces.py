@@ -145,8 +145,8 @@ class Bounded(dict):
 class Cache(Bounded):
     """Pre-token to value: from its factors' values if there are several, else by `encode`."""
 
-    def __init__(self, pieces: PieceModel, encode, join, known: dict | None = None):
-        super().__init__({"": join([])} | (known or {}))
+    def __init__(self, pieces: PieceModel, encode, join, known: dict | None = None, entries: int = CACHE_ENTRIES):
+        super().__init__({"": join([])} | (known or {}), entries)
         self.pieces, self.encode, self.join = pieces, encode, join
 
     def make(self, token: str):

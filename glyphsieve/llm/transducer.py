@@ -32,7 +32,7 @@ from .common import mapped
 from .pieces import SPACE, STAGE_BYTES, Cache, PieceModel, encoded, model, sized_batches
 
 MODEL = "piece_bpe_32k.model"
-PAIR_ENTRIES = 200_000
+PAIR_ENTRIES, MEMO = 200_000, 250_000
 UNKNOWN = -1
 
 
@@ -159,7 +159,7 @@ class Transducer:
 def machine(path: str) -> tuple[Transducer, Cache]:
     t = Transducer(model(path))
     width = "<u2" if len(t.surface) < 1 << 16 else "<u4"
-    return t, Cache(t.pieces, lambda token: np.array(t.path(token), width).tobytes(), b"".join)
+    return t, Cache(t.pieces, lambda token: np.array(t.path(token), width).tobytes(), b"".join, entries=MEMO)
 
 
 def ids_of(path: str, texts: list[str]) -> list[np.ndarray]:
