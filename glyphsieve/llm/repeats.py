@@ -52,7 +52,7 @@ LOW = 32
 def pack(*arrays) -> bytes:
     """Arrays and byte strings, compressed."""
     raw = [np.ascontiguousarray(a).tobytes() if isinstance(a, np.ndarray) else a for a in arrays]
-    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<{len(raw) + 1}Q", len(raw), *map(len, raw)) + b"".join(raw))
+    return zstandard.ZstdCompressor(level=3).compress(struct.pack(f"<{len(raw) + 1}Q", len(raw), *map(len, raw)) + b"".join(raw))
 
 
 def unpack(blob: bytes) -> list[memoryview]:
@@ -380,10 +380,12 @@ def _segments(blocks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
                 positions[number] = count
                 sent = np.flatnonzero(out)
                 sent = sent[np.argsort(seg_id[sent], kind="stable")]
-                rows = [(-1 - block, pack(start.astype(np.uint32), count.astype(np.uint32), number.astype(np.uint32), whole, sent.astype(np.uint32), positions.astype(np.uint32), seg_id[sent]))]
-                for bucket, a, b in _by_bucket(seg_id[sent], bits):
+                cuts = list(_by_bucket(seg_id[sent], bits))
+                state = pack(np.diff(start, prepend=0).astype(np.uint32), count.astype(np.uint32), number.astype(np.uint32), whole, sent.astype(np.uint32), positions.astype(np.uint32), np.array(cuts, np.int64))
+                rows = [(-1 - block, state)]
+                for bucket, a, b in cuts:
                     own = sent[a:b]
-                    rows.append((bucket, pack(seg_id[own], positions[own].astype(np.uint32), least[own], b"".join(segments[j] for j in own.tolist()))))
+                    rows.append((bucket, pack(seg_id[own].astype(np.uint32), positions[own].astype(np.uint32), least[own], b"".join(segments[j] for j in own.tolist()))))
                 yield pa.RecordBatch.from_arrays([pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], names=["block", "bucket", "body"])
 
     return mapped(joined, run, "block bigint, bucket bigint, body binary")
@@ -440,7 +442,7 @@ def _settled(sent: DataFrame, parts: int) -> DataFrame:
             ids, positions, owners, texts = [], [], [], []
             for _, _, body in rows:
                 i, p, o, t = unpack(body)
-                ids.append(np.frombuffer(i, np.uint64))
+                ids.append(np.frombuffer(i, np.uint32))
                 positions.append(np.frombuffer(p, np.uint32).astype(np.int64))
                 owners.append(np.frombuffer(o, np.int64))
                 texts.append(bytes(t))
@@ -452,13 +454,14 @@ def _settled(sent: DataFrame, parts: int) -> DataFrame:
     return mapped(_dealt(sent, "bucket", parts), run, "block bigint, bucket bigint, bits binary")
 
 
-def removed_positions(state: list, answers: dict[int, bytes], bits: int) -> np.ndarray:
+def removed_positions(state: list, answers: dict[int, bytes]) -> np.ndarray:
     """Sorted positions of a block at which a string to be removed starts."""
-    start, count, number, whole, sent, positions, seg_id = (np.frombuffer(x, k) for x, k in zip(state, ("<u4", "<u4", "<u4", bool, "<u4", "<u4", np.uint64), strict=True))
+    steps, count, number, whole, sent, positions, cuts = (np.frombuffer(x, k) for x, k in zip(state, ("<u4", "<u4", "<u4", bool, "<u4", "<u4", np.int64), strict=True))
+    start = np.cumsum(steps.astype(np.int64))
     positions = positions.astype(np.int64)
     flags = np.zeros(int(positions.sum()), bool)
     place = np.cumsum(positions) - positions
-    for bucket, a, b in _by_bucket(seg_id, bits):
+    for bucket, a, b in cuts.reshape(-1, 3).tolist():
         own = sent[a:b]
         n = positions[own]
         got = np.unpackbits(np.frombuffer(answers[bucket], np.uint8), count=int(n.sum())).astype(bool)
@@ -467,7 +470,7 @@ def removed_positions(state: list, answers: dict[int, bytes], bits: int) -> np.n
     n = count.astype(np.int64)
     within = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
     hit = np.repeat(whole, n) | flags[np.repeat(place[number], n) + within]
-    return np.unique((np.repeat(start.astype(np.int64), n) + within)[hit])
+    return np.unique((np.repeat(start, n) + within)[hit])
 
 
 def spans(at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -479,7 +482,7 @@ def spans(at: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at[new], at[np.append(new[1:], len(at)) - 1] + SPAN, doc[new]
 
 
-def _removed(blocks: DataFrame, state: DataFrame, answers: DataFrame, bits: int, texts: bool) -> DataFrame:
+def _removed(blocks: DataFrame, state: DataFrame, answers: DataFrame, texts: bool) -> DataFrame:
     gathered = answers.groupBy("block").agg(F.collect_list(F.struct("bucket", "bits")).alias("answers"))
     side = state.select("block", F.col("bits").alias("state")).join(gathered, "block", "left")
     joined = blocks.select("block", "body").join(side.hint("shuffle_hash"), "block", "left")
@@ -491,7 +494,7 @@ def _removed(blocks: DataFrame, state: DataFrame, answers: DataFrame, bits: int,
                 ids, nulls, offsets, raw = unpack(batch.column(1)[i].as_py())
                 offsets = np.frombuffer(offsets, np.int64)
                 given = {a["bucket"]: a["bits"] for a in batch.column(3)[i].as_py() or []}
-                a, b, doc = spans(removed_positions(unpack(batch.column(2)[i].as_py()), given, bits), offsets)
+                a, b, doc = spans(removed_positions(unpack(batch.column(2)[i].as_py()), given), offsets)
                 first = np.searchsorted(doc, np.arange(len(offsets)))
                 rows = []
                 edges = offsets.tolist()
@@ -527,7 +530,7 @@ def remove_repeats(docs: DataFrame, texts: bool = True, most: int = HOT) -> Data
     sent = _segments(blocks, answers, bits).select("bucket", "block", "body")
     # Segments grow with what is shared, so their partitions follow the bytes, not the session's setting alone.
     held = written(_settled(sent, max(parts, total // SETTLED)), "settled")
-    return _removed(blocks, held.filter("bucket < 0"), held.filter("bucket >= 0"), bits, texts)
+    return _removed(blocks, held.filter("bucket < 0"), held.filter("bucket >= 0"), texts)
 
 
 def digest(docs: DataFrame) -> DataFrame:
