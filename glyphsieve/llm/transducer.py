@@ -32,7 +32,7 @@ from .common import mapped
 from .pieces import SPACE, STAGE_BYTES, Cache, PieceModel, encoded, model, sized_batches
 
 MODEL = "piece_bpe_32k.model"
-PAIR_ENTRIES, MEMO = 200_000, 250_000
+PAIR_ENTRIES, MEMO = 500_000, 250_000
 UNKNOWN = -1
 
 
