@@ -13,8 +13,8 @@ shards of 31 to 33 shared bits. A shard of over `SHARD_NODES` nodes is dealt aga
 remaining bits in the same way, which leaves 2**18 nodes of it at most.
 
 `near_duplicates` links documents whose 256-bit fingerprints of five-word shingles agree
-in 0.8 of the bits or more. Its shards are partial fingerprints: shingles are dealt into
-groups by hash, some four to a group, and documents meet that share the hash of a group.
+in 0.8 of the bits or more. Its shards are the shingles of a prefix filter: documents of any
+length whose shingles have a Jaccard similarity of 0.8 or more meet in at least one shard.
 
 Trees stop a search once the new node is joined to all components of its tree, and emit
 only links that join components: no link between components is lost, and a class of n
@@ -39,8 +39,10 @@ from .common import ROW, mapped, maybe_broadcast, numbered_rows, small_batches,
 
 BITS, RADIUS, SHINGLE, SEED = 64, 3, 3, 42
 SHARD_NODES = 4096
-#: near_duplicates: words of a shingle, least share of equal bits, words of 64 bits, shingles to a group, groups to a scale.
-NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_WORDS, GROUP, GROUPS = 5, 0.8, 4, 4, 16
+#: near_duplicates: words of a shingle, least share of equal bits, words of 64 bits.
+NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_WORDS = 5, 0.8, 4
+#: The order of shingles: one text in SAMPLE is looked at, OFTEN of these make a shingle frequent, the FREQUENT most so are put last.
+SAMPLE, OFTEN, FREQUENT = 16, 8, 100_000
 #: Nodes a tree of near_duplicates holds; later rows of the shard are searched for, and kept only if they join nothing.
 TREE_NODES = 50_000
 #: Rows up to which a list of removed rows is broadcast, checked by counting.
@@ -311,30 +313,43 @@ def digest(docs: DataFrame) -> DataFrame:
 # -- near duplicates at a similarity ----------------------------------------------------------
 
 
-def partial_keys(h: np.ndarray) -> list[int]:
-    """Hashes of the shingle groups of a document, at one scale or two.
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """Shingle hashes that a sample of docs (doc_id, text) holds often, most frequent last.
 
-    The number of groups is a power of two near a quarter of the shingles; documents whose
-    lengths differ by less than a quarter share a scale.
+    They only set the order of prefix_keys(), which is exact under any order, so what the sample misses costs time alone.
+    """
+
+    def run(batches):
+        for batch in small_batches(batches):
+            parts = [np.unique(shingle_hashes((t.as_py() or "").encode(), NEAR_SHINGLE)) for t in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.empty(0, np.uint64), *parts]).view(np.int64))], names=["h"])
+
+    some = docs.filter(F.xxhash64("text") % SAMPLE == 0).select("text").distinct()
+    counted = mapped(some, run, "h bigint").groupBy("h").count().filter(F.col("count") >= OFTEN)
+    rows = counted.orderBy(F.desc("count"), "h").limit(FREQUENT).collect()
+    return np.array([r["h"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def prefix_keys(h: np.ndarray, frequent: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The first n - ceil(0.8 n) + 1 of n distinct shingle hashes: by value, then the frequent ones, the most frequent last.
+
+    frequent is sorted, order has the rank of each. Sets with a Jaccard similarity of 0.8 or more
+    share at least 0.8 of the larger one, so under one order for all their prefixes meet.
     """
     distinct = np.unique(h)
-    x = np.log2(max(len(distinct) / GROUP, 1.0))
-    scales = {int(x), int(x + 0.4)}
-    out = []
-    with np.errstate(over="ignore"):
-        own = mixed(distinct, 11)
-        for s in sorted(scales):
-            m = 1 << s
-            group = (distinct >> np.uint64(7)) % np.uint64(m)
-            sums = np.zeros(min(GROUPS, m), np.uint64)
-            near = group < np.uint64(len(sums))
-            np.add.at(sums, group[near].astype(np.int64), own[near])
-            out += [int(k) for k in mixed(sums + np.uint64(s) + np.arange(len(sums), dtype=np.uint64) * np.uint64(64), 12)[sums > 0].view(np.int64)]
-    return out
+    size = len(distinct) - (4 * len(distinct) + 4) // 5 + 1
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, distinct), len(frequent) - 1)
+        often = frequent[at] == distinct
+        distinct = np.concatenate([distinct[~often], distinct[often][np.argsort(order[at[often]])]])
+    return distinct[:size].view(np.int64)
 
 
 def near_fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id, fp (32 bytes) and keys (the shards it goes to)."""
+    ranked = frequent_shingles(docs)
+    order = np.argsort(ranked)
+    frequent = ranked[order]
 
     def run(batches):
         for batch in small_batches(batches):
@@ -342,7 +357,7 @@ def near_fingerprints(docs: DataFrame) -> DataFrame:
             for t in batch.column(1):
                 h = shingle_hashes((t.as_py() or "").encode(), NEAR_SHINGLE)
                 fps.append(b"".join(majority(mixed(h, k)).to_bytes(8, "little") for k in range(NEAR_WORDS)))
-                keys.append(partial_keys(h) if len(h) else [])
+                keys.append(prefix_keys(h, frequent, order) if len(h) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "fp", "keys"])
 
     return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, fp binary, keys array<bigint>")
@@ -352,7 +367,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id of all rows: classes of five-word fingerprints that agree in 0.8 of their bits."""
     radius = int(64 * NEAR_WORDS * (1 - NEAR_SIMILARITY))
     prints = written(near_fingerprints(docs), "near-fingerprints")
-    nodes = prints.groupBy("fp").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "fp")
+    # Equal fingerprints of different texts have different keys, and keep them all.
+    nodes = prints.select("fp", "keys").distinct().select(F.explode("keys").alias("key"), "fp")
 
     def run(batches):
         a, b = [], []

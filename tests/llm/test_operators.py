@@ -122,6 +122,30 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
 
 
+def test_near_duplicates_of_every_length(spark):
+    """Against brute force, from 10 words on: what is alike in shingles and in fingerprints is in one class, frequent shingles or not."""
+    draw = np.random.default_rng(4)
+    texts = []
+    for size in (10, 11, 13, 16, 20, 25, 28, 40, 70, 200):
+        for k in range(24):
+            words = [f"w{i}" for i in draw.integers(0, 50_000, size)]
+            line = [f"line{i}" for i in range(8)] if k % 4 == 0 else []
+            texts += [[*words, *line], [*words, "more", *line], [*words[:-1], "other", *line], ["new", *words[1:-1], "end", *line]]
+    texts = [" ".join(t) for t in texts]
+    hashes = [simhash.shingle_hashes(t.encode(), 5) for t in texts]
+    prints = [sum(simhash.majority(simhash.mixed(h, k)) << 64 * k for k in range(4)) for h in hashes]
+    sets = [set(h.tolist()) for h in hashes]
+    pairs = [(i, j) for i in range(len(texts)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) and (prints[i] ^ prints[j]).bit_count() <= 51]
+    short = [p for p in pairs if len(texts[p[0]].split()) < 20]
+    assert len(pairs) > 500 and len(short) > 100
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert not [p for p in pairs if found[p[0]] != found[p[1]]]
+    frequent = np.unique(np.concatenate([simhash.shingle_hashes(b" ".join(b"line%d" % i for i in range(8)), 5), *hashes[:8]]))
+    for order in (np.arange(len(frequent)), np.arange(len(frequent))[::-1]):
+        keys = [set(simhash.prefix_keys(h, frequent, order).tolist()) for h in hashes]
+        assert all(keys[i] & keys[j] for i, j in pairs)
+
+
 def test_token_files(spark, docs, nothing, tmp_path):
     path = tokenizer(token_files.MODEL)
     library = token_files.words(path).tokenizer
