@@ -15,6 +15,7 @@ remaining bits in the same way, which leaves 2**18 nodes of it at most.
 `near_duplicates` links documents whose 256-bit fingerprints of five-word shingles agree
 in 0.8 of the bits or more. Its shards are the shingles of a prefix filter: documents of any
 length whose shingles have a Jaccard similarity of 0.8 or more meet in at least one shard.
+A shard of over `NEAR_NODES` rows is dealt again into blocks (`near_links`).
 
 Trees stop a search once the new node is joined to all components of its tree, and emit
 only links that join components: no link between components is lost, and a class of n
@@ -43,8 +44,8 @@ SHARD_NODES = 4096
 NEAR_SHINGLE, NEAR_SIMILARITY, NEAR_WORDS = 5, 0.8, 4
 #: The order of shingles: one text in SAMPLE is looked at, OFTEN of these make a shingle frequent, the FREQUENT most so are put last.
 SAMPLE, OFTEN, FREQUENT = 16, 8, 100_000
-#: Nodes a tree of near_duplicates holds; later rows of the shard are searched for, and kept only if they join nothing.
-TREE_NODES = 50_000
+#: Rows of a shard of near_duplicates above which it is dealt again, and about how many of them go to all of its blocks.
+NEAR_NODES, HUBS = 16_384, 64
 #: Rows up to which a list of removed rows is broadcast, checked by counting.
 GONE_ROWS = 1_000_000
 BLOCKS = [(0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10)]
@@ -142,14 +143,6 @@ class BKTree:
                 return
             i = self.children[i][d]
 
-    def merge(self, links: list[int]) -> None:
-        """Joins the components of these nodes without a new node."""
-        roots = {self.find(i) for i in links}
-        first = min(roots)
-        for r in roots:
-            self.root_of[r] = first
-        self.components -= len(roots) - 1
-
 
 def _groups(batches, limit: int = SHARD_NODES):
     """(first, key, fps) of runs of equal keys in sorted batches; a long run comes in pieces, first is False for its later ones.
@@ -363,36 +356,85 @@ def near_fingerprints(docs: DataFrame) -> DataFrame:
     return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, fp binary, keys array<bigint>")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of all rows: classes of five-word fingerprints that agree in 0.8 of their bits."""
-    radius = int(64 * NEAR_WORDS * (1 - NEAR_SIMILARITY))
-    prints = written(near_fingerprints(docs), "near-fingerprints")
-    # Equal fingerprints of different texts have different keys, and keep them all.
-    nodes = prints.select("fp", "keys").distinct().select(F.explode("keys").alias("key"), "fp")
+def _near_trees(sharded: DataFrame, radius: int, defer: bool, limit: int) -> DataFrame:
+    """Links (a, b) of the shards (key, fp); where defer holds, the rows (key, fp as b) of large shards instead."""
 
     def run(batches):
-        a, b = [], []
+        a, b, keys = [], [], []
+
+        def out():
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(keys, pa.int64())], names=["a", "b", "key"])
+
         tree = BKTree(radius)
-        for first, _, fps, _ in _groups(batches):
+        for first, key, fps, whole in _groups(batches, limit):
             if first:
                 tree = BKTree(radius)
-            for fp in fps:
-                x = int.from_bytes(fp, "little")
-                near = tree.joined(x)
-                a += [tree.nodes[i].to_bytes(len(fp), "little") for i in near]
-                b += [fp] * len(near)
-                if len(tree.nodes) < TREE_NODES or not near:
+            if defer and not (first and whole):
+                a += [None] * len(fps)
+                b += fps
+                keys += [int(key)] * len(fps)
+            else:
+                for fp in fps:
+                    x = int.from_bytes(fp, "little")
+                    near = tree.joined(x)
+                    a += [tree.nodes[i].to_bytes(len(fp), "little") for i in near]
+                    b += [fp] * len(near)
+                    keys += [None] * len(near)
                     tree.insert(x, near)
-                elif len(near) > 1:
-                    tree.merge(near)
             if len(a) > 20_000:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
-                a, b = [], []
+                yield out()
+                a, b, keys = [], [], []
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            yield out()
+
+    parts = int(sharded.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return mapped(sharded.repartition(parts, "key").sortWithinPartitions("key"), run, "a binary, b binary, key bigint")
+
+
+def near_links(nodes: DataFrame, radius: int, limit: int = NEAR_NODES) -> DataFrame:
+    """Links (a, b) between fingerprints that join all that share a key and are within the radius. nodes: key, fp.
+
+    A shard of over `limit` rows is dealt into blocks, each with some rows of all its blocks, which
+    joins most of a group of near copies. What its largest component lacks is then compared with
+    every block, and among itself block by block, so that each pair not joined before meets in a tree.
+    """
+    first = written(_near_trees(nodes, radius, True, limit), "near-links")
+    late = first.filter("key IS NOT NULL").select("key", F.col("b").alias("fp")).distinct()
+    out = first.filter("key IS NULL").select("a", "b")
+    if late.isEmpty():
+        return out
+    spread = F.xxhash64("fp")
+    cut = lambda n: F.ceil(2 * F.col(n) / limit)
+    series = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<bigint>"))
+    sizes = late.groupBy("key").agg(F.count("*").alias("n"))
+    rows = late.join(maybe_broadcast(sizes, GONE_ROWS), "key").withColumn("blocks", cut("n"))
+    hub = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("n")) < HUBS
+    own = F.explode(F.when(hub, series("blocks")).otherwise(F.array(F.pmod(spread, F.col("blocks")))))
+    blocks = rows.select("key", "fp", own.alias("block")).select(F.xxhash64("key", "block").alias("key"), "fp")
+    out = written(out.unionByName(_near_trees(blocks, radius, False, limit).select("a", "b")), "near-blocks")
+    root = components(out).select(F.col("node").alias("fp"), "root")
+    rooted = written(late.join(root, "fp", "left").select("key", "fp", F.coalesce("root", "fp").alias("root")), "near-late")
+    each = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    most = each.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m"), F.sum("n").alias("all"))
+    most = most.select("key", F.col("m.root").alias("most"), F.col("m.n").alias("large"), (F.col("all") - F.col("m.n")).alias("small")).filter("small > 0")
+    rows = rooted.join(maybe_broadcast(most, GONE_ROWS), "key").withColumns({"large": cut("large"), "small": cut("small")})
+    inside = rows.filter("root = most").select("key", "fp", F.pmod(spread, F.col("large")).alias("i"), F.explode(series("small")).alias("j"))
+    outside = rows.filter("root != most").withColumn("own", F.pmod(spread, F.col("small")))
+    against = outside.select("key", "fp", F.explode(series("large")).alias("i"), F.col("own").alias("j"))
+    among = outside.select("key", "fp", "own", F.explode(series("small")).alias("other")).filter("own != other")
+    among = among.select("key", "fp", (-1 - F.least("own", "other")).alias("i"), F.greatest("own", "other").alias("j"))
+    tiles = inside.unionByName(against).unionByName(among).select(F.xxhash64("key", "i", "j").alias("key"), "fp")
+    return out.unionByName(_near_trees(tiles, radius, False, limit).select("a", "b"))
+
+
+def near_duplicates(docs: DataFrame, limit: int = NEAR_NODES) -> DataFrame:
+    """doc_id, fp and component_id of all rows: classes of five-word fingerprints that agree in 0.8 of their bits."""
+    radius = int(64 * NEAR_WORDS * (1 - NEAR_SIMILARITY))
+    prints = written(near_fingerprints(docs), "near-fingerprints")
+    # Equal fingerprints of different texts have different keys, and keep them all.
+    nodes = prints.select("fp", "keys").distinct().select(F.explode("keys").alias("key"), "fp")
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = mapped(nodes.repartition(parts, "key").sortWithinPartitions("key"), run, "a binary, b binary")
+    found = near_links(nodes, radius, limit)
     return classes(prints.select("doc_id", "fp"), found)
 
 

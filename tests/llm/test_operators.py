@@ -122,6 +122,23 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
 
 
+def test_hot_keys_lose_no_near_copy(spark):
+    """A chain of near copies that share a key, where trees hold a few nodes: each is within the radius of its neighbours only."""
+    draw = np.random.default_rng(5)
+    chains, values = [], []
+    for _ in range(2):
+        chain = [int.from_bytes(draw.bytes(32), "little")]
+        for at in range(0, 250, 10):
+            chain.append(chain[-1] ^ (1023 << at))
+        chains.append(chain)
+        values += chain
+    rows = [(7, values[i].to_bytes(32, "little")) for i in draw.permutation(len(values))]
+    for limit in (4, 8, 1000):
+        group = {r["node"]: r["root"] for r in simhash.components(simhash.near_links(spark.createDataFrame(rows, "key long, fp binary"), 10, limit)).collect()}
+        classes = [{bytes(group.get(v.to_bytes(32, "little"), v.to_bytes(32, "little"))) for v in chain} for chain in chains]
+        assert [len(c) for c in classes] == [1, 1] and classes[0] != classes[1]
+
+
 def test_near_duplicates_of_every_length(spark):
     """Against brute force, from 10 words on: what is alike in shingles and in fingerprints is in one class, frequent shingles or not."""
     draw = np.random.default_rng(4)
