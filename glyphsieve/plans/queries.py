@@ -196,6 +196,23 @@ def first_difference(s: S, d: str) -> D:
     )
 
 
+def strip_bom_whole(s: S, d: str) -> D:
+    """strip_bom on whole texts; the SQL of that one has their first 40 characters."""
+    mark = F.decode(F.unhex(F.lit("FEFF")), "UTF-16BE")
+    return rel.documents(s, d).select("doc_id", fc.strip_bom(F.concat(F.repeat(mark, (c("doc_id") % 3).cast("int")), c("text"))).alias("text"))
+
+
+def first_difference_whole(s: S, d: str) -> D:
+    """first_difference on whole texts, with differences anywhere, for every fifth at the end; the SQL of that one has their first 200 characters."""
+    last = F.greatest(F.length("text") - 1, F.lit(0))
+    at = F.when(c("doc_id") % 5 == 2, last).otherwise((c("doc_id") * 7919 % (last + 1)).cast("int"))
+    rows = rel.documents(s, d).withColumn("at", at)
+    other = F.when(c("doc_id") % 5 == 0, c("text")).when(c("doc_id") % 5 == 1, F.left("text", c("at"))).otherwise(F.concat(F.left("text", c("at")), F.lit("Ω"), F.expr("substring(text, at + 2)")))
+    return rows.select("doc_id", fc.first_difference(c("text"), other).alias("x")).select(
+        "doc_id", c("x.index").cast("long").alias("at"), "x.code_point_a", "x.code_point_b", "x.char_a", "x.char_b", "x.before", "x.after"
+    )
+
+
 def text_identity(s: S, d: str) -> D:
     rows = detect.reference_text(rel.corpus(s, d).withColumn("codec", F.element_at(F.array(*map(F.lit, ["utf-8", "utf-8", "utf-16-le", "utf-16-le", "utf-16-be", "utf-16-be", "utf-32-le", "utf-32-le", "utf-32-be", "utf-32-be", "iso8859-1", "ascii"])), (c("doc_id") % 12 + 1).cast("int"))), "codec")
     return rows.select("doc_id", (c("reference.text") == c("text")).alias("identical"), c("reference.length").cast("long").alias("length"), c("reference.sha256").alias("sha256"), c("reference.round_trip").alias("round_trip"))
@@ -394,7 +411,7 @@ QUERIES = {
         bom_kind, bom_kind_counts, inventory, codepoint_sha256, sample_prefix, byte_entropy, utf16_chi_square, nul_channel_ratio, unicode_candidates, utf8_valid, utf8_valid_whole,
         looks_like_text, detect_corpus, population_by_bucket, claims_by_class, confusion_matrix, overall_metrics, accepted_set_scoring, mismatch_list, run_counters,
         codec_candidates, catalogue_directories, language_codes, directory_codecs, catalog_forward_fill, manifest_classes, scope_filter, filename_crosscheck, strip_bom,
-        first_difference, text_identity, outcome_cascade, outcome_counts, coverage_rows, pair_summary, metadata_summary, outcome_pivot, bom_policy, text_loss_risk,
+        strip_bom_whole, first_difference, first_difference_whole, text_identity, outcome_cascade, outcome_counts, coverage_rows, pair_summary, metadata_summary, outcome_pivot, bom_policy, text_loss_risk,
         refusal_reasons, detection_taxonomy, four_metrics, detection_rollup, top_confusions, missing_codecs, divergences, corpus_rollup, reconcile, run_transitions,
         transition_counts, distribution_shift, coverage_anti_join, row_rule_violations, stratified_sample, uniform_sample, malformed_refused, strictness_probe,
         strictness_by_page, convert_corpus, forced_reference, codec_evidence, silent_loss, oracle_readings, hash_recheck, token_faults, text_equivalent, greedy_batches,

@@ -19,3 +19,17 @@ def test_utf8_valid_whole(spark):
     rows = {r["doc_id"]: (r["ascii"], r["valid"], r["valid_cut"]) for r in queries.utf8_valid_whole(spark, SF).collect()}
     assert rows == {i: (data.isascii(), valid(data), valid(data[:-1])) for i, (data,) in files.items()}
     assert {i % 12 for i in rows} == set(range(12))
+
+
+def test_whole_texts(spark):
+    texts = {r["doc_id"]: r["text"] for r in corpus.documents(spark, SF).collect()}
+    stripped = {r["doc_id"]: r["text"] for r in queries.strip_bom_whole(spark, SF).collect()}
+    assert stripped == {i: "\ufeff" * max(0, i % 3 - 1) + t for i, t in texts.items()}
+    rows = {r["doc_id"]: tuple(r[1:]) for r in queries.first_difference_whole(spark, SF).collect()}
+    assert rows.keys() == texts.keys() and sum((r[0] or 0) > 200 for r in rows.values()) > 50
+    for i, a in texts.items():
+        at = max(len(a) - 1, 0) if i % 5 == 2 else i * 7919 % max(len(a), 1)
+        b = a if i % 5 == 0 else a[:at] if i % 5 == 1 else a[:at] + "Ω" + a[at + 1 :]
+        n = None if a == b else next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        ca, cb = ("", "") if n is None else (a[n : n + 1], b[n : n + 1])
+        assert rows[i] == (n, ca and f"U+{ord(ca):04X}", cb and f"U+{ord(cb):04X}", ca, cb, "" if n is None else a[max(n - 20, 0) : n], "" if n is None else a[n : n + 20])
