@@ -350,15 +350,23 @@ def convert_corpus(s: S, d: str) -> D:
     return rows.select("doc_id", c("conversion.status").alias("status"), F.coalesce("conversion.reason", F.lit("")).alias("reason"), F.sha2(made, 256).alias("sha256"), (made.cast("string") == c("text")).alias("identical"))
 
 
+#: The codec of each variant's declared encoding.
+DECLARED = ["utf-8", "utf-8", "utf-16-le", "utf-16-le", "utf-16-be", "utf-16-be", "utf-32-le", "utf-32-le", "utf-32-be", "utf-32-be", "iso8859-1", "ascii"]
+
+
+def declared(rows: D) -> D:
+    """rows with codec: that of the declared encoding."""
+    return rows.withColumn("codec", F.element_at(F.array(*map(F.lit, DECLARED)), (c("doc_id") % 12 + 1).cast("int")))
+
+
 def forced_reference(s: S, d: str) -> D:
-    codec = F.when(c("declared") == "iso-8859-1", "iso8859-1").when(c("declared") == "us-ascii", "ascii")
-    rows = detect.reference_text(conversions(s, d).filter("doc_id % 12 > 9").withColumn("codec", codec), "codec")
+    rows = detect.reference_text(declared(conversions(s, d)), "codec")
     rows = rows.withColumns({"sha256": c("reference.sha256"), "outcome": F.when(c("conversion.status") == "Converted", "PASS").otherwise("RefusedByPolicy")})
     return detect.forced_reference(rows, "codec", "sha256", "outcome").groupBy("outcome", F.coalesce("forced", F.lit("")).alias("forced")).agg(F.count("*").alias("n"))
 
 
 def codec_evidence(s: S, d: str) -> D:
-    rows = rel.corpus(s, d).filter("doc_id % 12 IN (0, 10)").withColumns({"codec": F.when(c("doc_id") % 12 == 0, "utf-8").otherwise("iso8859-1"), "other": F.lit("cp1252")})
+    rows = declared(rel.corpus(s, d)).withColumn("other", F.lit("cp1252"))
     out = detect.evidence(rows, "codec", "other", ["utf-8", "cp1252", "iso8859-1", "shift_jis", "koi8-r"])
     return out.select("doc_id", "evidence.*")
 
@@ -371,6 +379,14 @@ def silent_loss(s: S, d: str) -> D:
     return detect.silent_loss(rows).select("doc_id", "silent_loss", F.coalesce("strict.stage", F.lit("")).alias("stage"))
 
 
+def silent_loss_whole(s: S, d: str) -> D:
+    """silent_loss over all encodings; the SQL of that one has UTF-8 only. A byte FF ends every fourth file of each: Latin-1 alone can have it there."""
+    broken = F.when(c("doc_id") % 48 < 12, F.concat(c("content"), F.unhex(F.lit("FF")))).otherwise(c("content"))
+    rows = declared(rel.corpus(s, d)).withColumn("content", broken)
+    rows = detect.diagnosed(detect.diagnosed(rows, "codec", "production", "production"), "codec", "strict", "strict")
+    return detect.silent_loss(rows).select("doc_id", "silent_loss", F.coalesce("strict.stage", F.lit("")).alias("stage"))
+
+
 def oracle_readings(s: S, d: str) -> D:
     names = ["utf-8", "utf-8", "utf-16-le", "utf-16-le", "utf-16-be", "utf-16-be", "utf-32-le", "utf-32-le", "utf-32-be", "utf-32-be", "iso8859-1", "ascii"]
     rows = rel.corpus(s, d).withColumn("codec", F.element_at(F.array(*map(F.lit, names)), (c("doc_id") % 12 + 1).cast("int")))
@@ -400,6 +416,11 @@ def text_equivalent(s: S, d: str) -> D:
     return detect.text_equivalent(rows, "other", "text").select("doc_id", "equivalent")
 
 
+def text_equivalent_whole(s: S, d: str) -> D:
+    """text_equivalent over all encodings; the SQL of that one has three of the twelve."""
+    return detect.text_equivalent(rel.corpus(s, d).withColumn("other", F.lit("cp1252")), "other", "text").select("doc_id", "equivalent")
+
+
 def greedy_batches(s: S, d: str) -> D:
     rows = rel.corpus(s, d).select(c("declared").alias("codec"), "path")
     return integrity.greedy_batches(rows, 400).groupBy("codec", "batch").agg(F.count("*").alias("n"))
@@ -414,6 +435,7 @@ QUERIES = {
         strip_bom_whole, first_difference, first_difference_whole, text_identity, outcome_cascade, outcome_counts, coverage_rows, pair_summary, metadata_summary, outcome_pivot, bom_policy, text_loss_risk,
         refusal_reasons, detection_taxonomy, four_metrics, detection_rollup, top_confusions, missing_codecs, divergences, corpus_rollup, reconcile, run_transitions,
         transition_counts, distribution_shift, coverage_anti_join, row_rule_violations, stratified_sample, uniform_sample, malformed_refused, strictness_probe,
-        strictness_by_page, convert_corpus, forced_reference, codec_evidence, silent_loss, oracle_readings, hash_recheck, token_faults, text_equivalent, greedy_batches,
+        strictness_by_page, convert_corpus, forced_reference, codec_evidence, silent_loss, silent_loss_whole,
+        oracle_readings, hash_recheck, token_faults, text_equivalent, text_equivalent_whole, greedy_batches,
     )
 }

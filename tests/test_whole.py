@@ -33,3 +33,18 @@ def test_whole_texts(spark):
         n = None if a == b else next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         ca, cb = ("", "") if n is None else (a[n : n + 1], b[n : n + 1])
         assert rows[i] == (n, ca and f"U+{ord(ca):04X}", cb and f"U+{ord(cb):04X}", ca, cb, "" if n is None else a[max(n - 20, 0) : n], "" if n is None else a[n : n + 20])
+
+
+def test_codecs_of_all_encodings(spark):
+    files = of_corpus(spark, "content", "text")
+    same = {r["doc_id"]: r["equivalent"] for r in queries.text_equivalent_whole(spark, SF).collect()}
+    read = {i: layer.strict(data, "cp1252") for i, (data, _) in files.items()}
+    assert same == {i: read[i] is not None and layer.strip_bom(read[i]) == files[i][1] for i in files}
+    lost = {r["doc_id"]: (r["silent_loss"], r["stage"]) for r in queries.silent_loss_whole(spark, SF).collect()}
+    assert lost == {i: (True, "Decode") if i % 48 < 12 and i % 12 != 10 else (False, "") for i in files}
+    rows = queries.codec_evidence(spark, SF)
+    found = {r["doc_id"]: r for r in rows.collect()}
+    assert found.keys() == files.keys()
+    for i, r in found.items():
+        assert r["constraint"] == round(layer.constraint(files[i][0], queries.DECLARED[i % 12]), 3) and r["accepted"] == (read[i] is not None)
+    assert queries.forced_reference(spark, SF).agg(F.sum("n")).first()[0] == len(files)
