@@ -5,9 +5,10 @@ cards, phone numbers, access keys and hexadecimal secrets. Candidates are all st
 digits that could be identifiers. A pattern is what stands before a candidate: the last
 word and the signs after it. Patterns and instances form a graph. In each round a
 pattern's confidence in a kind is the mean confidence of its distinct instances, and an
-instance's is that of the best of its patterns, seeds staying at 1. Patterns that end above
-ACCEPT and have SUPPORT distinct seeds name the kind of what follows them; candidates that
-they select and no seed covers become spans.
+instance's is that of the best of its accepted patterns, seeds staying at 1. Patterns at
+ACCEPT or above with SUPPORT distinct known instances, seeds or discovered ones, are accepted
+and name the kind of what follows them. Rounds go on until no pattern or instance is new;
+candidates that accepted patterns select and no seed covers become spans.
 
 One pass over the texts writes candidates (row key, place, cue, value hash); all scoring is
 Spark aggregation over them, so its cost follows the number of candidates.
@@ -42,7 +43,9 @@ DIGIT = re.compile("[0-9]")
 CANDIDATE = re.compile(r"[A-Za-z0-9+][A-Za-z0-9._+/-]{4,126}[A-Za-z0-9]")
 CUE = re.compile(r"([^\W\d_]{1,32})([ \t\"'=:#(]{0,6})\Z")
 NEAR = 40
-ROUNDS, ACCEPT, SUPPORT = 3, 0.8, 3
+ACCEPT, SUPPORT = 0.8, 3
+#: Rounds end where no pattern or instance is new and the patterns' confidence has risen by less than this in all.
+SETTLED = 1e-3
 #: Rows with spans up to which they are broadcast, checked by counting.
 SPAN_ROWS = 100_000
 #: Characters looked at for an e-mail's local part at a time.
@@ -142,20 +145,22 @@ def patterns(rows: DataFrame) -> DataFrame:
     """(cue, kind, confidence) of the accepted patterns over collected() rows."""
     seen = rows.select(F.explode("found").alias("f")).select("f.*").filter("cue IS NOT NULL")
     edges = written(seen.groupBy("cue", "value").agg(F.max("kind").alias("kind")), "pii-edges")
-    # Only cues that some seed supports enough can ever be accepted.
-    cues = edges.groupBy("cue").agg(F.count("*").alias("n"), F.count("kind").alias("seeds")).filter(F.col("seeds") >= SUPPORT).select("cue", "n")
+    # A cue of fewer values can never have the support.
+    cues = edges.groupBy("cue").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
     graph = written(edges.join(cues, "cue"), "pii-graph")
-    support = graph.filter("kind IS NOT NULL").groupBy("cue", "kind").agg(F.count("*").alias("seeds"))
-    known = graph.filter("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("confidence")).distinct()
-    scored = None
-    for _ in range(ROUNDS):
-        scored = graph.drop("kind").join(known, "value").groupBy("cue", "kind").agg((F.sum("confidence") / F.first("n")).alias("confidence"))
-        scored = written(scored, "pii-patterns")
-        grown = graph.filter("kind IS NULL").select("cue", "value").join(scored.filter(F.col("confidence") >= ACCEPT), "cue")
-        grown = grown.groupBy("value", "kind").agg(F.max("confidence").alias("confidence"))
-        known = graph.filter("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("confidence")).distinct().unionByName(grown.select("value", "kind", "confidence"))
-        known = known.groupBy("value", "kind").agg(F.max("confidence").alias("confidence"))
-    good = scored.join(support, ["cue", "kind"]).filter((F.col("confidence") >= ACCEPT) & (F.col("seeds") >= SUPPORT))
+    seeded = written(edges.filter("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("confidence")).distinct(), "pii-seeds")
+    known, before = seeded, None
+    while True:
+        # All that is known supports a pattern: seeds, and what accepted patterns have found.
+        scored = graph.drop("kind").join(known, "value").groupBy("cue", "kind").agg((F.sum("confidence") / F.first("n")).alias("confidence"), F.count("*").alias("support"))
+        good = written(scored.filter((F.col("confidence") >= ACCEPT) & (F.col("support") >= SUPPORT)), "pii-patterns")
+        grown = graph.filter("kind IS NULL").select("cue", "value").join(good, "cue").groupBy("value", "kind").agg(F.max("confidence").alias("confidence"))
+        known = written(seeded.unionByName(grown).groupBy("value", "kind").agg(F.max("confidence").alias("confidence")), "pii-known")
+        now = (*good.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first(), known.count())
+        # Nothing is ever taken back and confidence only rises, so this ends.
+        if before and (now[0], now[2]) == (before[0], before[2]) and now[1] - before[1] < SETTLED:
+            break
+        before = now
     # One kind per cue: the most confident, then the first by name.
     best = good.groupBy("cue").agg(F.max_by("kind", F.struct("confidence", F.expr("-ascii(kind)"), "kind")).alias("kind"), F.max("confidence").alias("confidence"))
     return written(best, "pii-accepted")

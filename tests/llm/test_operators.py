@@ -404,3 +404,14 @@ def test_unigram_path_is_the_lightest():
         token = "".join("ab"[k] for k in draw.integers(0, 2, 9))
         path = machine.path(token)
         assert "".join(Stub.text[i] for i in path) == token and abs(sum(Stub.scores[i] for i in path) - best(token)) < 1e-9
+
+
+def test_patterns_of_later_generations(spark):
+    """Cues before no seed are learned from what other patterns found, generation after generation; a mixed cue is not."""
+    texts = [f"token: abcdef{k:010x}a" for k in range(25)] + [f"token: ZQX{k}001" for k in range(5)]
+    texts += [f"ref: ZQX{k}001" for k in range(5)] + ["ref: ZQY7002"]
+    texts += [f"badge: ZQX{k}001" for k in range(4)] + ["badge: ZQY7002", "badge: ZQZ8003"]
+    texts += [f"page: ZQX{k}001" for k in range(3)] + [f"page: XYZ{k}009" for k in range(3)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {texts[r["doc_id"]] for r in pii.digest(rows).collect() if r["spans"]}
+    assert found == {t for t in texts if not t.startswith("page")}
