@@ -33,23 +33,45 @@ def tokenizer(name: str) -> str:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Where the session has none (tests on one machine) one is made and set.
+    Where the session has none, one is made and set if everything runs on this machine (tests);
+    a cluster must name one.
     """
     held = spark.conf.get("spark.checkpoint.dir", None)
     if not held:
         held = spark.conf.get("spark.glyphsieve.own.dir", None)
         if not held:
+            if not spark.sparkContext.master.startswith("local["):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
             held = tempfile.mkdtemp(prefix="glyphsieve-")
             spark.conf.set("spark.glyphsieve.own.dir", held)
     return held
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/glyphsieve/{spark.sparkContext.applicationId}"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder, under this application's own."""
+    return f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written so far; to be called when no result that reads them is needed any more."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Bytes of a row group: a writer holds one in memory.
+ROW_GROUP = 16 << 20
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: lineage is cut, lost executors cost no recomputation."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/glyphsieve/{name}-{uuid.uuid4().hex}"
-    # Small row groups: a writer holds one in memory.
-    df.write.option("parquet.block.size", 16 << 20).parquet(path)
+    path = new_path(spark, name)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -77,8 +99,8 @@ def maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if bounded(df, rows) else df
 
 
-#: Rows of an Arrow batch. Texts are long, and both sides of the pipe hold whole batches.
-ARROW_ROWS = "1000"
+#: Rows and bytes of an Arrow batch, set where the session has larger ones. Texts are long, and both sides of the pipe hold whole batches.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def released() -> None:
@@ -100,7 +122,10 @@ def mapped(df: DataFrame, fn, schema: str, memo: bool = False) -> DataFrame:
     env = spark.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(p for p in (here, env.get("PYTHONPATH", "")) if p)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    for key, most in ARROW.items():
+        held = spark.conf.get(key)
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(key, str(most))
 
     def run(batches):
         from glyphsieve.llm.pieces import drop_memos
