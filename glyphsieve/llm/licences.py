@@ -2,15 +2,25 @@
 
 The automaton holds every substring of the templates. Streaming a document through it
 gives the matching statistics: at each word the longest suffix that some template holds.
-Matches that cannot be extended to the right, of at least MATCH words, are chained per
-template in both orders with bounded gaps; a chain that covers enough of its template is a
-span of that licence. The contract's phrases are templates too: a phrase ends where its
-state is on the suffix path of the current one.
+The suffix links of that state tell where else shorter suffixes end, so every match of at
+least MATCH words with a template that can be extended to neither side is found, also where
+another template has a longer one. The contract's phrases are templates too: a phrase ends
+where its state is on the suffix path of the current one.
+
+Matches of a template are chained: the next one begins behind the last in the document and
+in the template, with at most GAP words between them in both, and what they share in either
+counts once. For each match the chain that ends there and covers most is kept (of equals,
+the one that begins last). Chains are taken by the words they cover, most first (of equals,
+the one that ends first), as long as they share no word with one taken before and cover SHARE
+of the template or ENOUGH words; so a template can have several spans. A span inside one of
+another label that covers more of its template is dropped: texts borrow from each other.
 
 Words that no template has reset the automaton, so only runs of template words are streamed.
+A text is held whole in its worker; the work follows its template words.
 
-Edge cases: null and empty texts have no words and no spans (score 0). Repeated rows give
-a row each. Other columns are not read.
+Edge cases: null and empty texts have no words and no spans (score 0); an empty table gives
+no rows. Repeated rows and ids give a row each. Other columns, whatever their names, are not
+read.
 """
 
 from __future__ import annotations
@@ -29,23 +39,30 @@ PHRASES = [("mit license", "mit"), ("apache license", "apache"), ("general publi
 TEMPLATES = [
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"),
     ("apache", "licensed under the apache license version 2 0"),
     ("apache", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
     ("gpl", "licensed under the gnu general public license version 3"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details you should have received a copy of the gnu general public license along with this program if not see https www gnu org licenses"),
     ("lgpl", "gnu lesser general public license"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu lesser general public license for more details you should have received a copy of the gnu lesser general public license along with this library"),
     ("agpl", "gnu affero general public license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("agpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license for more details you should have received a copy of the gnu affero general public license along with this program"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not be misrepresented as being the original software 3 this notice may not be removed or altered from any source distribution"),
+    ("bsl", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0"),
+    ("epl", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0"),
+    ("artistic", "this is free software you can redistribute it and or modify it under the terms of the artistic license 2 0"),
     ("cc-by", "licensed under cc by 4 0"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by-sa", "creative commons attribution sharealike 4 0 international license"),
     ("cc-by", "creative commons attribution 4 0 international license"),
     ("cc0", "dedicated to the public domain under cc0 1 0 universal"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means"),
     ("proprietary", "all rights reserved no part of this publication may be reproduced without the prior written permission of the publisher"),
 ]
 #: Words of a match, words between two matches of a chain, least share of a template, and words that suffice for a long one.
@@ -135,6 +152,33 @@ class Scanner:
                 at = self.machine.link[at]
             self.phrases.append(found)
         self.templates = range(len(phrases), len(texts))
+        # Where else the longest suffixes of a state's match end: (template, its word, words in common at most), deepest state first.
+        self.alike: list[list[tuple[int, int, int]]] = []
+        for s in range(len(self.machine.len)):
+            at, seen = s, {}
+            while at > 0 and self.machine.len[at] >= MATCH:
+                for t, end in self.machine.ends[at]:
+                    if t in self.templates:
+                        seen.setdefault((t, end), self.machine.len[at])
+                at = self.machine.link[at]
+            self.alike.append([(t, end, most) for (t, end), most in seen.items()])
+
+    def matches(self, ids: list[int]):
+        """(template, document start, words, template start) of all matches of MATCH words or more that nothing extends, and the places of phrases."""
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        places: list[tuple[int, str]] = []
+        upto = len(ids) - 1
+        for i, (state, length) in enumerate(self.machine.statistics(ids)):
+            for size, label in self.phrases[state]:
+                if size <= length:
+                    places.append((i - size + 1, label))
+            if length >= MATCH:
+                for t, end, most in self.alike[state]:
+                    own = self.sequences[t]
+                    if i == upto or end + 1 == len(own) or own[end + 1] != ids[i + 1]:
+                        n = min(length, most)
+                        found.setdefault(t, []).append((i - n + 1, n, end - n + 1))
+        return found, places
 
     def scan(self, words: list[bytes]) -> tuple[list, list]:
         """Places (word, label) of the phrases, and spans (label, first, last, matched, coverage)."""
@@ -144,46 +188,42 @@ class Scanner:
         steps = np.diff(known)
         starts, ends = np.flatnonzero(steps == 1), np.flatnonzero(steps == -1)
         places: list[tuple[int, str]] = []
-        chains: dict[int, list[tuple[int, int, int]]] = {}
+        matches: dict[int, list[tuple[int, int, int]]] = {}
         long = ends - starts > 1
         for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True):
-            stream = list(self.machine.statistics(ids[a:b].tolist()))
-            for i, (state, length) in enumerate(stream):
-                for size, label in self.phrases[state]:
-                    if size <= length:
-                        places.append((a + i - size + 1, label))
-                if length >= MATCH and (i + 1 == len(stream) or stream[i + 1][1] <= length):
-                    for t, end in self.machine.ends[state]:
-                        if t in self.templates:
-                            chains.setdefault(t, []).append((a + i - length + 1, length, end - length + 1))
-        spans = []
-        for t, matches in chains.items():
-            spans += self._chained(t, matches)
-        return sorted(places), sorted(set(spans), key=lambda s: (s[1], s[2], s[0], -s[4]))
-
-    def _chained(self, t: int, matches: list[tuple[int, int, int]]) -> list:
-        """Spans of a template from its matches (document start, length, template start), in document order."""
-        out, total = [], len(self.sequences[t])
-        first = last = None
-        covered = at = 0
-
-        def close():
-            if covered >= SHARE * total or covered >= ENOUGH:
-                out.append((self.labels[t], first, last, covered, min(1.0, covered / total)))
-
-        for start, length, place in sorted(matches):
-            lap = 0 if last is None else max(0, last + 1 - start, at - place)
-            if last is not None and lap < length and start - last <= GAP + 1 and place - at <= GAP:
-                covered += length - lap
-            else:
-                if last is not None and lap >= length:
-                    continue
-                if last is not None:
-                    close()
-                first, covered = start, length
-            last, at = start + length - 1, place + length
-        if last is not None:
-            close()
+            found, own = self.matches(ids[a:b].tolist())
+            places += [(a + i, label) for i, label in own]
+            for t, each in found.items():
+                matches.setdefault(t, []).extend((a + i, n, j) for i, n, j in each)
+        spans = {s for t, each in matches.items() for s in self.chained(t, each)}
+        inside = lambda s, o: s[0] != o[0] and o[1] <= s[1] and s[2] <= o[2] and s[4] < o[4]
+        return sorted(places), sorted((s for s in spans if not any(inside(s, o) for o in spans)), key=lambda s: (s[1], s[2], s[0], -s[4]))
+
+    def chained(self, t: int, matches: list[tuple[int, int, int]]) -> list:
+        """Spans of a template from its matches (document start, words, template start)."""
+        total = len(self.sequences[t])
+        # (document end, template end, document start, template start, covered, first): the best chain to each match.
+        best: list[tuple[int, int, int, int, int, int]] = []
+        near = 0
+        ordered = sorted(matches)
+        longest = max(n for _, n, _ in ordered)
+        for start, n, at in ordered:
+            covered, first = n, start
+            # What begins longer ago than the longest match and a gap ends too far away.
+            while best and near < len(best) and best[near][2] < start - longest - GAP:
+                near += 1
+            for end, upto, before, place, has, since in best[near:]:
+                if before < start and place < at and end < start + n and upto < at + n and start - end <= GAP and at - upto <= GAP:
+                    has += n - max(0, end - start, upto - at)
+                    if (has, since) > (covered, first):
+                        covered, first = has, since
+            best.append((start + n, at + n, start, at, covered, first))
+        out: list[tuple] = []
+        for end, _, _, _, covered, first in sorted(best, key=lambda m: (-m[4], m[0], -m[5], m[1])):
+            if covered < min(SHARE * total, ENOUGH):
+                break
+            if all(end - 1 < low or high < first for _, low, high, *_ in out):
+                out.append((self.labels[t], first, end - 1, covered, min(1.0, covered / total)))
         return out
 
 
