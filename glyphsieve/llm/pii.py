@@ -2,27 +2,36 @@
 
 Seeds are entities that their form gives away: e-mail addresses, IP addresses, payment
 cards, phone numbers, access keys and hexadecimal secrets. Candidates are all strings with
-digits that could be identifiers. A pattern is what stands before a candidate: the last
-word and the signs after it. Patterns and instances form a graph. In each round a
-pattern's confidence in a kind is the mean confidence of its distinct instances, and an
-instance's is that of the best of its accepted patterns, seeds staying at 1. Patterns at
-ACCEPT or above with SUPPORT distinct known instances, seeds or discovered ones, are accepted
-and name the kind of what follows them. Rounds go on until no pattern or instance is new;
-candidates that accepted patterns select and no seed covers become spans.
-
-One pass over the texts writes candidates (row key, place, cue, value hash); all scoring is
-Spark aggregation over them, so its cost follows the number of candidates.
-
-Edge cases: null and empty texts have no spans. Repeated rows and ids give a row each.
-Other columns are carried by `redact` and not read by `extract`.
+digits that could be identifiers (`CANDIDATE`, LEAST signs or more). A candidate has up to four
+lexical patterns: the word and signs before it; the two words before it; the two words
+after it; and the word on either side. Of a word the LETTERS next to the candidate
+count, of signs the SIGNS next to it.
+
+Patterns and instances form a graph. In each round a pattern's confidence in a kind is the
+mean confidence of its distinct instances, and an instance's is that of the best of its
+accepted patterns, seeds staying at 1. A pattern is accepted at a confidence of ACCEPT or
+more if chance does not explain it: were its n instances drawn from all candidates, of which
+a share r is seeds of the kind, so high a confidence c has a probability of at most
+exp(-n KL(c, r)), and over all patterns of the corpus less than CHANCE such may be expected.
+So the support that a pattern needs grows with the corpus, and three coincidences are none.
+Rounds go on until no pattern or instance is new; candidates that accepted patterns select
+and no seed covers become spans, of the kind of the most confident one.
+
+One pass over the texts writes candidates (row key, place, patterns, value hash); all scoring
+is Spark aggregation over them, so its cost follows the number of candidates.
+
+Edge cases: null and empty texts have no spans; an empty table gives no rows. A text is held
+whole in its worker and searched in linear time. Repeated rows and ids give a row each.
+Other columns, whatever their names, are carried by `redact` and not read by `extract`.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
@@ -38,32 +47,46 @@ CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 #: Further seeds, by form alone.
 KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])")
-SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,128}(?![A-Za-z0-9])")
+SECRET = re.compile(r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])(?=[0-9]*[a-f])[0-9a-f]{16,}(?![A-Za-z0-9])")
 DIGIT = re.compile("[0-9]")
-CANDIDATE = re.compile(r"[A-Za-z0-9+][A-Za-z0-9._+/-]{4,126}[A-Za-z0-9]")
-CUE = re.compile(r"([^\W\d_]{1,32})([ \t\"'=:#(]{0,6})\Z")
-NEAR = 40
-ACCEPT, SUPPORT = 0.8, 3
+#: Runs of these signs, without those at their ends that end no identifier, are candidates if they have a digit and LEAST signs.
+CANDIDATE, LEAST, ENDS = re.compile(r"[A-Za-z0-9._+/-]+"), 6, "._/-"
+RUN = re.compile(r"[A-Za-z0-9._+/-]*\Z")
+#: Letters of a word and signs that patterns hold at most.
+LETTERS, SIGNS = 32, 6
+BEFORE = re.compile(rf"(?:([^\W\d_]{{1,{LETTERS}}})(\W{{1,{SIGNS}}}))?([^\W\d_]{{1,{LETTERS}}})([ \t\"'=:#(]{{0,{SIGNS}}})\Z")
+AFTER = re.compile(rf"([ \t\"'=:;,)]{{0,{SIGNS}}}[^\W\d_]{{1,{LETTERS}}})(\W{{1,{SIGNS}}}[^\W\d_]{{1,{LETTERS}}})?")
+BLANKS = re.compile(r"\s+")
+NEAR = 2 * (LETTERS + SIGNS)
+#: Least confidence of a pattern, and how many accepted ones may be chance.
+ACCEPT, CHANCE = 0.8, 0.01
 #: Rounds end where no pattern or instance is new and the patterns' confidence has risen by less than this in all.
 SETTLED = 1e-3
+#: Accepted patterns up to which they are broadcast (some 200 bytes each at most), checked by counting.
+PATTERN_ROWS = 100_000
 #: Rows with spans up to which they are broadcast, checked by counting.
 SPAN_ROWS = 100_000
 #: Characters looked at for an e-mail's local part at a time.
 STEP = 256
 
 
+def run_start(text: str, at: int, free: int, run: re.Pattern) -> int:
+    """Where the run of signs that ends at a place begins, not before `free`."""
+    width = STEP
+    while True:
+        low = max(free, at - width)
+        start = low + run.search(text[low:at]).start()
+        if start > low or low == free:
+            return start
+        width *= 4
+
+
 def emails(text: str) -> list[tuple[int, int]]:
     """Leftmost non-overlapping addresses: each @ takes the run of local characters before it, back to the last address."""
     out, free = [], 0
     at = text.find("@")
     while at >= 0:
-        start, width = at, STEP
-        while True:
-            low = max(free, at - width)
-            start = low + LOCAL.search(text[low:at]).start()
-            if start > low or low == free:
-                break
-            width *= 4
+        start = run_start(text, at, free, LOCAL)
         m = EMAIL_TAIL.match(text, at) if start < at else None
         if m:
             out.append((start, m.end()))
@@ -107,72 +130,103 @@ def seeds(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def cue(text: str, start: int) -> str | None:
-    m = CUE.search(text[max(0, start - NEAR) : start])
-    return m[1].lower() + re.sub(r"[ \t]+", " ", m[2]) if m else None
+def contexts(text: str, start: int, end: int) -> list[str]:
+    """The patterns of what stands at start to end: L word before, LL two words before, RR two words after, B both sides."""
+    out = []
+    before = BEFORE.search(text[max(0, start - NEAR) : start])
+    after = AFTER.match(text, end, end + NEAR)
+    plain = lambda t: BLANKS.sub(" ", t.lower())
+    if before:
+        left = plain(before[3] + before[4])
+        out.append("L" + left)
+        if before[1]:
+            out.append("LL" + plain(before[1] + before[2]) + left)
+    if after:
+        if after[2]:
+            out.append("RR" + plain(after[0]))
+        if before:
+            out.append("B" + left + "|" + plain(after[1]))
+    return out
 
 
-def candidates(text: str) -> list[tuple[str | None, int, int, str | None, int]]:
-    """(seed kind or none, start, end, cue, value hash): all seeds, and the strings with a digit that overlap none."""
-    found = seeds(text)
-    out = [(k, a, b) for k, a, b in found]
+def candidates(text: str) -> list[tuple[str | None, int, int, list[str], int]]:
+    """(seed kind or none, start, end, patterns, value hash): all seeds, and the candidates that overlap none."""
+    found: list[tuple[str | None, int, int]] = [*seeds(text)]
     first = DIGIT.search(text)
     if first:
         taken = sorted((a, b) for _, a, b in found)
-        i, low = 0, max(0, first.start() - 127)
-        for m in CANDIDATE.finditer(text, text.rfind(" ", 0, low) + 1 if low else 0):
-            while i < len(taken) and taken[i][1] <= m.start():
+        i = 0
+        for m in CANDIDATE.finditer(text, run_start(text, first.start(), 0, RUN)):
+            run = m[0].lstrip(ENDS)
+            a = m.end() - len(run)
+            run = run.rstrip(ENDS + "+")
+            b = a + len(run)
+            while i < len(taken) and taken[i][1] <= a:
                 i += 1
-            if DIGIT.search(m[0]) and not any(a < m.end() and m.start() < b for a, b in taken[i : i + 8]):
-                out.append((None, *m.span()))
-    return [(k, a, b, cue(text, a), xxh64_intdigest(text[a:b].encode()) - (1 << 63)) for k, a, b in out]
+            if len(run) >= LEAST and DIGIT.search(run) and not (i < len(taken) and taken[i][0] < b):
+                found.append((None, a, b))
+    return [(k, a, b, contexts(text, a, b), xxh64_intdigest(text[a:b].encode()) - (1 << 63)) for k, a, b in found]
 
 
 def collected(docs: DataFrame) -> DataFrame:
     """key, doc_id and the candidates of each row of docs (key, doc_id, text), written."""
-    kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("cue", pa.string()), ("value", pa.int64())]))
+    names = ("kind", "start", "end", "cues", "value")
+    kind = pa.list_(pa.struct(list(zip(names, (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.int64()), strict=True))))
 
     def run(batches):
         for batch in small_batches(batches):
-            found = [[dict(zip(("kind", "start", "end", "cue", "value"), c, strict=True)) for c in candidates(t.as_py() or "")] for t in batch.column(2)]
+            found = [[dict(zip(names, c, strict=True)) for c in candidates(t.as_py() or "")] for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, kind)], names=["key", "doc_id", "found"])
 
-    out = mapped(docs.select("key", "doc_id", "text"), run, "key bigint, doc_id bigint, found array<struct<kind:string,start:bigint,end:bigint,cue:string,value:bigint>>")
+    out = mapped(docs.select("key", "doc_id", "text"), run, "key bigint, doc_id bigint, found array<struct<kind:string,start:bigint,end:bigint,cues:array<string>,value:bigint>>")
     return written(out, "pii-candidates")
 
 
+def surprise(confidence: Column, share: Column) -> Column:
+    """KL divergence of two coins, in nats; 0 where the confidence is no higher than the share."""
+    part = lambda p, q: F.when(p > 0, p * F.log(p / q)).otherwise(0.0)
+    return F.when(confidence > share, part(confidence, share) + part(1 - confidence, 1 - share)).otherwise(0.0)
+
+
 def patterns(rows: DataFrame) -> DataFrame:
     """(cue, kind, confidence) of the accepted patterns over collected() rows."""
-    seen = rows.select(F.explode("found").alias("f")).select("f.*").filter("cue IS NOT NULL")
-    edges = written(seen.groupBy("cue", "value").agg(F.max("kind").alias("kind")), "pii-edges")
-    # A cue of fewer values can never have the support.
-    cues = edges.groupBy("cue").agg(F.count("*").alias("n")).filter(F.col("n") >= SUPPORT)
-    graph = written(edges.join(cues, "cue"), "pii-graph")
-    seeded = written(edges.filter("kind IS NOT NULL").select("value", "kind", F.lit(1.0).alias("confidence")).distinct(), "pii-seeds")
+    seen = rows.select(F.explode("found").alias("f")).select("f.*")
+    values = written(seen.groupBy("value").agg(F.max("kind").alias("kind")), "pii-values")
+    seeded = values.filter("kind IS NOT NULL").withColumn("confidence", F.lit(1.0))
+    edges = written(seen.select("value", F.explode("cues").alias("cue")).distinct(), "pii-edges")
+    cues = written(edges.groupBy("cue").agg(F.count("*").alias("n")).filter("n > 1"), "pii-cues")
+    # How many patterns could mislead, and the share of each kind among all candidates (one row a kind).
+    many = F.lit(math.log(max(1, cues.count()) / CHANCE))
+    shares = values.groupBy("kind").agg(F.count("*").alias("k")).select("kind", ((F.col("k") + 1) / (values.count() + 2)).alias("share")).filter("kind IS NOT NULL")
     known, before = seeded, None
     while True:
         # All that is known supports a pattern: seeds, and what accepted patterns have found.
-        scored = graph.drop("kind").join(known, "value").groupBy("cue", "kind").agg((F.sum("confidence") / F.first("n")).alias("confidence"), F.count("*").alias("support"))
-        good = written(scored.filter((F.col("confidence") >= ACCEPT) & (F.col("support") >= SUPPORT)), "pii-patterns")
-        grown = graph.filter("kind IS NULL").select("cue", "value").join(good, "cue").groupBy("value", "kind").agg(F.max("confidence").alias("confidence"))
-        known = written(seeded.unionByName(grown).groupBy("value", "kind").agg(F.max("confidence").alias("confidence")), "pii-known")
+        summed = edges.join(known, "value").groupBy("cue", "kind").agg(F.sum("confidence").alias("s"))
+        scored = summed.join(cues, "cue").join(F.broadcast(shares), "kind").withColumn("confidence", F.col("s") / F.col("n"))
+        sure = F.col("n") * surprise(F.col("confidence"), F.col("share")) >= many
+        good = written(scored.filter((F.col("confidence") >= ACCEPT) & sure).select("cue", "kind", "confidence"), "pii-patterns")
+        accepted = maybe_broadcast(good, PATTERN_ROWS)
+        grown = edges.join(accepted, "cue").join(seeded.select("value"), "value", "left_anti").groupBy("value", "kind").agg(F.max("confidence").alias("confidence"))
+        known = written(seeded.unionByName(grown), "pii-known")
         now = (*good.agg(F.count("*"), F.coalesce(F.sum("confidence"), F.lit(0.0))).first(), known.count())
         # Nothing is ever taken back and confidence only rises, so this ends.
         if before and (now[0], now[2]) == (before[0], before[2]) and now[1] - before[1] < SETTLED:
             break
         before = now
     # One kind per cue: the most confident, then the first by name.
-    best = good.groupBy("cue").agg(F.max_by("kind", F.struct("confidence", F.expr("-ascii(kind)"), "kind")).alias("kind"), F.max("confidence").alias("confidence"))
-    return written(best, "pii-accepted")
+    rank = F.struct("confidence", F.expr("-ascii(kind)"), "kind")
+    return written(good.groupBy("cue").agg(F.max_by("kind", rank).alias("kind"), F.max("confidence").alias("confidence")), "pii-accepted")
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """key, doc_id, base and spans: arrays of (kind, start, end) by the kinds' order, then start. docs: key, doc_id, text."""
     rows = collected(docs)
-    accepted = patterns(rows).select("cue", F.col("kind").alias("learned"))
+    accepted = patterns(rows).select("cue", F.struct("confidence", F.expr("-ascii(kind)").alias("order"), F.col("kind").alias("learned")).alias("best"))
     each = rows.select("key", F.explode("found").alias("f")).select("key", "f.*")
     seeded = each.filter("kind IS NOT NULL").select("key", "kind", "start", "end")
-    learned = each.filter("kind IS NULL AND cue IS NOT NULL").join(accepted, "cue").select("key", F.col("learned").alias("kind"), "start", "end")
+    unsure = each.filter("kind IS NULL").select("key", "start", "end", F.explode("cues").alias("cue"))
+    learned = unsure.join(maybe_broadcast(accepted, PATTERN_ROWS), "cue").groupBy("key", "start", "end").agg(F.max("best").alias("best"))
+    learned = learned.select("key", F.col("best.learned").alias("kind"), "start", "end")
     order = F.coalesce(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")), F.lit(0))
     marked = F.struct(F.when(order > 0, order).otherwise(len(KINDS) + 1).alias("o"), "kind", "start", "end")
     # A document's spans are bounded by its text.
