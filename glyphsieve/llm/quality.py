@@ -2,12 +2,23 @@
 
 Fertility is measured with a public vocabulary on the whole text: characters per token,
 the share of byte-fallback tokens (line feeds, returns and tabs apart, which this kind of
-vocabulary always spells in bytes) and the entropy of the token distribution. Each script
-has bands; a text is judged by the bands of the script most of its letters belong to, and
-rejected outside them. Entropy is judged only where there are enough tokens to measure it.
+vocabulary always spells in bytes) and the entropy of the token distribution.
+
+There are two kinds of rejection bands, and a text must lie inside both. `BANDS` are fixed
+and wide, by the script that most of a text's letters belong to; entropy is judged there only
+from ENTROPY_TOKENS on. `fences` are measured: all texts of the table that pass the base
+rules, grouped by script, language (column `lang`, where there is one) and size (powers of
+two of their tokens, since short texts vary more and have less entropy), give quartiles of
+characters per token and of entropy, and what lies REACH times their distance outside them
+is rejected. Half of a group's texts would have to be bad to move the quartiles far.
+Quartiles are exact to 1 / STEPS and depend on the table alone, not on its partitions.
+Groups of fewer than GROUP texts have no fences; their texts of LONG_TOKENS or more take the
+characters per token of all such texts of the script and language, if those are enough.
 
 Edge cases: a null or empty text has no words, so it fails the base rule; its fertility
-figures are null. Repeated rows and ids give a row each. Other columns are not read.
+figures are null. A null language is a language of its own. An empty table gives no rows.
+A text is held whole in its worker. Repeated rows and ids give a row each. Other columns,
+whatever their names, are carried by `keep` and not read by `digest`.
 """
 
 from __future__ import annotations
@@ -18,11 +29,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mapped
-from .pieces import STAGE_BYTES, Cache, encoded, model, sized_batches
+from .common import mapped, maybe_broadcast, written
+from .pieces import BATCH_BYTES, STAGE_BYTES, Cache, encoded, model, sized_batches
 
 MODEL = "piece_bpe_32k.model"
 #: Fixed by the contract.
@@ -51,6 +62,13 @@ RANGES = [
 ]
 #: Tokens from which on entropy is judged.
 ENTROPY_TOKENS = 64
+#: Fences: parts of one that figures are counted in, texts of a group at least, and the distance from the quartiles in their distance, and in the figure itself at least.
+STEPS, GROUP, REACH, LEAST_REACH = 256, 100, 4.0, 0.04
+#: Tokens from which on characters per token vary little with size, and the size that stands for all those texts.
+LONG_TOKENS, ANY_SIZE = 256, -1
+#: Groups up to which their fences are broadcast, checked by counting.
+FENCE_ROWS = 100_000
+KEY = ["script", "language", "size"]
 
 SCHEMA = (
     "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
@@ -147,43 +165,79 @@ def figures(doc_ids, texts, path: str) -> list[pa.Array]:
     return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
 
 
-def measure(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id with all figures."""
-    names = [f.split()[0] for f in SCHEMA.split(", ")]
+def with_figures(docs: DataFrame, carried: list[str], path: str) -> DataFrame:
+    """The carried columns of docs as __c0, __c1, ..., and language and all figures."""
+    held = [f"__c{i}" for i in range(len(carried))]
+    own = [f.split()[0] for f in SCHEMA.split(", ")]
+    named = {c.lower(): c for c in docs.columns}
+    language = F.coalesce(F.col(f"`{named['lang']}`").cast("string"), F.lit("")) if "lang" in named else F.lit("")
+    rows = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(carried, held, strict=True)], language.alias("language"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
+    at = len(held)
 
     def run(batches):
-        for batch in sized_batches(batches, 1):
-            yield pa.RecordBatch.from_arrays(figures(batch.column(0), batch.column(1), path), names=names)
+        for batch in sized_batches(batches, at + 2, STAGE_BYTES if at else BATCH_BYTES):
+            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], *figures(batch.column(at + 1), batch.column(at + 2), path)], names=[*held, "language", *own])
+
+    fields = "".join(f"`{h}` {docs.schema[c].dataType.simpleString()}, " for h, c in zip(held, carried, strict=True))
+    return mapped(rows, run, f"{fields}language string, {SCHEMA}", True)
 
-    return mapped(docs.select("doc_id", "text"), run, SCHEMA, True)
+
+def measure(docs: DataFrame, path: str) -> DataFrame:
+    """language, doc_id and all figures."""
+    return with_figures(docs, [], path)
 
 
-def judged(measured: DataFrame, bands: dict[str, tuple[float, float, float, float]] = BANDS) -> DataFrame:
-    """With base_failed, fertile (null figures pass) and kept."""
+def sized(measured: DataFrame) -> DataFrame:
+    """With base_failed and the size class."""
+    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
+    return measured.withColumns({"base_failed": failed, "size": F.floor(F.log2(F.greatest("n_tokens", F.lit(1)))).cast("int")})
+
+
+def fences(measured: DataFrame, group: int = GROUP) -> DataFrame:
+    """(script, language, size) of the groups with enough texts, and the least and most of chars and bits that they allow."""
+    step = lambda c: F.floor(F.col(c) * STEPS)
+    long = F.when(F.col("n_tokens") >= LONG_TOKENS, step("chars_per_token"))
+    kinds = [("chars", F.col("size"), step("chars_per_token")), ("bits", F.col("size"), step("entropy")), ("chars", F.lit(ANY_SIZE), long)]
+    figure = F.explode(F.array(*[F.struct(F.lit(n).alias("figure"), size.alias("size"), at.alias("step")) for n, size, at in kinds])).alias("f")
+    good = sized(measured).filter("NOT base_failed AND n_tokens > 0")
+    counted = good.select("script", "language", figure).select("script", "language", "f.*").filter("step IS NOT NULL").groupBy(*KEY, "figure", "step").agg(F.count("*").alias("n"))
+    # As many rows as a group has steps, however many texts.
+    each = Window.partitionBy(*KEY, "figure")
+    upto = each.orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = counted.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(each)}).filter(F.col("all") >= group)
+    quartile = lambda k: ((F.min(F.when(4 * F.col("upto") >= k * F.col("all"), F.col("step"))) + 0.5) / STEPS).alias(f"q{k}")
+    found = ranked.groupBy(*KEY, "figure").agg(quartile(1), quartile(3))
+    reach = F.greatest(REACH * (F.col("q3") - F.col("q1")), LEAST_REACH * (F.col("q3") + F.col("q1")) / 2)
+    found = found.select(*KEY, "figure", (F.col("q1") - reach).alias("low"), (F.col("q3") + reach).alias("high"))
+    pick = lambda n, c: F.max(F.when(F.col("figure") == n, F.col(c))).alias(f"{n}_{c}")
+    return found.groupBy(*KEY).agg(*[pick(n, c) for n in ("chars", "bits") for c in ("low", "high")])
+
+
+def judged(measured: DataFrame, bands: dict[str, tuple[float, float, float, float]] = BANDS, group: int = GROUP) -> DataFrame:
+    """measured, which must be a written table, with base_failed, fertile (null figures pass) and kept."""
     ok = F.lit(True)
     for name, (least, most, share, bits) in bands.items():
         inside = F.col("chars_per_token").between(least, most) & (F.col("byte_share") <= share) & ((F.col("entropy") >= bits) | (F.col("n_tokens") < ENTROPY_TOKENS))
         ok = F.when(F.col("script") == name, inside).otherwise(ok)
-    failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = measured.withColumns({"base_failed": failed, "fertile": F.coalesce(ok, F.lit(True))})
-    return out.withColumn("kept", ~F.col("base_failed") & F.col("fertile"))
+    limits = written(fences(measured, group), "fences")
+    own = maybe_broadcast(limits.filter(F.col("size") != ANY_SIZE), FENCE_ROWS)
+    pooled = limits.filter(F.col("size") == ANY_SIZE).select("script", "language", F.col("chars_low").alias("any_low"), F.col("chars_high").alias("any_high"))
+    out = sized(measured).join(own, KEY, "left").join(maybe_broadcast(pooled, FENCE_ROWS), KEY[:2], "left")
+    long = F.col("n_tokens") >= LONG_TOKENS
+    least, most = (F.coalesce(f"chars_{side}", F.when(long, F.col(f"any_{side}"))) for side in ("low", "high"))
+    fenced = F.coalesce(F.col("chars_per_token").between(least, most), F.lit(True)) & F.coalesce(F.col("entropy").between(F.col("bits_low"), F.col("bits_high")), F.lit(True))
+    out = out.withColumn("fertile", F.coalesce(ok, F.lit(True)) & fenced)
+    out = out.withColumn("kept", ~F.col("base_failed") & F.col("fertile"))
+    return out.drop("size", "chars_low", "chars_high", "bits_low", "bits_high", "any_low", "any_high")
 
 
 def digest(docs: DataFrame, path: str) -> DataFrame:
-    return judged(measure(docs, path))
+    return judged(written(measure(docs, path), "quality"))
 
 
-def keep(docs: DataFrame, path: str) -> DataFrame:
+def keep(docs: DataFrame, path: str, group: int = GROUP) -> DataFrame:
     """The rows of docs that are kept, all columns."""
     names = docs.columns
-    held = [f"__c{i}" for i in range(len(names))]
-    at = names.index("doc_id"), names.index("text")
-    own = [f.split()[0] for f in SCHEMA.split(", ")]
-
-    def run(batches):
-        for batch in sized_batches(batches, at[1], STAGE_BYTES):
-            yield pa.RecordBatch.from_arrays([*batch.columns, *figures(batch.column(at[0]), batch.column(at[1]), path)], names=[*held, *own])
-
-    fields = ", ".join(f"`{h}` {f.dataType.simpleString()}" for h, f in zip(held, docs.schema, strict=True))
-    out = judged(mapped(docs.toDF(*held), run, f"{fields}, {SCHEMA}", True)).filter("kept")
-    return out.select(*[F.col(h).alias(n) for h, n in zip(held, names, strict=True)])
+    # Written with all columns, so that texts are measured once and only figures are read for the fences.
+    rows = written(with_figures(docs, names, path), "quality")
+    return judged(rows, group=group).filter("kept").select(*[F.col(f"__c{i}").alias(n) for i, n in enumerate(names)])
