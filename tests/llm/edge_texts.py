@@ -24,6 +24,9 @@ def make_texts() -> list[tuple]:
     rows += [(91, "<|endoftext|> <s> </s> <unk> ▁ ▁▁  　 日本語 \U0001f600 \x00\x01 İ ß ΑΣ don't I'LL **bold** #1"), (92, "  two  spaces   here "), (93, "▁" * 5), (94, "#*$%&|<> " * 5)]
     rows += [(95 + i, f"token = \"{draw.getrandbits(160):040x}\" " + sentence(12)) for i in range(6)]
     rows += [(101, "token = \"" + "9F" * 20 + "\" " + sentence(12)), (102, sentence(6000) + " " + passage), (103, rows[1][1].upper()), (104, "ab" * 200), (105, "ab" * 150)]
+    # Enough of a pattern, and of other identifiers, that chance does not explain it.
+    rows += [(106 + i, f"token = \"{draw.getrandbits(160):040x}\" " + sentence(12)) for i in range(24)]
+    rows += [(130 + i, sentence(4) + f" room {700_000 + 37 * i} " + sentence(8)) for i in range(60)]
     return rows
 
 

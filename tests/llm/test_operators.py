@@ -1,6 +1,9 @@
 """Each operator against a plain version over texts that hold all the edge cases, and on empty tables."""
 
+import base64
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -122,6 +125,26 @@ def test_near_duplicates(spark):
     assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(30))
 
 
+def test_near_duplicates_of_a_table(spark):
+    """Every pair of documents of the sf0.01 table whose five-word shingles have a Jaccard similarity of 0.8 or more is in one class."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    held = {r["doc_id"]: simhash.shingle_hashes((r["text"] or "").encode(), 5) for r in rows.collect()}
+    prints = {d: [simhash.majority(simhash.mixed(h, k)) for k in range(4)] for d, h in held.items()}
+    sets = {d: set(h.tolist()) for d, h in held.items() if len(h)}
+    names = sorted(sets)
+    pairs = []
+    for i, a in enumerate(names):
+        for b in names[:i]:
+            low, high = sorted((len(sets[a]), len(sets[b])))
+            if 5 * low >= 4 * high and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                pairs.append((a, b))
+    found = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(rows).collect()}
+    joined = [found[a] == found[b] for a, b in pairs]
+    assert len(pairs) > 50 and sum(joined) >= 0.9 * len(pairs)
+    near = [(a, b) for a, b in pairs if sum((x ^ y).bit_count() for x, y in zip(prints[a], prints[b], strict=True)) <= 51]
+    assert all(found[a] == found[b] for a, b in near)
+
+
 def test_hot_keys_lose_no_near_copy(spark):
     """A chain of near copies that share a key, where trees hold a few nodes: each is within the radius of its neighbours only."""
     draw = np.random.default_rng(5)
@@ -214,6 +237,74 @@ def test_quality(docs, nothing):
     assert quality.script("日本語です漢字") in ("kana", "han") and quality.script("") == "other" and quality.script("Привет") == "cyrillic"
 
 
+def test_fertility_figures(docs):
+    """Characters per token, byte share and entropy from the library's own ids."""
+    path = tokenizer(quality.MODEL)
+    library = pieces.model(path).library
+    for r, text in ((r, t) for r in quality.measure(docs, path).collect() for i, t in TEXTS if i == r["doc_id"] and i not in (None, 85)):
+        ids = library.encode(text or "")
+        assert r["n_tokens"] == len(ids)
+        if not ids:
+            assert r["chars_per_token"] is None and r["entropy"] is None and r["byte_share"] is None
+            continue
+        fallback = sum(library.is_byte(i) and library.id_to_piece(i) not in ("<0x0A>", "<0x0D>", "<0x09>") for i in ids)
+        p = np.array(list(Counter(ids).values())) / len(ids)
+        assert math.isclose(r["chars_per_token"], len(text) / len(ids)) and math.isclose(r["byte_share"], fallback / len(ids))
+        assert math.isclose(r["entropy"], -(p * np.log2(p)).sum(), abs_tol=1e-9)
+
+
+def plain_fences(rows):
+    """(chars_low, chars_high, bits_low, bits_high) of each group, by sorting."""
+    groups = {}
+    for r in rows:
+        if not r["base_failed"] and r["n_tokens"]:
+            size = int(math.log2(r["n_tokens"]))
+            groups.setdefault((r["script"], r["language"], size, "chars"), []).append(math.floor(r["chars_per_token"] * quality.STEPS))
+            groups.setdefault((r["script"], r["language"], size, "bits"), []).append(math.floor(r["entropy"] * quality.STEPS))
+            if r["n_tokens"] >= quality.LONG_TOKENS:
+                groups.setdefault((r["script"], r["language"], -1, "chars"), []).append(math.floor(r["chars_per_token"] * quality.STEPS))
+    out = {}
+    for key, steps in groups.items():
+        if len(steps) >= quality.GROUP:
+            low, high = ((sorted(steps)[-(-k * len(steps) // 4) - 1] + 0.5) / quality.STEPS for k in (1, 3))
+            reach = max(quality.REACH * (high - low), quality.LEAST_REACH * (high + low) / 2)
+            out[key] = low - reach, high + reach
+    return out
+
+
+def test_fertility_rejects_what_the_base_rules_keep(spark):
+    """Base64, random letters, symbols in words and wrongly decoded text go; clean texts of four languages and rare groups stay."""
+    draw = random.Random(3)
+    source = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").filter("n_chars BETWEEN 500 AND 4000").orderBy("doc_id").select("doc_id", "text", "lang").limit(1600).collect()
+    good = [(r["doc_id"], r["text"], r["lang"]) for r in source]
+    junk, english = [], [t for _, t, lang in good if lang == "en"]
+    for k in range(12):
+        text = english[7 * k]
+        coded = base64.b64encode(text.encode()).decode()
+        junk += [" ".join(coded[i : i + 60] for i in range(0, len(coded), 60)), " ".join("".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in w) for w in text.split())]
+        junk += [" ".join(w + draw.choice("#$%&") * 3 for w in text.split()), text.encode("utf-16-le").decode("latin-1")]
+    rows = good + [(10_000_000 + i, t, "en") for i, t in enumerate(junk)] + [(20_000_000, "Привет, как дела? " + " ".join(f"слово{i}" for i in range(30)), "ru")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    found = quality.digest(table, tokenizer(quality.MODEL)).collect()
+    fences = plain_fences(found)
+    for r in found:
+        if r["n_tokens"]:
+            size = int(math.log2(r["n_tokens"]))
+            least, most, share, bits = quality.BANDS[r["script"]]
+            ok = least <= r["chars_per_token"] <= most and r["byte_share"] <= share and (r["entropy"] >= bits or r["n_tokens"] < quality.ENTROPY_TOKENS)
+            chars = fences.get((r["script"], r["language"], size, "chars")) or (fences.get((r["script"], r["language"], -1, "chars")) if r["n_tokens"] >= quality.LONG_TOKENS else None)
+            entropy = fences.get((r["script"], r["language"], size, "bits"))
+            ok = ok and (not chars or chars[0] <= r["chars_per_token"] <= chars[1]) and (not entropy or entropy[0] <= r["entropy"] <= entropy[1])
+            assert r["fertile"] == ok and r["kept"] == (ok and not r["base_failed"])
+    by = {r["doc_id"]: r for r in found}
+    bad = [by[10_000_000 + i] for i in range(len(junk))]
+    assert sum(not r["base_failed"] for r in bad) >= 0.7 * len(bad) and not any(r["kept"] for r in bad)
+    assert by[20_000_000]["kept"]
+    marks = re.compile(r"[#$%&*]{3}|\|")
+    clean = [by[i] for i, t, _ in good if not marks.search(t) and not by[i]["base_failed"]]
+    assert len(clean) > 1000 and sum(r["kept"] for r in clean) >= 0.99 * len(clean)
+
+
 def test_licences(docs, nothing):
     expected = Counter()
     for doc_id, text in TEXTS:
@@ -299,8 +390,119 @@ def test_repeats(docs, most):
     assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_repeats(TEXTS)
 
 
-def test_repeats_of_nothing(nothing):
+def test_long_texts_and_slices(spark, monkeypatch):
+    """Texts longer than a slice and than a block, endless repetition, strings that end in one slice and go on in the next."""
+    draw = random.Random(11)
+    word = lambda: "".join(draw.choice("abcdefgh") for _ in range(draw.randint(1, 7)))
+    long = " ".join(word() for _ in range(1500))
+    texts = [(1, long), (2, "x" + long), (3, long[700:2400] + " y " + long[100:900]), (4, "ab" * 900), (5, "ab" * 700 + "c"), (6, "ab" * 20 + long[-60:]), (None, long[5:300]), (7, None), (7, "")]
+    monkeypatch.setattr(repeats, "PIECE", 173)
+    monkeypatch.setattr(repeats, "BLOCK", 1000)
+    monkeypatch.setattr(repeats, "GIVEN", 100)
+    offsets = np.cumsum([0, *(len(t or "") for _, t in texts)])
+    raw = "".join(t or "" for _, t in texts).encode()
+    keys = {}
+    for start, count, key in zip(*(x.tolist() for x in repeats.runs(memoryview(raw), offsets)), strict=True):
+        for p in range(start, start + count):
+            assert keys.setdefault(raw[p : p + 50], key) == key
+    assert set(keys) == {raw[p : p + 50] for a, b in zip(offsets[:-1], offsets[1:], strict=True) for p in range(a, b - 49)}
+    rows = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    for most in (repeats.HOT, 2):
+        # The mapped functions run in this process, under the small sizes.
+        assert block_by_block(texts, most) == plain_repeats(texts)
+    found = repeats.remove_repeats(rows, texts=False)
+    assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_repeats(texts)
+
+
+def block_by_block(texts, most, bits=2):
+    """The steps of remove_repeats over one block per text, in plain loops."""
+    blocks = [((i if i is not None else repeats.NULL_ID), i, (t or "").encode()) for i, t in texts]
+    weights, seen = Counter(), Counter()
+    for _, _, raw in blocks:
+        _, count, keys = repeats.runs(raw, np.array([0, len(raw)]))
+        ids, _, w = repeats.weighed(keys, count, bits)
+        weights.update(dict(zip(ids.tolist(), w.tolist(), strict=True)))
+        seen.update(ids.tolist())
+    cuts, buckets = [], {}
+    for n, (key, _, raw) in enumerate(blocks):
+        offsets = np.array([0, len(raw)])
+        ids, _, _ = repeats.weighed(*(repeats.runs(raw, offsets)[k] for k in (2, 1)), bits)
+        answers = {}
+        for bucket, a, b in repeats._by_bucket(ids, bits):
+            own = ids[a:b].tolist()
+            answers[bucket] = np.packbits([seen[i] > 1 for i in own] + [weights[i] >= most for i in own]).tobytes()
+        cut = repeats.Cut(raw, offsets, np.array([key]), answers, bits)
+        sent = np.flatnonzero(cut.sent)
+        sent = sent[np.argsort(cut.seg_id[sent], kind="stable")]
+        parts = list(repeats._by_bucket(cut.seg_id[sent], bits))
+        cuts.append((cut.state(sent, parts), offsets))
+        for bucket, a, b in parts:
+            own = sent[a:b]
+            buckets.setdefault(bucket, []).append((n, cut.seg_id[own].astype(np.uint32), cut.positions[own].astype(np.int64), cut.least[own], b"".join(raw[x : x + p + 49] for x, p in zip(cut.at[own].tolist(), cut.positions[own].tolist(), strict=True))))
+    replies = [{} for _ in blocks]
+    for bucket, rows in buckets.items():
+        flags = repeats.settle(*(np.concatenate([r[k] for r in rows]) for k in (1, 2, 3)), b"".join(r[4] for r in rows))
+        at = 0
+        for n, _, positions, _, _ in rows:
+            replies[n][bucket] = np.packbits(flags[at : at + int(positions.sum())]).tobytes()
+            at += int(positions.sum())
+    out = Counter()
+    for (_, i, raw), (state, offsets), reply in zip(blocks, cuts, replies, strict=True):
+        low, high, _ = repeats.removed_spans(repeats.unpack(state), reply, offsets)
+        gone = set()
+        for a, b in zip(low.tolist(), high.tolist(), strict=True):
+            gone |= set(range(a, b))
+        out[i, len(raw), len(gone), len(low), hashlib.sha256(bytes(x for k, x in enumerate(raw) if k not in gone)).hexdigest()] += 1
+    return out
+
+
+def test_segments_of_one_hash(monkeypatch):
+    """Hashes that meet by chance are told apart byte by byte."""
+    contents = repeats.contents
+    monkeypatch.setattr(repeats, "contents", lambda raw, start, count: repeats.mix(contents(raw, start, count) % np.uint64(7)))
+    assert block_by_block(TEXTS[55:82], 2) == plain_repeats(TEXTS[55:82])
+
+
+MEMORY = """
+import resource, numpy as np
+from glyphsieve.llm import repeats
+draw = np.random.default_rng(0)
+words = [bytes(draw.integers(97, 123, draw.integers(2, 9), dtype=np.uint8)) for _ in range(5000)]
+raw = b" ".join(words[k] for k in draw.integers(0, 5000, {size} // 6))[:{size}]
+offsets = np.append(np.arange(0, len(raw), {text}), len(raw))
+_, count, keys = repeats.runs(raw, offsets)
+ids, _, _ = repeats.weighed(keys, count, 6)
+answers = {{b: np.packbits(np.concatenate([np.ones(y - x, bool), np.full(y - x, {hot})])).tobytes() for b, x, y in repeats._by_bucket(ids, 6)}}
+del count, keys, ids
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+cut = repeats.Cut(raw, offsets, np.arange(len(offsets) - 1), answers, 6)
+none = np.empty(0, np.int64)
+repeats.removed_spans(repeats.unpack(cut.state(none, [])), {{}}, offsets)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) // 1024)
+"""
+
+
+@pytest.mark.parametrize(("size", "text", "hot", "most"), [(8 << 20, 2000, True, 600), (8 << 20, 2000, False, 150), (20 << 20, 20 << 20, False, 300)])
+def test_memory_of_a_block(size, text, hot, most):
+    """MB that a worker takes beyond the block: all keys hot, all keys shared, one text of 20 MB."""
+    import subprocess
+    import sys
+
+    out = subprocess.run([sys.executable, "-c", MEMORY.format(size=size, text=text, hot=hot)], capture_output=True, text=True, check=True)
+    assert int(out.stdout.split()[-1]) < most
+
+
+def test_sizes_follow_the_input():
+    assert repeats.sizes(10**8, 12) == (repeats.BLOCK, 6, 12)
+    block, bits, parts = repeats.sizes(10**14, 4000)
+    assert block == 8 * repeats.BLOCK and 1 << bits <= 1 << 19 and parts == repeats.MOST_PARTS
+
+
+def test_repeats_of_nothing(spark, nothing):
     assert repeats.digest(nothing).count() == 0
+    short = [(1, "short"), (2, "short"), (3, None)]
+    found = repeats.remove_repeats(spark.createDataFrame(short, "doc_id long, text string"), texts=False)
+    assert rows_of(found, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == plain_repeats(short)
 
 
 def test_suffix_array():
@@ -412,6 +614,62 @@ def test_patterns_of_later_generations(spark):
     texts += [f"ref: ZQX{k}001" for k in range(5)] + ["ref: ZQY7002"]
     texts += [f"badge: ZQX{k}001" for k in range(4)] + ["badge: ZQY7002", "badge: ZQZ8003"]
     texts += [f"page: ZQX{k}001" for k in range(3)] + [f"page: XYZ{k}009" for k in range(3)]
+    texts += [f"room {1_000_000 + k}" for k in range(200)] + ["und +1 (234) 555-1234", "und a.b@c.de", "und 10.1.2.3", "und 7654321"]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {texts[r["doc_id"]] for r in pii.digest(rows).collect() if r["spans"]}
-    assert found == {t for t in texts if not t.startswith("page")}
+    assert found == {t for t in texts if not t.startswith(("page", "room")) and t != "und 7654321"}
+
+
+def plain_patterns(texts):
+    """The kinds of accepted patterns by the rule as it is written, in plain dictionaries."""
+    held = [(k, c, text[a:b]) for text in texts for k, a, b, c, _ in pii.candidates(text)]
+    kind_of = {}
+    for k, _, v in held:
+        kind_of[v] = max(kind_of.get(v) or "", k or "") or None
+    values = {}
+    for _, cues, v in held:
+        for c in cues:
+            values.setdefault(c, set()).add(v)
+    values = {c: v for c, v in values.items() if len(v) > 1}
+    share = {k: (n + 1) / (len(kind_of) + 2) for k, n in Counter(kind_of.values()).items() if k}
+    known = {(v, k): 1.0 for v, k in kind_of.items() if k}
+    good = {}
+    for _ in range(200):
+        good = {}
+        for c, own in values.items():
+            for k, r in share.items():
+                p = sum(known.get((v, k), 0) for v in own) / len(own)
+                surprise = 0 if p <= r else p * math.log(p / r) + ((1 - p) * math.log((1 - p) / (1 - r)) if p < 1 else 0)
+                if p >= pii.ACCEPT and len(own) * surprise >= math.log(len(values) / pii.CHANCE):
+                    good[c, k] = p
+        for (c, k), p in good.items():
+            for v in values[c]:
+                if not kind_of[v]:
+                    known[v, k] = max(known.get((v, k), 0), p)
+    return good
+
+
+def test_learned_spans(spark):
+    """All spans against the rule in plain Python: both sides, several words, three coincidences."""
+    draw = np.random.default_rng(9)
+    texts = [f"reach me at a{k}.b@example.org today" for k in range(30)] + ["reach me at office(at)example123 today"]
+    texts += [f"{40 + k}.12.13.{k} is my address now" for k in range(30)] + ["2001-db8-77-1 is my address now"]
+    texts += [f"pass word: {draw.integers(1 << 60):016x}f1 end" for k in range(20)] + ["pass word: ABCDEF99 end", "word: ZZZZZ8"]
+    texts += [f"und 10.0.0.{k}" for k in range(3)] + ["und 1234567", "he +1 (555) 123-4567", "he +1 (555) 123-4568", "he +1 (555) 123-4569", "he 7654321"]
+    texts += [f"number {k} of {k}5500{k}" for k in range(150)]
+    good = plain_patterns(texts)
+    assert {c for c, _ in good} >= {"LLme at ", "RR is my", "LLpass word: "} and not [c for c, _ in good if c in ("Lund ", "Lhe ")]
+    expected = {}
+    for i, text in enumerate(texts):
+        spans = []
+        for k, a, b, cues, _ in pii.candidates(text):
+            best = max(((good[c, k], -ord(k[0]), k) for c in cues for k in {k for x, k in good if x == c}), default=None)
+            if k or best:
+                kind = k or best[2]
+                spans.append((pii.KINDS.index(kind) if kind in pii.KINDS else 9, kind, a, b))
+        expected[i] = ",".join(f"{k}:{a}:{b}" for _, k, a, b in sorted(spans))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["spans"] for r in pii.digest(rows).collect()} == expected
+    found = {i for i, s in expected.items() if s}
+    assert {texts.index(t) for t in texts if t.startswith(("2001", "pass word: ABC"))} <= found
+    assert not found & {i for i, t in enumerate(texts) if t in ("und 1234567", "he 7654321") or t.startswith("number")}
