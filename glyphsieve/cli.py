@@ -1,6 +1,7 @@
 """Command line. Operator ids: F12, C9.
 
     python -m glyphsieve.cli detect FOLDER [PATTERN] --manifest FILE [--report FILE]
+    python -m glyphsieve.cli audit FOLDER --name NAME --out FOLDER (--manifest FILE | --directories top|parent) [--report FILE] [--unnamed]
     python -m glyphsieve.cli compare BEFORE AFTER --out FOLDER [--allow-shift]
     python -m glyphsieve.cli check RUN
 """
@@ -14,7 +15,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from .functions import names
-from .operators import classify, compare, detect, integrity, score
+from .operators import audit, classify, compare, detect, integrity, score
 from .sources import catalogue, files, sinks
 
 
@@ -48,6 +49,38 @@ def run_detect(spark: SparkSession, folder: str, pattern: str, manifest: str | N
     return 0
 
 
+def run_audit(spark: SparkSession, folder: str, name: str, out: str, manifest: str | None, directories: str | None, report: str | None, explicit: bool) -> int:
+    """From a folder to a run: every file audited, with the conversion made here or, given a converter's report, with its working copy."""
+    found = files.corpus(spark, folder)
+    kept = found.filter(~F.col("path").endswith(".bak"))
+    if manifest:
+        truth = files.manifest(spark, manifest, exact=True)
+        if truth is None:
+            print("the manifest lacks a needed column", file=sys.stderr)
+            return 2
+        truth = truth.withColumn("RelativePath", F.col("key"))
+        listed = classify.resolve_manifest(kept, truth)
+    else:
+        languages = names.language_tags(kept.select(F.get(classify.directories(F.col("path")), F.lit(0)).alias("directory")).distinct().filter("directory IS NOT NULL"))
+        listed = classify.resolve_directories(kept, directories == "top", languages)
+    inventory = audit.inventory(listed, name)
+    if report:
+        contents = audit.working_copy(found)
+        # What stood there before the conversion is the backup, where there is one.
+        before = contents.select("RelativePath", F.coalesce("backup", "current").alias("__b"))
+        inventory = inventory.join(before, "RelativePath").withColumns({"OriginalByteLength": F.octet_length("__b").cast("long"), "OriginalSha256": F.sha2("__b", 256)}).drop("__b")
+        results = audit.reported(files.converter_report(spark, report, folder))
+    else:
+        results, contents = audit.convert(listed, explicit)
+    rows = audit.audit(inventory, results, contents).persist()
+    listing = files.inventory(kept, name).join(inventory.drop("Corpus", "OriginalSha256", "OriginalByteLength"), "RelativePath", "left")
+    sinks.write_run(rows, listing, out, name)
+    broken = score.reconciled(rows).filter("NOT ok").count()
+    faults = integrity.coverage_faults(inventory.select("Corpus", "RelativePath"), rows.select("Corpus", "RelativePath")).count()
+    rows.unpersist()
+    return classify.exit_code(broken + faults, 0, False)
+
+
 def run_compare(spark: SparkSession, before: str, after: str, out: str, allowed: bool) -> int:
     try:
         alarm = sinks.write_comparison(files.typed(files.run(spark, before)), files.typed(files.run(spark, after)), out)
@@ -77,6 +110,15 @@ def main(args: list[str] | None = None) -> int:
     truth.add_argument("--manifest")
     truth.add_argument("--catalogue")
     d.add_argument("--report")
+    u = sub.add_parser("audit")
+    u.add_argument("folder")
+    u.add_argument("--name", required=True)
+    u.add_argument("--out", required=True)
+    reference = u.add_mutually_exclusive_group(required=True)
+    reference.add_argument("--manifest")
+    reference.add_argument("--directories", choices=["top", "parent"])
+    u.add_argument("--report")
+    u.add_argument("--unnamed", action="store_true")
     k = sub.add_parser("compare")
     k.add_argument("before")
     k.add_argument("after")
@@ -88,6 +130,8 @@ def main(args: list[str] | None = None) -> int:
     spark = session()
     if a.command == "detect":
         return run_detect(spark, a.folder, a.pattern, a.manifest, a.catalogue, a.report)
+    if a.command == "audit":
+        return run_audit(spark, a.folder, a.name, a.out, a.manifest, a.directories, a.report, not a.unnamed)
     if a.command == "compare":
         return run_compare(spark, a.before, a.after, a.out, a.allow_shift)
     return run_check(spark, a.run)

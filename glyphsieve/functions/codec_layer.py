@@ -192,11 +192,26 @@ CYRILLIC = ["cp1251", "koi8-r", "cp866", "iso8859-5", "mac-cyrillic"]
 _FREQUENT = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъ"
 
 
-def _kana_share(text: str) -> tuple[float, float]:
+#: The most frequent characters of Chinese texts, in simplified and traditional forms.
+_HAN = {"gb18030": "的一是不在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于", "big5": "的一是不在人有我他這個們中來上大為和國地到以說時要就出會可也你對生能而子那得於"}
+
+
+def _east_asian(text: str, codec: str) -> float | None:
+    """How well a text fits the script that a multi-byte codec is for; null where it has too little of any."""
     wide = [c for c in text if ord(c) > 0x7F]
-    common = sum("぀" <= c <= "ヿ" or "一" <= c <= "鿿" or "가" <= c <= "힣" or c in "、。，！？「」・ー" for c in wide)
-    kana = sum("぀" <= c <= "ヿ" for c in wide)
-    return common / max(1, len(wide)), kana / max(1, len(wide))
+    # In a text of Latin letters a few signs can pass for double bytes.
+    if not wide or 4 * len(wide) < sum(c.isalpha() for c in text) - len(wide):
+        return None
+    share = lambda test: sum(map(test, wide)) / len(wide)
+    kana, hangul = share(lambda c: "\u3040" <= c <= "\u30ff"), share(lambda c: "\uac00" <= c <= "\ud7a3")
+    common = kana + hangul + share(lambda c: "\u4e00" <= c <= "\u9fff" or c in "、。，！？「」・：；（）《》“”")
+    if common <= 0.85:
+        return None
+    if codec in ("euc_jp", "shift_jis"):
+        return common + (0.2 if kana > 0.1 else -0.3)
+    if codec == "euc_kr":
+        return common + (0.2 if hangul > 0.5 else -0.3)
+    return common + min(0.2, share(lambda c: c in _HAN[codec])) - hangul - kana
 
 
 def legacy(data: bytes) -> str | None:
@@ -206,11 +221,9 @@ def legacy(data: bytes) -> str | None:
     scored = []
     for rank, codec in enumerate(MULTIBYTE):
         text = decode_whole(data, codec)
-        if text:
-            common, kana = _kana_share(text)
-            per = sum(b > 0x7F for b in data) / max(1, sum(ord(c) > 0x7F for c in text))
-            if common > 0.85 and per > 1.4:
-                scored.append((round(common + (0.2 if kana > 0.1 and codec in ("euc_jp", "shift_jis") else 0) + (0.1 if codec == "euc_kr" and "가" <= max(text) <= "힣" else 0), 3), -rank, codec))
+        score = _east_asian(text, codec) if text else None
+        if score is not None:
+            scored.append((round(score, 3), -rank, codec))
     if scored:
         return max(scored)[2]
     high = Counter(b for b in data if b > 0x7F)

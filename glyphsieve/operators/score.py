@@ -35,18 +35,30 @@ def judged(df: DataFrame, accepted: str | None = None) -> DataFrame:
     return df.withColumn("ok", ok).withColumn("credited", F.when(F.col("ok"), F.col("actual")).otherwise(F.col("expected")))
 
 
+def tallied(df: DataFrame) -> DataFrame:
+    """judged() rows counted by credited, actual and ok: one pass over the rows, and a few hundred rows for whatever is asked of them."""
+    return df.groupBy("credited", "actual", "ok").agg(F.count("*").alias("n"))
+
+
 def confusion(df: DataFrame) -> DataFrame:
     """Class, tp, fn, fp, tn of judged() rows, one against the rest.
 
-    Counting each side by its own class and subtracting from the total does without a product of rows and classes.
+    Each tally counts for the class it is credited to, for the one it is wrongly reported as, and in
+    the total, which does without a product of rows and classes and reads the rows once.
     """
-    as_truth = df.groupBy(F.col("credited").alias("class")).agg(count_if(F.col("ok")).alias("tp"), count_if(~F.col("ok")).alias("fn"))
-    as_claim = df.filter(~F.col("ok")).groupBy(F.col("actual").alias("class")).agg(F.count("*").alias("fp"))
-    total = df.agg(F.count("*").alias("total"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    out = _labels(df, dims.CLASSES, "class").join(as_truth, "class", "left").join(as_claim, "class", "left").crossJoin(F.broadcast(total))
-    tp, fn, fp = zero(F.col("tp")), zero(F.col("fn")), zero(F.col("fp"))
-    return out.select("class", tp.alias("tp"), fn.alias("fn"), fp.alias("fp"), (F.col("total") - tp - fn - fp).alias("tn"))
+    n, zero, wrong = F.col("n"), F.lit(0).cast("long"), ~F.col("ok")
+    part = lambda name, tp, fn, fp, total: F.struct(name.alias("class"), tp.alias("tp"), fn.alias("fn"), fp.alias("fp"), total.alias("total"))
+    parts = F.array(
+        part(F.col("credited"), F.when(F.col("ok"), n).otherwise(zero), F.when(wrong, n).otherwise(zero), zero, n),
+        part(F.when(wrong, F.col("actual")), zero, zero, F.when(wrong, n).otherwise(zero), zero),
+    )
+    sums = tallied(df).select(F.explode(parts).alias("p")).select("p.*").groupBy("class").agg(*[F.sum(x).alias(x) for x in ("tp", "fn", "fp", "total")])
+    # A row a class and one without: the window is over those.
+    sums = sums.withColumn("total", F.sum("total").over(Window.partitionBy()))
+    out = _labels(df, dims.CLASSES, "class").join(sums, "class", "left")
+    count = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("long")
+    total = F.coalesce(F.max("total").over(Window.partitionBy()), F.lit(0)).cast("long")
+    return out.select("class", count("tp").alias("tp"), count("fn").alias("fn"), count("fp").alias("fp"), (total - count("tp") - count("fn") - count("fp")).alias("tn"))
 
 
 def percent(a: Column, b: Column, digits: int = 6) -> Column:
@@ -54,14 +66,16 @@ def percent(a: Column, b: Column, digits: int = 6) -> Column:
 
 
 def overall(df: DataFrame) -> DataFrame:
-    """A4, A5: processed, correct, accuracy, and the micro-averaged false positive and negative rates."""
-    sums = confusion(df).agg(*[F.sum(c).alias(c) for c in ("tp", "fn", "fp", "tn")])
-    one = df.agg(F.count("*").alias("processed"), count_if(F.col("ok")).alias("correct"))
-    c = {n: F.col(n) for n in ("tp", "fn", "fp", "tn")}
-    return one.crossJoin(sums).select(
-        "processed", "correct", percent(F.col("correct"), F.col("processed")).alias("accuracy"),
-        percent(c["fp"], c["fp"] + c["tn"]).alias("fpr"), percent(c["fn"], c["fn"] + c["tp"]).alias("fnr"),
+    """A4, A5: processed, correct, accuracy, and the micro-averaged false positive and negative rates, from one pass."""
+    n, ok = F.col("n"), F.col("ok")
+    total = lambda cond: F.coalesce(F.sum(F.when(cond, n)), F.lit(0))
+    one = tallied(df).agg(
+        total(F.lit(True)).alias("processed"), total(ok).alias("correct"), total(ok & F.col("credited").isin(dims.CLASSES)).alias("tp"),
+        total(~ok & F.col("credited").isin(dims.CLASSES)).alias("fn"), total(~ok & F.col("actual").isin(dims.CLASSES)).alias("fp"),
     )
+    c = {x: F.col(x) for x in ("processed", "correct", "tp", "fn", "fp")}
+    tn = len(dims.CLASSES) * c["processed"] - c["tp"] - c["fn"] - c["fp"]
+    return one.select("processed", "correct", percent(c["correct"], c["processed"]).alias("accuracy"), percent(c["fp"], c["fp"] + tn).alias("fpr"), percent(c["fn"], c["fn"] + c["tp"]).alias("fnr"))
 
 
 def per_class(matrix: DataFrame) -> DataFrame:
@@ -81,9 +95,9 @@ def run_counters(df: DataFrame) -> DataFrame:
 
 def mismatches(df: DataFrame) -> DataFrame:
     """Wrong rows of judged(), under the class they were reported as (FP) and the one they are (FN)."""
+    sides = F.array(F.struct(F.col("actual").alias("class"), F.lit("FP").alias("side")), F.struct(F.col("expected").alias("class"), F.lit("FN").alias("side")))
     wrong = df.filter(~F.col("ok")).withColumn("type", mismatch_type(F.col("expected"), F.col("actual")))
-    side = lambda c, name: wrong.filter(F.col(c).isNotNull()).select(F.col(c).alias("class"), F.lit(name).alias("side"), "path", "expected", "actual", "type")
-    return side("actual", "FP").unionByName(side("expected", "FN"))
+    return wrong.select(F.explode(sides).alias("s"), "path", "expected", "actual", "type").select("s.class", "s.side", "path", "expected", "actual", "type").filter("class IS NOT NULL")
 
 
 # -- audit aggregates: columns are named as in dims.AUDIT_COLUMNS, booleans and nulls inside -------------

@@ -49,6 +49,38 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Letters of the documents in the order of their frequency, and common signs of other scripts that stand for them.
+_LETTERS = "eanitrsouhldcgmpfbvwykqxjz"
+SCRIPTS = {
+    "cyrillic": "оеаинтсрвлкмдпуяыьгзбчйхжш", "kana": "のいたにしとるはをがてでなっれかさもうらりあすこきま", "han": "的一是不在人有我他这个中大来上国和地到以时要就出会可", "hangul": "이다는을의에가고하지한를도로사기아나자리어그대서일보",
+}
+#: Encodings and the script that their files are written in.
+LEGACY = [
+    ("koi8-r", "cyrillic"), ("cp1251", "cyrillic"), ("cp866", "cyrillic"), ("iso8859-5", "cyrillic"), ("euc_jp", "kana"), ("shift_jis", "kana"), ("iso2022_jp", "kana"),
+    ("gb18030", "han"), ("big5", "han"), ("euc_kr", "hangul"), ("cp1252", "latin"),
+]
+
+
+def legacy_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, declared and content: each document in another script and a legacy encoding of it, every eleventh cut before its last byte."""
+    from ..operators.detect import java_charsets, JVM
+
+    rows = documents(spark, sf_dir).withColumn("v", F.floor(F.col("doc_id") / 2) % len(LEGACY))
+    plain = F.regexp_replace(F.lower("text"), "[^\\x00-\\x7F]", "e")
+    # Big5 has traditional forms only.
+    forms = {"这": "這", "个": "個", "来": "來", "国": "國", "时": "時", "会": "會"}
+    out = F.lit(None).cast("binary")
+    with java_charsets(spark):
+        for i, (codec, script) in enumerate(LEGACY):
+            signs = SCRIPTS.get(script)
+            if codec == "big5":
+                signs = "".join(forms.get(x, x) for x in signs)
+            text = F.translate(plain, _LETTERS, signs) if signs else F.concat(F.lit("“"), F.col("text"), F.lit("”"))
+            out = F.when(F.col("v") == i, F.encode(F.when(F.col("v") == i, text), JVM[codec])).otherwise(out)
+        rows = rows.select("doc_id", by_variant([x for x, _ in LEGACY]).alias("declared"), out.alias("content"))
+    return rows.withColumn("content", F.when(F.col("doc_id") % 11 == 5, F.expr("substring(content, 1, octet_length(content) - 1)")).otherwise(F.col("content")))
+
+
 #: Portable expressions of the audit fixture over doc_id, in order; later ones may use earlier columns by nesting.
 _CODEC = "CASE doc_id % 5 WHEN 0 THEN 'utf-8' WHEN 1 THEN 'shift_jis' WHEN 2 THEN 'koi8-r' WHEN 3 THEN 'cp1252' ELSE 'utf-16-le' END"
 _SOURCE = "CASE WHEN doc_id % 53 = 0 THEN 'OutOfScope' WHEN doc_id % 59 = 0 THEN 'NoReferenceEncoding' WHEN doc_id % 61 = 0 THEN 'MetadataConflict' ELSE 'Manifest' END"

@@ -10,6 +10,12 @@ _BOMS = "['NoBOM','BOM','NoBOM','BOM','NoBOM','BOM','NoBOM','BOM','NoBOM','BOM',
 _EXPECTED = "['utf-8','utf-8-bom','utf-16LE','utf-16LE-bom','utf-16BE','utf-16BE-bom','utf-32LE','utf-32LE-bom','utf-32BE','utf-32BE-bom','legacy','ascii']"
 
 
+_CODECS = "['utf-8','utf-8','utf-16-le','utf-16-le','utf-16-be','utf-16-be','utf-32-le','utf-32-le','utf-32-be','utf-32-be','iso8859-1','ascii']"
+#: A sequence that ends before its time, in hex digits.
+_TAIL = "(C[2-9A-F]|D.|E.|F[0-4]|E0[AB].|E[1-9A-CEF][89AB].|ED[89].|F0[9AB].|F[1-3][89AB].|F48.|(F0[9AB].|F[1-3][89AB].|F48.)[89AB].)$"
+_MALFORMED = [("utf-8", 11), ("utf-16-le", 3), ("utf-16-be", 2), ("utf-32-le", 3), ("utf-32-be", 1), ("ascii", 2), ("shift_jis", 2), ("euc_jp", 3), ("iso2022_jp", 2), ("big5", 2), ("gb18030", 2), ("gb2312", 1), ("euc_kr", 2)]
+
+
 def _units(form: str, args: str) -> str:
     return f"array_to_string(list_transform(string_split(text,''), lambda ch: printf('{form}', {args})),'')"
 
@@ -21,6 +27,10 @@ corpus AS (SELECT doc_id, text, v, {_NAMES}[v+1] AS declared, {_BOMS}[v+1] AS bo
    WHEN v IN (4,5) THEN {_units('%04X', 'unicode(ch)')} WHEN v IN (6,7) THEN {_units('%02X%02X0000', 'unicode(ch) % 256, unicode(ch) // 256')}
    WHEN v IN (8,9) THEN {_units('%08X', 'unicode(ch)')} ELSE {_units('%02X', 'unicode(ch)')} END AS h FROM src)"""
 
+RESOLVED = f"""{CORPUS},
+res AS (SELECT doc_id, text, v, bom, doc_id % 20 = 3 AS out, CASE WHEN doc_id % 20 = 3 THEN 'node_modules/' || path ELSE path END AS path, CASE WHEN doc_id % 20 = 3 THEN '' ELSE declared END AS declared, CASE WHEN doc_id % 20 = 3 THEN '' ELSE {_CODECS}[v + 1] END AS codec,
+  CASE WHEN doc_id % 20 = 3 THEN 'ExcludedByEC' ELSE 'ParentDirectory' END AS source, CASE WHEN doc_id % 25 = 2 THEN substr(h, 1, length(h) - 2) ELSE h END AS h FROM corpus)"""
+
 _KIND = "CASE WHEN starts_with(h,'FFFE0000') THEN 'UTF-32LE' WHEN starts_with(h,'0000FEFF') THEN 'UTF-32BE' WHEN starts_with(h,'EFBBBF') THEN 'UTF-8' WHEN starts_with(h,'FFFE') THEN 'UTF-16LE' WHEN starts_with(h,'FEFF') THEN 'UTF-16BE' ELSE '' END"
 _HEAD = "substr(h, 1, 131072)"
 
@@ -33,6 +43,15 @@ found AS (SELECT doc_id, path, declared, bom, expected, CASE WHEN kind <> '' THE
   WHEN length(g) >= 20 AND e > 0.5 AND o < 0.1 THEN 'utf-16BE' WHEN length(g) >= 20 AND o > 0.5 AND e < 0.1 THEN 'utf-16LE'
   WHEN regexp_full_match(g, '([0-7].)*') THEN CASE WHEN list_count(list_filter(regexp_extract_all(substr(g, 1, 1000), '..'), lambda x: x = '7F' OR (x < '20' AND x NOT IN ('09','0A','0D')))) <= 0.1 * (length(substr(g, 1, 1000)) // 2) THEN 'ascii' END WHEN try(decode(unhex(u))) IS NOT NULL THEN 'utf-8' ELSE 'legacy' END AS actual FROM b)"""
 
+#: The corpus as the audit sees it, and the verdicts that follow from how each file was made.
+BUILT = f"""{CORPUS.replace('corpus AS (', 'made AS (')},
+corpus AS (SELECT doc_id, text AS given, v, declared, bom, expected, path, doc_id % 20 = 3 AS out, doc_id % 25 = 2 AS cut, CASE WHEN doc_id % 25 = 2 THEN substr(h, 1, length(h) - 2) ELSE h END AS h,
+  CASE WHEN doc_id % 25 = 2 THEN left(text, length(text) - 1) ELSE text END AS text, doc_id % 25 <> 2 OR v >= 10 OR (v < 2 AND right(text, 1) < chr(128)) AS ok FROM made){DETECTED[len(CORPUS):]},
+one AS (SELECT b.*, f.actual, CASE WHEN b.out THEN '' ELSE {_CODECS}[b.v + 1] END AS reference, CASE WHEN f.actual IS NULL THEN '' WHEN f.actual = 'legacy' THEN 'iso8859-1' WHEN f.actual = 'ascii' THEN 'ascii' WHEN f.actual LIKE 'utf-8%' THEN 'utf-8'
+  ELSE replace(replace(replace(f.actual, '-bom', ''), 'LE', '-le'), 'BE', '-be') END AS detected FROM b JOIN found f USING (doc_id)),
+two AS (SELECT *, CASE WHEN detected = '' THEN 'Skipped' WHEN actual = 'legacy' THEN 'Refused' WHEN NOT ok THEN 'Error' WHEN hex(encode(text)) = h THEN 'Unchanged' ELSE 'Converted' END AS status, reference = detected AS same FROM one),
+three AS (SELECT *, status IN ('Converted', 'Unchanged') AS done, NOT out AND ok AS readable, sha256(unhex({_units('%02X%02X0000', 'unicode(ch) % 256, unicode(ch) // 256')})) AS points FROM two)"""
+
 _CLASSES = "['utf-8-bom','utf-16LE-bom','utf-16BE-bom','utf-32LE-bom','utf-32BE-bom','utf-8','utf-16LE','utf-16BE','utf-32LE','utf-32BE','ascii','legacy']"
 _JUDGED = "j AS (SELECT *, coalesce(actual = expected, false) AS ok, expected AS credited FROM found)"
 _ACCEPTED = "j AS (SELECT *, ok0 AS ok, CASE WHEN ok0 THEN actual ELSE expected END AS credited FROM (SELECT *, coalesce(actual = expected, false) OR (declared IN ('utf-8','iso-8859-1') AND coalesce(actual, '') IN ('ascii','utf-8')) AS ok0 FROM found))"
@@ -105,8 +124,6 @@ SQL = {
     "nul_channel_ratio": f"WITH {DETECTED} SELECT doc_id, round(e, 6) AS even, round(o, 6) AS odd FROM b",
     "unicode_candidates": f"""WITH {DETECTED} SELECT doc_id, CASE WHEN length(w) >= 32 AND regexp_full_match(w, '(....(0[0-9A-F]|10)00)+') THEN 'LE' WHEN length(w) >= 32 AND regexp_full_match(w, '(00(0[0-9A-F]|10)....)+') THEN 'BE' END AS utf32,
  CASE WHEN length(g) >= 20 AND e > 0.5 AND o < 0.1 THEN 'BE' WHEN length(g) >= 20 AND o > 0.5 AND e < 0.1 THEN 'LE' END AS utf16 FROM b""",
-    "utf8_valid": f"""WITH {CORPUS}, r AS (SELECT doc_id, h, substr(h, 1, length(h) - 2) AS k FROM corpus WHERE v IN (0, 1, 10, 11)), z AS (SELECT *, regexp_replace(h, '(C[2-9A-F]|D.|E.|F[0-4])$', '') AS h1, regexp_replace(k, '(C[2-9A-F]|D.|E.|F[0-4])$', '') AS k1, regexp_full_match(h, '([0-7].)*') AS a, regexp_full_match(k, '([0-7].)*') AS ka FROM r)
- SELECT doc_id, a AS ascii, length(h1) > 0 AND try(decode(unhex(h1))) IS NOT NULL AND NOT a AS valid, length(k1) > 0 AND try(decode(unhex(k1))) IS NOT NULL AND NOT ka AS valid_cut FROM z""",
     "looks_like_text": r"""WITH t AS (SELECT doc_id, left(CASE WHEN doc_id % 3 = 0 THEN repeat(chr(1), (doc_id % 80)::int) || text ELSE text END, 500) AS t FROM documents)
  SELECT doc_id, length(t) > 0 AND length(t) - length(regexp_replace(t, '[^\p{Cc}\p{Co}]|[\r\n\t]', '', 'g')) >= 0.9 * length(t) AS text_like FROM t""",
     "detect_corpus": f"WITH {DETECTED} SELECT doc_id, expected, coalesce(actual, '(undetected)') AS actual FROM found",
@@ -138,12 +155,6 @@ SQL = {
     "filename_crosscheck": """WITH r AS (SELECT doc_id, doc_id % 7 <> 0 AS listed, CASE WHEN doc_id % 11 = 0 THEN 'Binary' ELSE 'utf-8' END AS e, doc_id % 4 <> 0 AS doc, CASE WHEN doc_id % 3 = 0 THEN 'koi8-r' ELSE 'utf-8' END AS t FROM documents)
  SELECT doc_id, CASE WHEN listed THEN e ELSE '' END AS declared, CASE WHEN listed THEN 'NoBOM' ELSE '' END AS bom, CASE WHEN NOT listed THEN 'NotInManifest' WHEN e = 'Binary' THEN 'Manifest' WHEN NOT doc THEN 'Manifest' WHEN t <> 'utf-8' THEN 'MetadataConflict' ELSE 'Manifest+Filename' END AS source,
  CASE WHEN listed AND e = 'utf-8' AND NOT (doc AND t <> 'utf-8') THEN 'utf-8' ELSE '' END AS codec FROM r""",
-    "strip_bom": "SELECT doc_id, repeat(chr(65279), greatest(0, (doc_id % 3)::int - 1)) || left(text, 40) AS text FROM documents",
-    "first_difference": """WITH r AS (SELECT doc_id, left(text, 200) AS a, left(CASE WHEN doc_id % 5 = 0 THEN text WHEN doc_id % 5 = 1 THEN left(text, (doc_id % 50)::int) ELSE left(text, (doc_id % 50)::int) || 'Ω' || substr(text, (doc_id % 50)::int + 2) END, 200) AS b FROM documents),
- x AS (SELECT *, CASE WHEN a = b THEN NULL ELSE coalesce(list_position(list_transform(range(1, least(length(a), length(b)) + 1), lambda i: substr(a, i, 1) <> substr(b, i, 1)), true) - 1, least(length(a), length(b))) END AS i FROM r),
- y AS (SELECT *, CASE WHEN i IS NULL THEN '' ELSE substr(a, i + 1, 1) END AS ca, CASE WHEN i IS NULL THEN '' ELSE substr(b, i + 1, 1) END AS cb FROM x)
- SELECT doc_id, i::bigint AS at, CASE WHEN ca = '' THEN '' ELSE printf('U+%04X', unicode(ca)) END AS code_point_a, CASE WHEN cb = '' THEN '' ELSE printf('U+%04X', unicode(cb)) END AS code_point_b, ca AS char_a, cb AS char_b,
- CASE WHEN i IS NULL THEN '' ELSE substr(a, greatest(i - 20, 0) + 1, i - greatest(i - 20, 0)) END AS before, CASE WHEN i IS NULL THEN '' ELSE substr(a, i + 1, 20) END AS after FROM y""",
     "text_identity": f"WITH {CORPUS} SELECT doc_id, true AS identical, length(text)::bigint AS length, sha256(unhex({_units('%02X%02X0000', 'unicode(ch) % 256, unicode(ch) // 256')})) AS sha256, true AS round_trip FROM corpus",
     "outcome_cascade": f"WITH {AUDIT} SELECT doc_id, FailureCategory, DetectionOutcome, DetectionMatch, DetectionBasis, BackupIntegrity FROM audit",
     "outcome_counts": f"WITH {AUDIT} SELECT FailureCategory, count(*) AS n FROM audit GROUP BY 1",
@@ -179,11 +190,43 @@ SQL = {
     "stratified_sample": f"""WITH {AUDIT}, s AS (SELECT *, {_SIZE} AS size_bucket, {_CONSTRAINT} AS constraint_bucket FROM audit), k AS (SELECT *, row_number() OVER (PARTITION BY Corpus, ReferenceEncoding, FailureCategory, DetectionOutcome, OriginalBOM, size_bucket, constraint_bucket ORDER BY md5('20260826:' || RelativePath), RelativePath) AS rank FROM s)
  SELECT Corpus, RelativePath, size_bucket, constraint_bucket, rank FROM k WHERE rank <= 3""",
     "uniform_sample": f"WITH {FIX}, k AS (SELECT *, row_number() OVER (PARTITION BY Corpus ORDER BY md5('20260826:' || RelativePath), RelativePath) AS rank FROM fix) SELECT Corpus, RelativePath, rank FROM k WHERE rank <= 150",
-    "malformed_refused": "SELECT codec, n::bigint AS n, n::bigint AS refused FROM (VALUES ('utf-8', 11), ('utf-16-le', 3), ('utf-16-be', 2), ('utf-32-le', 3), ('utf-32-be', 1), ('ascii', 2), ('shift_jis', 2), ('euc_jp', 3), ('iso2022_jp', 2), ('big5', 2), ('gb18030', 2), ('gb2312', 1), ('euc_kr', 2)) AS t(codec, n)",
     "convert_corpus": f"""WITH {DETECTED}, x AS (SELECT b.doc_id, b.h, b.v, b.text, f.actual, b.v = 10 AND b.doc_id % 24 = 10 AS named FROM b JOIN found f USING (doc_id)), y AS (SELECT *, CASE WHEN NOT named AND actual IS NULL THEN 'Skipped' WHEN named AND actual NOT IN ('ascii','legacy') THEN 'Refused' WHEN NOT named AND actual = 'legacy' THEN 'Refused' WHEN hex(encode(text)) = h THEN 'Unchanged' ELSE 'Converted' END AS status FROM x)
  SELECT doc_id, status, CASE WHEN status = 'Skipped' THEN 'EncodingNotIdentified' WHEN status <> 'Refused' THEN '' WHEN named THEN 'ExplicitSourceConflictsWithDetection' ELSE 'LegacySourceNotNamed' END AS reason, CASE WHEN status IN ('Converted','Unchanged') THEN sha256(encode(text)) END AS sha256, CASE WHEN status IN ('Converted','Unchanged') THEN true END AS identical FROM y""",
-    "silent_loss": "SELECT doc_id, doc_id % 48 = 0 AS silent_loss, CASE WHEN doc_id % 48 = 0 THEN 'Decode' ELSE '' END AS stage FROM documents WHERE doc_id % 12 = 0",
     "hash_recheck": f"WITH {CORPUS}, n AS (SELECT declared AS Corpus, count(*) AS n FROM corpus GROUP BY 1) SELECT Corpus, least(n, 150) AS n, 0::bigint AS wrong FROM n",
     "token_faults": _values([("koi8-r", "cp1251", "koi8-r")], "ReferenceEncodingDeclared, ReferenceEncoding, itself"),
-    "text_equivalent": f"WITH {CORPUS} SELECT doc_id, v <> 0 OR regexp_full_match(h, '([0-7].)*') AS equivalent FROM corpus WHERE v IN (0, 10, 11)",
+    "utf8_valid": f"""WITH {CORPUS}, z AS (SELECT doc_id, h, substr(h, 1, length(h) - 2) AS k FROM corpus), t AS (SELECT *, regexp_replace(h, '{_TAIL}', '') AS h1, regexp_replace(k, '{_TAIL}', '') AS k1, regexp_full_match(h, '([0-7].)*') AS a, regexp_full_match(k, '([0-7].)*') AS ka FROM z)
+ SELECT doc_id, a AS ascii, length(h1) > 0 AND try(decode(unhex(h1))) IS NOT NULL AND NOT a AS valid, length(k1) > 0 AND try(decode(unhex(k1))) IS NOT NULL AND NOT ka AS valid_cut FROM t""",
+    "ambiguous_marks": f"""WITH {CORPUS} SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN CASE WHEN starts_with(h, 'FFFE') THEN 'utf-16LE-bom' WHEN starts_with(h, 'FEFF') THEN 'utf-16BE-bom' ELSE 'utf-16LE' END
+ ELSE CASE WHEN starts_with(h, 'FFFE0000') THEN 'utf-32LE-bom' WHEN starts_with(h, '0000FEFF') THEN 'utf-32BE-bom' ELSE 'utf-32LE' END END AS class FROM corpus""",
+    "strip_bom": "SELECT doc_id, repeat(chr(65279), greatest(0, (doc_id % 3)::int - 1)) || coalesce(text, '') AS text FROM documents",
+    "first_difference": """WITH q AS (SELECT doc_id, coalesce(text, '') AS a, CASE WHEN doc_id % 5 = 2 THEN greatest(length(coalesce(text, '')) - 1, 0) ELSE doc_id * 7919 % greatest(length(coalesce(text, '')), 1) END AS p FROM documents),
+ r AS (SELECT doc_id, a, CASE WHEN doc_id % 5 = 0 THEN a WHEN doc_id % 5 = 1 THEN left(a, p) ELSE left(a, p) || 'Ω' || substr(a, p + 2) END AS b FROM q),
+ x AS (SELECT *, CASE WHEN a = b THEN NULL ELSE list_position(list_transform(list_zip(string_split(a, ''), string_split(b, '')), lambda z: z[1] IS DISTINCT FROM z[2]), true) - 1 END AS i FROM r),
+ y AS (SELECT *, CASE WHEN i IS NULL THEN '' ELSE substr(a, i + 1, 1) END AS ca, CASE WHEN i IS NULL THEN '' ELSE substr(b, i + 1, 1) END AS cb FROM x)
+ SELECT doc_id, i::bigint AS at, CASE WHEN ca = '' THEN '' ELSE printf('U+%04X', unicode(ca)) END AS code_point_a, CASE WHEN cb = '' THEN '' ELSE printf('U+%04X', unicode(cb)) END AS code_point_b, ca AS char_a, cb AS char_b,
+ CASE WHEN i IS NULL THEN '' ELSE substr(a, greatest(i - 20, 0) + 1, i - greatest(i - 20, 0)) END AS before, CASE WHEN i IS NULL THEN '' ELSE substr(a, i + 1, 20) END AS after FROM y""",
+    "malformed_refused": _values([(x, i, n, n - ((x, i) == ("utf-32-le", "jvm")), int((x, i) == ("utf-32-le", "jvm"))) for i in ("python", "jvm") for x, n in _MALFORMED], "codec, implementation, n, refused, acknowledged").replace("SELECT *", "SELECT codec, implementation, n::bigint AS n, refused::bigint AS refused, acknowledged::bigint AS acknowledged"),
+    "silent_loss": "SELECT doc_id, doc_id % 48 < 12 AND doc_id % 12 <> 10 AS silent_loss, CASE WHEN doc_id % 48 < 12 AND doc_id % 12 <> 10 THEN 'Decode' ELSE '' END AS stage FROM documents",
+    "text_equivalent": f"WITH {CORPUS} SELECT doc_id, CASE WHEN v >= 10 THEN true WHEN v = 0 THEN regexp_full_match(h, '([0-7].)*') ELSE h = '' END AS equivalent FROM corpus",
+    "greedy_batches": f"""WITH RECURSIVE {CORPUS}, o AS (SELECT declared AS codec, length(path) + 12 AS need, row_number() OVER (PARTITION BY declared ORDER BY path) AS k FROM corpus),
+ w AS (SELECT codec, k, need AS used, 0 AS batch FROM o WHERE k = 1 UNION ALL SELECT o.codec, o.k, CASE WHEN w.used + o.need > 400 THEN o.need ELSE w.used + o.need END, w.batch + (w.used + o.need > 400)::int FROM w JOIN o ON o.codec = w.codec AND o.k = w.k + 1)
+ SELECT codec, batch::bigint AS batch, count(*) AS n FROM w GROUP BY 1, 2""",
+    "oracle_readings": f"WITH {CORPUS} SELECT {_CODECS}[v + 1] AS codec, 'agree' AS verdict, count(*) AS n FROM corpus GROUP BY 1",
+    "forced_reference": f"""WITH {DETECTED}, x AS (SELECT b.h, b.text, f.actual, b.v = 10 AND b.doc_id % 24 = 10 AS named FROM b JOIN found f USING (doc_id)),
+ y AS (SELECT (NOT named AND actual IS NULL) OR (named AND actual NOT IN ('ascii','legacy')) OR (NOT named AND actual = 'legacy') OR hex(encode(text)) = h AS kept FROM x)
+ SELECT CASE WHEN kept THEN 'RefusedByPolicy' ELSE 'PASS' END AS outcome, CASE WHEN kept THEN 'assignAfter=PASS;strictUpFront=PASS' ELSE '' END AS forced, count(*) AS n FROM y GROUP BY 1, 2""",
+    "directory_references": f"WITH {RESOLVED} SELECT doc_id, path, declared, codec, source FROM res",
+    "converter_results": f"""WITH {CORPUS} SELECT path AS "RelativePath", {_CODECS}[v + 1] AS reference, CASE WHEN doc_id % 13 = 6 THEN 'MissingConvertedFile' WHEN doc_id % 9 = 0 THEN 'Skipped' ELSE 'Converted' END AS status,
+ CASE WHEN doc_id % 13 = 6 OR doc_id % 9 = 0 THEN '' ELSE {_CODECS}[v + 1] END AS detected, CASE WHEN doc_id % 13 = 6 THEN '' ELSE bom END AS bom FROM corpus""",
+    "token_classes": f"""WITH {CORPUS} SELECT doc_id, CASE WHEN v < 2 THEN 'utf-8' WHEN v < 6 THEN CASE WHEN starts_with(h, 'FFFE') THEN 'utf-16LE-bom' WHEN starts_with(h, 'FEFF') THEN 'utf-16BE-bom' ELSE 'utf-16LE' END
+ WHEN v < 10 THEN CASE WHEN starts_with(h, 'FFFE0000') THEN 'utf-32LE-bom' WHEN starts_with(h, '0000FEFF') THEN 'utf-32BE-bom' ELSE 'utf-32LE' END WHEN v = 10 THEN 'legacy' ELSE 'ascii' END AS class FROM corpus""",
+    "audit_rows": f"""WITH {BUILT} SELECT CASE WHEN out THEN 'node_modules/' || path ELSE path END AS "RelativePath", CASE WHEN out THEN '' ELSE declared END AS "ReferenceEncodingDeclared", reference AS "ReferenceEncoding",
+ CASE WHEN out THEN 'ExcludedByEC' ELSE 'ParentDirectory' END AS "ReferenceMetadataSource", detected AS "DetectedEncoding", CASE WHEN detected = '' THEN '' WHEN actual LIKE '%-bom' THEN 'BOM' ELSE 'NoBOM' END AS "DetectedBOM",
+ CASE WHEN kind = '' THEN 'NoBOM' ELSE 'BOM' END AS "OriginalBOM", kind AS "OriginalBOMKind", CASE WHEN NOT out THEN same END AS "DetectionMatch", CASE WHEN readable AND NOT same AND detected <> '' THEN true END AS "DetectionTextEquivalent",
+ status AS "ConversionStatus", CASE status WHEN 'Skipped' THEN 'EncodingNotIdentified' WHEN 'Refused' THEN 'LegacySourceNotNamed' WHEN 'Error' THEN 'InvalidBytes' ELSE '' END AS "ECReasonCode", sha256(unhex(h)) AS "OriginalSha256",
+ CASE WHEN status = 'Converted' THEN sha256(encode(text)) ELSE sha256(unhex(h)) END AS "ConvertedSha256", CASE WHEN status = 'Converted' THEN 'Verified' ELSE 'NotApplicable' END AS "BackupIntegrity", status <> 'Converted' AS "ByteIdentical",
+ CASE WHEN readable AND done THEN true END AS "TextIdentical", CASE WHEN readable THEN points ELSE '' END AS "ReferenceTextSha256", CASE WHEN done THEN points WHEN detected = '' AND (out OR ok) AND regexp_full_match(h, '([0-7].)+') THEN sha256(unhex(regexp_replace(h, '(..)', '\\1000000', 'g'))) ELSE '' END AS "ConvertedTextSha256", CASE WHEN readable THEN true END AS "CorpusRoundTrip",
+ CASE WHEN NOT out AND NOT ok THEN 'ReferenceDecodeError' WHEN out THEN 'OutOfScope' WHEN status = 'Skipped' THEN 'UnknownEncoding' WHEN status = 'Refused' THEN 'RefusedByPolicy' WHEN status = 'Error' THEN 'DecodeError' WHEN status = 'Unchanged' AND NOT same THEN 'NoOpMislabeled' ELSE 'PASS' END AS "FailureCategory" FROM three""",
+    "audit_outcomes": f"""WITH {BUILT}, four AS (SELECT *, NOT out AND v = 10 AS named FROM three), five AS (SELECT *, CASE WHEN named THEN CASE WHEN actual NOT IN ('ascii', 'legacy') THEN 'Refused' WHEN hex(encode(text)) = h THEN 'Unchanged' ELSE 'Converted' END ELSE status END AS s FROM four)
+ SELECT CASE WHEN out THEN NULL ELSE reference END AS "ReferenceEncoding", s AS "ConversionStatus", CASE WHEN NOT out AND NOT ok THEN 'ReferenceDecodeError' WHEN out THEN 'OutOfScope' WHEN s = 'Skipped' THEN 'UnknownEncoding' WHEN s = 'Refused' THEN 'RefusedByPolicy' WHEN s = 'Error' THEN 'DecodeError' WHEN s = 'Unchanged' AND NOT same THEN 'NoOpMislabeled' ELSE 'PASS' END AS "FailureCategory", count(*) AS n FROM five GROUP BY 1, 2, 3""",
 }

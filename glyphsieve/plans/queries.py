@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import content as fc
 from ..functions import names as fn
-from ..operators import classify, compare, detect, integrity, score
+from ..operators import audit, classify, compare, detect, integrity, score
 from . import corpus as rel
 
 S, D = SparkSession, DataFrame
@@ -40,11 +40,11 @@ def sample_prefix(s: S, d: str) -> D:
 
 
 def byte_entropy(s: S, d: str) -> D:
-    return fc.entropy(rel.corpus(s, d), "doc_id").select("doc_id", "n_bytes", F.round("entropy", 6).alias("entropy"), "gated")
+    return detect.entropy(rel.corpus(s, d), "doc_id").select("doc_id", "n_bytes", F.round("entropy", 6).alias("entropy"), "gated")
 
 
 def utf16_chi_square(s: S, d: str) -> D:
-    return fc.chi_square(rel.corpus(s, d), "doc_id").select("doc_id", F.col("units").cast("long").alias("units"), F.round("chi_even", 4).alias("chi_even"), F.round("chi_odd", 4).alias("chi_odd"))
+    return detect.chi_square(rel.corpus(s, d), "doc_id").select("doc_id", F.col("units").cast("long").alias("units"), F.round("chi_even", 4).alias("chi_even"), F.round("chi_odd", 4).alias("chi_odd"))
 
 
 def nul_channel_ratio(s: S, d: str) -> D:
@@ -58,15 +58,14 @@ def unicode_candidates(s: S, d: str) -> D:
 
 
 def utf8_valid(s: S, d: str) -> D:
-    cut = F.expr("substring(content, 1, octet_length(content) - 1)")
-    rows = rel.corpus(s, d).filter("doc_id % 12 IN (0, 1, 10, 11)").select("doc_id", "content", cut.alias("cut"))
+    rows = rel.corpus(s, d).select("doc_id", "content", F.expr("substring(content, 1, octet_length(content) - 1)").alias("cut"))
     return rows.select("doc_id", fc.is_ascii(c("content")).alias("ascii"), fc.valid_utf8(c("content")).alias("valid"), fc.valid_utf8(c("cut")).alias("valid_cut"))
 
 
-def utf8_valid_whole(s: S, d: str) -> D:
-    """utf8_valid over all rows; the SQL of that one has four of the twelve encodings."""
-    rows = rel.corpus(s, d).select("doc_id", "content", F.expr("substring(content, 1, octet_length(content) - 1)").alias("cut"))
-    return rows.select("doc_id", fc.is_ascii(c("content")).alias("ascii"), fc.valid_utf8(c("content")).alias("valid"), fc.valid_utf8(c("cut")).alias("valid_cut"))
+def ambiguous_marks(s: S, d: str) -> D:
+    """Every file under a name that leaves the byte order open."""
+    token = F.when(c("doc_id") % 2 == 0, "utf-16").otherwise("utf-32")
+    return rel.corpus(s, d).select("doc_id", fc.sniffed(token, c("content")).alias("class"))
 
 
 def looks_like_text(s: S, d: str) -> D:
@@ -182,28 +181,12 @@ def filename_crosscheck(s: S, d: str) -> D:
 
 
 def strip_bom(s: S, d: str) -> D:
-    mark = F.decode(F.unhex(F.lit("FEFF")), "UTF-16BE")
-    marked = F.concat(F.repeat(mark, (c("doc_id") % 3).cast("int")), F.left("text", F.lit(40)))
-    return rel.documents(s, d).select("doc_id", fc.strip_bom(marked).alias("text"))
-
-
-def first_difference(s: S, d: str) -> D:
-    at = (c("doc_id") % 50).cast("int")
-    other = F.when(c("doc_id") % 5 == 0, c("text")).when(c("doc_id") % 5 == 1, F.left("text", at)).otherwise(F.concat(F.left("text", at), F.lit("Ω"), F.expr("substring(text, cast(doc_id % 50 AS int) + 2)")))
-    diff = fc.first_difference(F.left(c("text"), F.lit(200)), F.left(other, F.lit(200)))
-    return rel.documents(s, d).select("doc_id", diff.alias("x")).select(
-        "doc_id", c("x.index").cast("long").alias("at"), "x.code_point_a", "x.code_point_b", "x.char_a", "x.char_b", "x.before", "x.after"
-    )
-
-
-def strip_bom_whole(s: S, d: str) -> D:
-    """strip_bom on whole texts; the SQL of that one has their first 40 characters."""
     mark = F.decode(F.unhex(F.lit("FEFF")), "UTF-16BE")
     return rel.documents(s, d).select("doc_id", fc.strip_bom(F.concat(F.repeat(mark, (c("doc_id") % 3).cast("int")), c("text"))).alias("text"))
 
 
-def first_difference_whole(s: S, d: str) -> D:
-    """first_difference on whole texts, with differences anywhere, for every fifth at the end; the SQL of that one has their first 200 characters."""
+def first_difference(s: S, d: str) -> D:
+    """Whole texts, with differences anywhere, for every fifth at the end."""
     last = F.greatest(F.length("text") - 1, F.lit(0))
     at = F.when(c("doc_id") % 5 == 2, last).otherwise((c("doc_id") * 7919 % (last + 1)).cast("int"))
     rows = rel.documents(s, d).withColumn("at", at)
@@ -214,7 +197,7 @@ def first_difference_whole(s: S, d: str) -> D:
 
 
 def text_identity(s: S, d: str) -> D:
-    rows = detect.reference_text(rel.corpus(s, d).withColumn("codec", F.element_at(F.array(*map(F.lit, ["utf-8", "utf-8", "utf-16-le", "utf-16-le", "utf-16-be", "utf-16-be", "utf-32-le", "utf-32-le", "utf-32-be", "utf-32-be", "iso8859-1", "ascii"])), (c("doc_id") % 12 + 1).cast("int"))), "codec")
+    rows = detect.reference_text(declared(rel.corpus(s, d)), "codec")
     return rows.select("doc_id", (c("reference.text") == c("text")).alias("identical"), c("reference.length").cast("long").alias("length"), c("reference.sha256").alias("sha256"), c("reference.round_trip").alias("round_trip"))
 
 
@@ -327,7 +310,9 @@ def uniform_sample(s: S, d: str) -> D:
 
 
 def malformed_refused(s: S, d: str) -> D:
-    return detect.conformance(s).groupBy("codec").agg(F.count("*").alias("n"), score.count_if(c("refused")).alias("refused"))
+    """A row for each codec and implementation: sequences, those refused, and those known to be read."""
+    counted = F.count("*").alias("n"), score.count_if(c("refused")).alias("refused"), score.count_if(c("acknowledged")).alias("acknowledged")
+    return detect.conformance(s).groupBy("codec", "implementation").agg(*counted)
 
 
 def strictness_probe(s: S, d: str) -> D:
@@ -372,15 +357,7 @@ def codec_evidence(s: S, d: str) -> D:
 
 
 def silent_loss(s: S, d: str) -> D:
-    # A byte that UTF-8 cannot have at the end of every fourth file.
-    broken = F.when(c("doc_id") % 48 == 0, F.concat(c("content"), F.unhex(F.lit("FF")))).otherwise(c("content"))
-    rows = rel.corpus(s, d).filter("doc_id % 12 = 0").withColumns({"content": broken, "codec": F.lit("utf-8")})
-    rows = detect.diagnosed(detect.diagnosed(rows, "codec", "production", "production"), "codec", "strict", "strict")
-    return detect.silent_loss(rows).select("doc_id", "silent_loss", F.coalesce("strict.stage", F.lit("")).alias("stage"))
-
-
-def silent_loss_whole(s: S, d: str) -> D:
-    """silent_loss over all encodings; the SQL of that one has UTF-8 only. A byte FF ends every fourth file of each: Latin-1 alone can have it there."""
+    """A byte FF ends every fourth file of each encoding: Latin-1 alone can have it there."""
     broken = F.when(c("doc_id") % 48 < 12, F.concat(c("content"), F.unhex(F.lit("FF")))).otherwise(c("content"))
     rows = declared(rel.corpus(s, d)).withColumn("content", broken)
     rows = detect.diagnosed(detect.diagnosed(rows, "codec", "production", "production"), "codec", "strict", "strict")
@@ -388,19 +365,15 @@ def silent_loss_whole(s: S, d: str) -> D:
 
 
 def oracle_readings(s: S, d: str) -> D:
-    names = ["utf-8", "utf-8", "utf-16-le", "utf-16-le", "utf-16-be", "utf-16-be", "utf-32-le", "utf-32-le", "utf-32-be", "utf-32-be", "iso8859-1", "ascii"]
-    rows = rel.corpus(s, d).withColumn("codec", F.element_at(F.array(*map(F.lit, names)), (c("doc_id") % 12 + 1).cast("int")))
-    rows = detect.second_reading(detect.reference_text(rows, "codec"), "codec")
+    rows = detect.second_reading(detect.reference_text(declared(rel.corpus(s, d)), "codec"), "codec")
     rows = rows.withColumns({"first": c("reference.text"), "second": fc.strip_bom(c("other"))})
     return integrity.oracle_verdicts(rows, "first", "second").groupBy("codec", "verdict").agg(F.count("*").alias("n"))
 
 
 def hash_recheck(s: S, d: str) -> D:
     """A sample of each declared encoding, with the digests of two implementations."""
-    names = ["utf-8", "utf-8", "utf-16-le", "utf-16-le", "utf-16-be", "utf-16-be", "utf-32-le", "utf-32-le", "utf-32-be", "utf-32-be", "iso8859-1", "ascii"]
     rows = rel.corpus(s, d).select("doc_id", c("declared").alias("Corpus"), c("path").alias("RelativePath"), "content", "text")
-    rows = integrity.uniform_sample(rows).withColumn("codec", F.element_at(F.array(*map(F.lit, names)), (c("doc_id") % 12 + 1).cast("int")))
-    rows = detect.reference_text(rows, "codec").withColumn("stored", c("reference.sha256"))
+    rows = detect.reference_text(declared(integrity.uniform_sample(rows)), "codec").withColumn("stored", c("reference.sha256"))
     wrong = integrity.hash_faults(rows, "text", "stored").select("doc_id", F.lit(True).alias("wrong"))
     joined = rows.select("doc_id", "Corpus").join(wrong, "doc_id", "left")
     return joined.groupBy("Corpus").agg(F.count("*").alias("n"), score.count_if(c("wrong")).alias("wrong"))
@@ -412,12 +385,6 @@ def token_faults(s: S, d: str) -> D:
 
 
 def text_equivalent(s: S, d: str) -> D:
-    rows = rel.corpus(s, d).filter("doc_id % 12 IN (0, 10, 11)").withColumn("other", F.lit("cp1252"))
-    return detect.text_equivalent(rows, "other", "text").select("doc_id", "equivalent")
-
-
-def text_equivalent_whole(s: S, d: str) -> D:
-    """text_equivalent over all encodings; the SQL of that one has three of the twelve."""
     return detect.text_equivalent(rel.corpus(s, d).withColumn("other", F.lit("cp1252")), "other", "text").select("doc_id", "equivalent")
 
 
@@ -426,16 +393,76 @@ def greedy_batches(s: S, d: str) -> D:
     return integrity.greedy_batches(rows, 400).groupBy("codec", "batch").agg(F.count("*").alias("n"))
 
 
+# -- the audit, from files to verdicts ------------------------------------------------------------------------------------
+
+
+def resolved(s: S, d: str) -> D:
+    """The corpus with the reference that its directories give, one file in twenty in a directory out of scope, one in 25 cut short."""
+    rows = rel.corpus(s, d)
+    path = F.when(c("doc_id") % 20 == 3, F.concat(F.lit("node_modules/"), c("path"))).otherwise(c("path"))
+    cut = F.when(c("doc_id") % 25 == 2, F.expr("substring(content, 1, octet_length(content) - 1)")).otherwise(c("content"))
+    files = rows.select("doc_id", path.alias("path"), cut.alias("content"))
+    return classify.resolve_directories(files, False)
+
+
+AUDITED = [
+    "RelativePath", "ReferenceEncodingDeclared", "ReferenceEncoding", "ReferenceMetadataSource", "DetectedEncoding", "DetectedBOM", "OriginalBOM", "OriginalBOMKind", "DetectionMatch",
+    "DetectionTextEquivalent", "ConversionStatus", "ECReasonCode", "OriginalSha256", "ConvertedSha256", "BackupIntegrity", "ByteIdentical", "TextIdentical", "ReferenceTextSha256",
+    "ConvertedTextSha256", "CorpusRoundTrip", "FailureCategory",
+]
+
+
+def audit_rows(s: S, d: str) -> D:
+    """Every file through inventory, conversion, diagnoses and verdicts; sources unnamed."""
+    rows = audit.audited(resolved(s, d), "corpus", explicit=False, forced=False)
+    return rows.select(*[F.coalesce(c(n), F.lit("")).alias(n) if t == "string" else c(n) for n, t in rows.select(*AUDITED).dtypes])
+
+
+def audit_outcomes(s: S, d: str) -> D:
+    """The same with sources named where the policy needs them."""
+    return score.counted(audit.audited(resolved(s, d), "corpus", forced=False), "ReferenceEncoding", "ConversionStatus", "FailureCategory")
+
+
+def directory_references(s: S, d: str) -> D:
+    """C1 for directory corpora."""
+    return resolved(s, d).select("doc_id", "path", "declared", F.coalesce("codec", F.lit("")).alias("codec"), "source")
+
+
+def converter_results(s: S, d: str) -> D:
+    """The report of a converter, as its files name things, joined to the inventory; some files are in no report."""
+    files = classify.resolve_directories(rel.corpus(s, d).select("doc_id", "path", "content", "declared"), False)
+    label = F.when(c("doc_id") % 9 == 0, "(undetected)").when(c("doc_id") % 4 == 0, F.concat(F.upper("declared"), F.lit(" (sure)"))).otherwise(c("declared"))
+    report = rel.corpus(s, d).filter("doc_id % 13 != 6").select(
+        c("path").alias("File"), label.alias("Encoding"), F.when(c("bom") == "BOM", "Yes").otherwise("No").alias("BOM"), F.when(c("doc_id") % 9 == 0, "Skipped").otherwise("Converted").alias("Result"), F.lit("").alias("ReasonCode")
+    )
+    rows = audit.inventory(files, "corpus").join(audit.reported(report), audit.KEY, "left")
+    return rows.select(audit.KEY, F.coalesce("ReferenceEncoding", F.lit("")).alias("reference"), F.coalesce("ConversionStatus", F.lit("MissingConvertedFile")).alias("status"), F.coalesce("DetectedEncoding", F.lit("")).alias("detected"), F.coalesce("DetectedBOM", F.lit("")).alias("bom"))
+
+
+def token_classes(s: S, d: str) -> D:
+    """The class of every file's directory token."""
+    token = F.when(c("declared") == "us-ascii", "ascii").otherwise(F.regexp_replace("declared", "[LB]E$", ""))
+    return rel.corpus(s, d).select("doc_id", fn.token_class(token, c("content")).alias("class"))
+
+
+def legacy_detection(s: S, d: str) -> D:
+    """Texts in four scripts and eleven encodings, whole and cut short: files, those named exactly, and those of the right class."""
+    rows = detect.detect(rel.legacy_corpus(s, d))
+    exact = c("detected_codec") == c("declared")
+    return rows.groupBy("declared").agg(F.count("*").alias("n"), score.count_if(exact).alias("exact"), score.count_if(c("detected_class") == "legacy").alias("legacy"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        bom_kind, bom_kind_counts, inventory, codepoint_sha256, sample_prefix, byte_entropy, utf16_chi_square, nul_channel_ratio, unicode_candidates, utf8_valid, utf8_valid_whole,
+        bom_kind, bom_kind_counts, inventory, codepoint_sha256, sample_prefix, byte_entropy, utf16_chi_square, nul_channel_ratio, unicode_candidates, utf8_valid, ambiguous_marks,
         looks_like_text, detect_corpus, population_by_bucket, claims_by_class, confusion_matrix, overall_metrics, accepted_set_scoring, mismatch_list, run_counters,
         codec_candidates, catalogue_directories, language_codes, directory_codecs, catalog_forward_fill, manifest_classes, scope_filter, filename_crosscheck, strip_bom,
-        strip_bom_whole, first_difference, first_difference_whole, text_identity, outcome_cascade, outcome_counts, coverage_rows, pair_summary, metadata_summary, outcome_pivot, bom_policy, text_loss_risk,
+        first_difference, text_identity, outcome_cascade, outcome_counts, coverage_rows, pair_summary, metadata_summary, outcome_pivot, bom_policy, text_loss_risk,
         refusal_reasons, detection_taxonomy, four_metrics, detection_rollup, top_confusions, missing_codecs, divergences, corpus_rollup, reconcile, run_transitions,
         transition_counts, distribution_shift, coverage_anti_join, row_rule_violations, stratified_sample, uniform_sample, malformed_refused, strictness_probe,
-        strictness_by_page, convert_corpus, forced_reference, codec_evidence, silent_loss, silent_loss_whole,
-        oracle_readings, hash_recheck, token_faults, text_equivalent, text_equivalent_whole, greedy_batches,
+        strictness_by_page, convert_corpus, forced_reference, codec_evidence, silent_loss,
+        oracle_readings, hash_recheck, token_faults, text_equivalent, greedy_batches,
+        audit_rows, audit_outcomes, directory_references, converter_results, token_classes, legacy_detection,
     )
 }

@@ -29,7 +29,8 @@ def sentinels(rows: DataFrame) -> DataFrame:
     return rows.select(*[cell(n) for n in dims.AUDIT_COLUMNS])
 
 
-def write_csv(rows: DataFrame, path: str, single: bool = True) -> None:
+def write_csv(rows: DataFrame, path: str, single: bool = False) -> None:
+    """A folder of CSV files with headers, in the order of rows; single: one file, for tables with a bound of their own."""
     (rows.coalesce(1) if single else rows).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="")
 
 
@@ -44,9 +45,25 @@ def write_inventory(rows: DataFrame, path: str) -> None:
 
 
 def write_summaries(rows: DataFrame, path: str, order: str) -> None:
-    """K6, K7."""
-    write_csv(score.pair_summary(rows), f"{path}/summary.csv")
-    write_csv(score.metadata_summary(rows, order), f"{path}/metadata-summary.csv")
+    """K6, K7: a row for each name or pair of names."""
+    write_csv(score.pair_summary(rows), f"{path}/summary.csv", True)
+    write_csv(score.metadata_summary(rows, order), f"{path}/metadata-summary.csv", True)
+
+
+def write_text(spark: SparkSession, text: str, path: str) -> None:
+    """A bounded text as one file in a folder, in whatever store Spark writes to."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def write_run(rows: DataFrame, inventory: DataFrame, path: str, name: str) -> None:
+    """All files of a run under path/name, which `sources.files.run` reads back; rows should be written or cached before."""
+    spark, root = rows.sparkSession, f"{path}/{name}"
+    write_audit(rows, f"{root}/audit.csv")
+    write_inventory(inventory, f"{root}/inventory.csv")
+    write_summaries(rows, root, "RelativePath")
+    details(rows).write.mode("overwrite").text(f"{root}/audit-details.json")
+    write_text(spark, summary(rows), f"{root}/summary.md")
+    write_text(spark, json.dumps(provenance(spark), indent=2), f"{root}/run.json")
 
 
 def details(rows: DataFrame) -> DataFrame:
@@ -83,17 +100,28 @@ def provenance(spark: SparkSession, repository: str = ".") -> dict:
 
 
 def write_comparison(before: DataFrame, after: DataFrame, path: str) -> bool:
-    """Changed files, their counts, shifts and both runs' metrics; whether a shift is alarming."""
+    """Changed files, their counts, shifts and both runs' metrics, and a page about them; whether a shift is alarming."""
     compare.guarded(before, after)
+    spark = before.sparkSession
     changed = compare.transitions(before, after)
     write_csv(changed.orderBy("verdict", *compare.KEY), f"{path}/before-after-summary.csv")
     shifts = compare.shifts(before, after)
-    write_csv(shifts.orderBy(F.desc(F.abs("share")), "value"), f"{path}/shifts.csv")
+    write_csv(shifts.orderBy(F.desc(F.abs("share")), "value"), f"{path}/shifts.csv", True)
     sides = {n: {r["metric"]: [r["good"], r["total"]] for r in score.four_metrics(df).collect()} for n, df in (("before", before), ("after", after))}
-    before.sparkSession.createDataFrame([(json.dumps(sides, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/metrics.json")
+    write_text(spark, json.dumps(sides, indent=2), f"{path}/metrics.json")
+    # Outcomes and verdicts are closed lists, so these tables are small.
+    moves = compare.transition_counts(changed, "before", "after", "verdict").orderBy("verdict", F.desc("n"), "before", "after")
+    metrics = spark.createDataFrame([(m, *[count_percent(*sides[n][m]) for n in sides]) for m in sides["before"]], "metric string, before string, after string")
+    write_text(spark, "\n".join(["# Before and after", "", *markdown("Metrics", metrics), *markdown("Shifts", shifts.orderBy(F.desc(F.abs("share")), "value")), *markdown("Changed files", moves)]), f"{path}/before-after.md")
     return not shifts.filter("alarm").isEmpty()
 
 
+def markdown(title: str, df: DataFrame) -> list[str]:
+    """A bounded table as lines of Markdown."""
+    cells = [" | ".join("" if v is None else str(v) for v in r) for r in df.collect()]
+    return [f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns), *[f"| {x} |" for x in cells], ""]
+
+
 def count_percent(n: int, total: int) -> str:
     """K3 for the driver's text."""
     return f"{n} ({100.0 * n / total if total else 0.0:.2f}%)"
@@ -122,22 +150,18 @@ def report(judged: DataFrame, counters: dict, title: str, listed: int | None = N
 
 
 def summary(rows: DataFrame) -> str:
-    """K8: the audit's summary in Markdown."""
-    n = rows.count()
-    out = ["# Audit summary", "", f"Files: {n}", ""]
-
-    def table(title: str, df: DataFrame) -> None:
-        out.extend([f"## {title}", "", "| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)])
-        out.extend("| " + " | ".join("" if v is None else str(v) for v in r) + " |" for r in df.collect())
-        out.append("")
-
-    table("Outcomes", score.counted(rows, "FailureCategory").orderBy(F.desc("n"), "FailureCategory"))
-    table("Operational coverage", score.coverage(rows))
-    table("Metrics", score.four_metrics(rows))
-    table("Detection taxonomy", score.taxonomy(rows).orderBy(F.desc("n"), "DetectionOutcome"))
-    table("Text loss", score.text_loss(rows))
-    table("Byte-order marks", score.bom_agreement(rows))
-    table("Refusals", score.refusal_reasons(rows))
-    table("First differences", score.divergences(rows, 15))
-    table("Reconciliation", score.reconciled(rows))
-    return "\n".join(out)
+    """K8: the audit's summary in Markdown, over all and by corpus. Every table has a bound: closed lists, names of encodings, top lists."""
+    out = ["# Audit summary", "", f"Files: {rows.count()}", ""]
+    rows = rows.withColumns({n: F.lit(None).cast("string") for n in dims.AUDIT_COLUMNS if n not in rows.columns})
+    tables = {
+        "Outcomes": score.counted(rows, "FailureCategory").orderBy(F.desc("n"), "FailureCategory"), "Operational coverage": score.coverage(rows), "Metrics": score.four_metrics(rows),
+        "Detection taxonomy": score.taxonomy(rows).orderBy(F.desc("n"), "DetectionOutcome"), "Detection by corpus": score.detection_rollup(rows).orderBy("Corpus"),
+        "Corpora": score.corpus_rollup(rows).orderBy("Corpus"), "Outcomes by corpus": score.counted(rows, "Corpus", "FailureCategory").orderBy("Corpus", F.desc("n"), "FailureCategory"),
+        "Text loss": score.text_loss(rows), "Byte-order marks": score.bom_agreement(rows), "Refusals": score.refusal_reasons(rows), "Encodings without a codec": score.missing_codecs(rows),
+        "Confusions": score.top_confusions(rows).orderBy(F.desc("n"), "ReferenceEncoding", "detected"), "First differences": score.divergences(rows, 15),
+        "Strictness": score.counted(rows.filter("ReferenceEncoding IS NOT NULL"), "ReferenceEncoding", "DecoderStrictness", "EncoderStrictness").orderBy("ReferenceEncoding", "DecoderStrictness"),
+        "Forced reference": score.counted(rows.filter("ForcedReferenceOutcome IS NOT NULL"), "ForcedReferenceOutcome").orderBy(F.desc("n"), "ForcedReferenceOutcome"),
+        "Ground truth": score.counted(rows, "ReferenceMetadataSource").orderBy(F.desc("n"), "ReferenceMetadataSource"), "Named sources": score.counted(rows.filter("ECExplicitSource IS NOT NULL"), "ECExplicitSource").orderBy(F.desc("n"), "ECExplicitSource"),
+        "Reconciliation": score.reconciled(rows),
+    }
+    return "\n".join(out + [line for title, df in tables.items() for line in markdown(title, df)])

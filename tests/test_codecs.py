@@ -68,7 +68,9 @@ def test_conversion_policy():
 
 def test_malformed_sequences_are_refused(spark):
     rows = detect.conformance(spark)
-    assert rows.count() == 36 and rows.filter("NOT refused").count() == 0
+    assert rows.count() == 72 and rows.filter("NOT refused AND NOT acknowledged").count() == 0
+    assert rows.filter("implementation = 'python' AND NOT refused").count() == 0 and rows.filter("acknowledged AND refused").count() == 0
+    assert spark.conf.get("spark.sql.legacy.javaCharsets") == "false" and spark.conf.get("spark.sql.legacy.codingErrorAction") == "false"
 
 
 def test_strictness_pins(spark):
@@ -85,3 +87,22 @@ def test_names():
 def test_unaided(spark):
     rows = spark.createDataFrame([("utf_8",), ("utf-16-le",), ("ascii",), ("cp1252",), (None,)], "n string").select(names.unaided(F.col("n")).alias("u")).collect()
     assert [r["u"] for r in rows] == [True, True, True, False, False]
+
+
+def test_legacy_corpora(spark):
+    """D11 over texts in four scripts: nearly every file gets its class, and most their very encoding."""
+    from helpers import SF
+
+    from glyphsieve.plans import queries
+
+    rows = {r["declared"]: r for r in queries.legacy_detection(spark, SF).collect()}
+    assert len(rows) == 11 and sum(r["n"] for r in rows.values()) == 200
+    assert all(r["legacy"] >= 0.95 * r["n"] for c, r in rows.items())
+    assert sum(r["exact"] for r in rows.values()) >= 0.9 * 200, rows
+
+
+def test_small_rules(spark):
+    assert layer.structure_bearing("utf-8") and layer.structure_bearing("shift_jis") and not layer.structure_bearing("koi8-r") and not layer.structure_bearing("no-such")
+    probes = spark.createDataFrame([("windows-1252", 1252), ("cp1252", 1), ("ibm866", 866)], "name string, value int")
+    rows = spark.createDataFrame([(1, ["x", "windows-1252", "cp1252"]), (2, ["nothing"]), (3, ["ibm866"])], "id int, tries array<string>")
+    assert {r["id"]: r["page"] for r in names.first_available(rows, "tries", probes, "page").collect()} == {1: 1252, 2: None, 3: 866}

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glyphsieve import dims
 from glyphsieve.functions import codec_layer as layer
 from glyphsieve.functions import content as fc
+from glyphsieve.operators import detect
 
 
 def test_truncated_utf8_tails(spark):
@@ -33,9 +34,9 @@ def test_sample_and_header(spark):
         fc.sample(F.col("a"), 0)
 
 
-def test_entropy_native_equals_vectorised(spark):
+def test_entropy_equals_the_layer(spark):
     blobs = [bytes(range(256)) * 4, b"abac", b"x" * 600, "naïve".encode() * 50]
-    rows = fc.entropy(spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blobs)], "id int, content binary"), "id").collect()
+    rows = detect.entropy(spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(blobs)], "id int, content binary"), "id").collect()
     for r in rows:
         assert abs(r["entropy"] - layer.entropy(blobs[r["id"]])) < 1e-9
         assert r["gated"] == (len(blobs[r["id"]]) >= dims.ENTROPY_BYTES and layer.entropy(blobs[r["id"]]) > dims.ENTROPY_BITS)

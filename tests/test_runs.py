@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphsieve import cli, dims
-from glyphsieve.operators import classify, compare, integrity, score
+from glyphsieve.operators import audit, classify, compare, integrity, score
 from glyphsieve.plans import corpus as rel
 from glyphsieve.sources import catalogue, files, sinks
 from helpers import SF
@@ -131,3 +131,71 @@ def test_streaming(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert [r["detected_class"] for r in spark.sql("SELECT * FROM seen").collect()] == ["utf-8"]
+
+
+def test_audit_of_a_folder(spark, tmp_path):
+    """From bytes to a run: every branch of the cascade that a folder can show, and the files of the run read back."""
+    root = tmp_path / "c"
+    texts = {
+        "utf-8-english/a.txt": "naïve café, and more of it".encode(), "utf-8-english/plain.txt": b"plain words only", "koi8-r-ru/b.txt": "Привет, как дела сегодня у тебя".encode("koi8-r"),
+        "utf-16le-en/c.txt": "some longer text".encode("utf-16-le"), "euc-jp-ja/d.txt": "日本語のテキストです。これは長い文章".encode("euc_jp"), "viscii-vi/e.txt": b"abc \xe9", "utf-8-english/cut.txt": "déjà vu é".encode()[:-1],
+        "none-none/f.bin": bytes((i * 37 + (i >> 3) * 11) % 256 for i in range(4096)), "node_modules/x/g.txt": b"skip", "README.md": b"top", "utf-32be-en/h.txt": "\ufeffwide text here".encode("utf-32-be"),
+        "utf-16be-en/wrong.txt": "\ufeffmislabelled text".encode("utf-16-le"), "gb18030-zh/z.txt": "中文文本测试，这是一个比较长的句子。".encode("gb18030"), "euc-kr-ko/k.txt": "한국어 텍스트 테스트 문장입니다".encode("euc_kr"),
+    }
+    for name, data in texts.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_bytes(data)
+    assert cli.run_audit(spark, str(root), "mini", str(tmp_path / "run"), None, "top", None, True) == 0
+    rows = {r["RelativePath"]: r for r in files.typed(files.run(spark, str(tmp_path / "run"))).collect()}
+    assert set(rows) == set(texts) and files.run(spark, str(tmp_path / "run")).columns == dims.AUDIT_COLUMNS
+    verdicts = {p: r["FailureCategory"] for p, r in rows.items()}
+    assert verdicts == {
+        "utf-8-english/a.txt": "PASS", "utf-8-english/plain.txt": "NoOpMislabeled", "koi8-r-ru/b.txt": "PASS", "utf-16le-en/c.txt": "PASS", "euc-jp-ja/d.txt": "PASS", "viscii-vi/e.txt": "UnknownReferenceEncoding",
+        "utf-8-english/cut.txt": "ReferenceDecodeError", "none-none/f.bin": "NoReferenceEncoding", "node_modules/x/g.txt": "OutOfScope", "README.md": "OutOfScope", "utf-32be-en/h.txt": "PASS",
+        "utf-16be-en/wrong.txt": "CorpusByteOrderMislabel", "gb18030-zh/z.txt": "PASS", "euc-kr-ko/k.txt": "PASS",
+    }
+    r = rows["koi8-r-ru/b.txt"]
+    assert r["ECExplicitSource"] == "koi8-r" and r["BackupIntegrity"] == "Verified" and r["TextIdentical"] and r["ReferenceTextSha256"] == r["ConvertedTextSha256"] and r["DecoderStrictness"]
+    assert rows["utf-8-english/plain.txt"]["DetectionTextEquivalent"] and rows["utf-8-english/plain.txt"]["DetectionOutcome"] == "TextEquivalent"
+    assert (tmp_path / "run/mini/inventory.csv").exists() and "## Corpora" in spark.read.text(str(tmp_path / "run/mini/summary.md"), wholetext=True).first()[0]
+    named = {r["RelativePath"]: r["DetectedEncoding"] for r in rows.values()}
+    assert cli.run_audit(spark, str(root), "mini", str(tmp_path / "plain"), None, "top", None, False) == 0
+    unnamed = {r["RelativePath"]: r["FailureCategory"] for r in files.typed(files.run(spark, str(tmp_path / "plain"))).collect()}
+    assert unnamed["koi8-r-ru/b.txt"] == "RefusedByPolicy" and {p for p in unnamed if unnamed[p] != verdicts[p]} == {"koi8-r-ru/b.txt", "euc-jp-ja/d.txt", "gb18030-zh/z.txt", "euc-kr-ko/k.txt"}
+    assert cli.run_check(spark, str(tmp_path / "run")) == 0
+    assert cli.run_compare(spark, str(tmp_path / "run"), str(tmp_path / "plain"), str(tmp_path / "diff"), True) == 0
+    assert "## Changed files" in spark.read.text(str(tmp_path / "diff/before-after.md"), wholetext=True).first()[0] and len(named) == len(texts)
+
+
+def test_audit_of_a_converters_report(spark, tmp_path):
+    """A converter's own report and working copy: verified, spoiled and missing backups, lost files, files in no report."""
+    root = tmp_path / "w"
+    (root / "utf-16LE").mkdir(parents=True)
+    old = "text of some lengths".encode("utf-16-le")
+    for name in ("good", "spoiled", "nobackup", "changed"):
+        (root / f"utf-16LE/{name}.txt").write_bytes(b"text of some lengths" if name != "changed" else b"text of other length")
+        if name != "nobackup":
+            (root / f"utf-16LE/{name}.txt.bak").write_bytes(old)
+    (root / "utf-16LE/unreported.txt").write_bytes(old)
+    (root / "utf-16LE/skipped.txt").write_bytes(old)
+    rows = [(n, "utf-16LE (sure)", "No", "Converted", "") for n in ("good", "spoiled", "nobackup", "changed")] + [("skipped", "(undetected)", "No", "Skipped", "EncodingNotIdentified")]
+    text = "File,Encoding,BOM,Target,TargetBOM,Result,ReasonCode\n" + "".join(f"{root}/utf-16LE/{n}.txt,{e},{b},utf-8,No,{r},{c}\n" for n, e, b, r, c in rows)
+    (tmp_path / "report.csv").write_text("\ufeff" + text, encoding="utf-8")
+    found = files.corpus(spark, str(root))
+    listed = audit.inventory(classify.resolve_directories(found.filter("NOT endswith(path, '.bak')"), True), "w")
+    original = F.when(F.col("RelativePath").contains("spoiled"), F.lit("0" * 64)).otherwise(F.sha2(F.lit(old), 256))
+    listed = listed.withColumn("OriginalSha256", original)
+    out = audit.audit(listed, audit.reported(files.converter_report(spark, str(tmp_path / "report.csv"), str(root))), audit.working_copy(found))
+    got = {r["RelativePath"].split("/")[1][:-4]: r for r in out.collect()}
+    assert {n: r["FailureCategory"] for n, r in got.items()} == {
+        "good": "PASS", "spoiled": "BackupIntegrityFailure", "nobackup": "MissingBackup", "changed": "MappingDifference", "unreported": "MissingConvertedFile", "skipped": "UnknownEncoding",
+    }
+    assert got["changed"]["FirstDifferenceIndex"] == 8 and got["skipped"]["DetectedEncoding"] is None and got["good"]["DetectedEncoding"] == "utf-16-le"
+
+
+def test_sources(spark, tmp_path):
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s" / "a.src").write_text("\ufeffint f() { }", encoding="utf-8")
+    assert [r["text"] for r in files.sources(spark, str(tmp_path / "s" / "*.src")).collect()] == ["int f() { }"]
+    rows = spark.createDataFrame([("a", None), (None, 1)], "x string, n int")
+    assert [json.loads(r["value"]) for r in sinks.diagnosis_json(rows).collect()] == [{"x": "a", "n": None}, {"x": None, "n": 1}]
