@@ -1,4 +1,13 @@
-"""The training-data pipeline: five stages, each one operator's decision on what the one before has kept."""
+"""The training-data pipeline: five stages, each one operator's decision on what the one before has kept.
+
+Every stage but the last gives rows with all columns of its input; the last gives doc_id, ids,
+n_tokens, ids_crc32 and decoded.
+
+Edge cases: null, empty and blank texts have no words, so the first stage drops them. Null
+doc_ids stay; rows that repeat a text are one class, of which the smallest doc_id stays, and
+repeated rows leave one. Very long texts go through whole. An empty table goes through as
+one. Other columns are carried, whatever their names, up to the last stage.
+"""
 
 from __future__ import annotations
 
