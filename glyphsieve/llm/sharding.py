@@ -14,7 +14,7 @@ empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import written
@@ -105,9 +105,8 @@ def numbered(df: DataFrame, key: str, column: str) -> DataFrame:
     pid = F.shiftright("__id", 33)
     held = held.withColumns({"__pid": pid, "__at": F.col("__id").bitwiseAND(F.lit((1 << 33) - 1))})
     # One row per partition, so the running sum is over a bounded table.
-    counts = held.groupBy("__pid").agg(F.count("*").alias("n"))
-    run = F.expr("transform(parts, (p, i) -> struct(p.__pid AS __pid, aggregate(slice(parts, 1, i), 0L, (s, q) -> s + q.n) AS __before))")
-    offsets = counts.agg(F.array_sort(F.collect_list(F.struct("__pid", "n"))).alias("parts")).select(F.explode(run).alias("o")).select("o.*")
+    before = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = held.groupBy("__pid").agg(F.count("*").alias("n")).select("__pid", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("__before"))
     out = held.join(F.broadcast(offsets), "__pid")
     return out.withColumn(column, F.col("__at") + F.col("__before")).drop("__id", "__pid", "__at", "__before")
 

@@ -6,7 +6,8 @@ start, so copies cost nothing further. Nodes are dealt into shards such that eve
 has both ends in at least one shard, and each shard has a BK-tree (children keyed by their
 integer Hamming distance to the parent) of which a search follows only edges within the
 radius. The shards' trees are built where the shard's rows meet: their total size grows
-with the corpus, so they cannot be broadcast whole.
+with the corpus, so they cannot be broadcast whole, and broadcasting them in waves would
+have every row search every tree (figures in the README).
 
 Sharding for 64 bits and radius 3 is exact: of 6 blocks 3 agree, so a node goes to 20
 shards of 31 to 33 shared bits. A shard of over `SHARD_NODES` nodes is dealt again by the
@@ -22,8 +23,11 @@ only links that join components: no link between components is lost, and a class
 copies yields n - 1 links.
 
 Edge cases: a text without words (null, empty, blank) has fingerprint zero and is linked
-like any other. Null doc_ids take part; a class's id is its smallest non-null doc_id.
-Repeated rows give a row each.
+like any other under the contract; `near_duplicates` gives it no shard, so only equal ones
+are one class. Null doc_ids take part; a class's id is its smallest non-null doc_id.
+Repeated rows give a row each; an empty table gives none. A text is held whole in its
+worker, whatever its length, its hashes counted 65,536 at a time. Other columns are carried by
+`keep_one`, whatever their names, and not read by the others.
 """
 
 from __future__ import annotations
@@ -256,7 +260,9 @@ def links(nodes: DataFrame, limit: int = SHARD_NODES) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node of each node's component, by alternating large and small stars.
 
-    Every step is written, so lineage stays short; it ends when a step changes nothing.
+    Every step is written, so lineage stays short; it ends when a step changes nothing. The least
+    neighbours are written too: a join of two tables that are both yet to be dealt is one whose
+    hubs Spark can split over tasks, which it can't where an aggregate has already dealt one side.
     """
     e = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "stars")
 
@@ -268,11 +274,11 @@ def components(edges: DataFrame) -> DataFrame:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lows")
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = written(large.filter("u != v").distinct(), "stars")
         # Small star: smaller neighbours and the node itself get the smallest of them.
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
+        low = written(e.groupBy("u").agg(F.min("v").alias("m")), "lows")
         joined = e.join(low, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         e = written(small.filter("u != v").distinct(), "stars")
@@ -288,7 +294,8 @@ def classes(prints: DataFrame, found: DataFrame) -> DataFrame:
     root = components(found)
     ends = root.select(F.col("node").alias("fp"), "root").unionByName(root.select(F.col("root").alias("fp"), "root").distinct())
     known = first.join(ends, "fp", "left").select("fp", "low", "root")
-    low = known.filter("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("least"))
+    known = written(known, "known")
+    low = written(known.filter("root IS NOT NULL").groupBy("root").agg(F.min("low").alias("least")), "roots")
     ids = known.join(low, "root", "left").select("fp", F.coalesce("least", "low").alias("component_id"))
     return prints.join(ids, "fp")
 

@@ -5,8 +5,10 @@ word-initial pieces, which are the pre-tokens its training text had most often.
 most as many entries as the vocabulary, whatever the corpus. Tier two is a cache in each
 worker, bounded in entries; what it lacks is encoded by the library.
 
-Edge cases: a null text counts as empty: 0 bytes, 0 tokens. Repeated rows and ids give a
-row each. Other columns pass through `count` untouched.
+Edge cases: a null text counts as empty: 0 bytes, 0 tokens; an empty table gives no rows. A
+text is held whole in its worker and cut into parts before it is looked up, so no length is
+too great. Repeated rows and ids give a row each. Other columns pass through `count`
+untouched, but for one that has the name of the count, whatever its case: it is replaced.
 """
 
 from __future__ import annotations
@@ -39,6 +41,9 @@ def _counter(path: str, table) -> Cache:
 
 def count(docs: DataFrame, path: str, text: str = "text", column: str = "n_tokens") -> DataFrame:
     """docs with the number of tokens of a text column."""
+    if column.lower() == text.lower():
+        raise ValueError("the count would replace the text")
+    docs = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c.lower() != column.lower()])
     table = docs.sparkSession.sparkContext.broadcast(frequent_lengths(path))
     at = docs.columns.index(text)
 

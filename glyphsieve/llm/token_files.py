@@ -11,16 +11,19 @@ are bounded in size. The index (Parquet) has file, offset, length, doc_id, start
 
 Edge cases: null text encodes as empty (only the end id); a null doc_id sorts first and is
 flagged; repeated doc_ids give a record each, ordered by text hash. An empty table gives no
-records. A damaged record raises ValueError on reading.
+records. A text is held whole in its worker. Other columns, whatever their names, are not
+read. A damaged record raises ValueError on reading.
 """
 
 from __future__ import annotations
 
+import contextlib
+import math
 import os
 import re
 import struct
-import uuid
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -30,12 +33,14 @@ from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-from .common import mapped, shared_dir, written  # noqa: E402
+from .common import mapped, new_path, written  # noqa: E402
 from .pieces import Bounded, encoded, sized_batches  # noqa: E402
 
 MODEL, END_ID = "word_bpe_49k.json", 1
-#: Text bytes a file is planned for; ids of two bytes take less than that.
-FILE_BYTES = 16 << 20
+#: Text bytes a file is planned for, least and most; ids of two bytes take less than that. Files grow with the square root of the input from GROWING bytes on.
+FILE_BYTES, MOST_BYTES, GROWING = 16 << 20, 512 << 20, 1 << 36
+#: Rows that the driver sees to find the files' limits, and how many of them a file has at least.
+LIMIT_ROWS, FILE_ROWS = 2_000_000, 20
 #: Entries of a worker's memo, and text bytes that are encoded at once.
 MEMO, BATCH = 350_000, 8 << 20
 HEAD, TAIL, FIXED = 12, 5, 14
@@ -138,11 +143,28 @@ def words(path: str) -> WordCache:
     return WordCache(path)
 
 
+def file_bytes(total: int) -> int:
+    """Text bytes a file is planned for, of so many in all."""
+    return min(MOST_BYTES, FILE_BYTES * max(1, math.isqrt(total // GROWING)))
+
+
+@contextlib.contextmanager
+def limits_sampled(spark: SparkSession, parts: int) -> Iterator[None]:
+    """Inside, range partitions are found from a bounded number of rows in all."""
+    key = "spark.sql.execution.rangeExchange.sampleSizePerPartition"
+    held = spark.conf.get(key)
+    spark.conf.set(key, str(max(FILE_ROWS, min(int(held), LIMIT_ROWS // parts))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, held)
+
+
 def write(docs: DataFrame, path: str, model_path: str, end_id: int = END_ID) -> None:
     """Record files of docs (doc_id, text) under path."""
     rows = docs.select("doc_id", "text")
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    parts = max(1, -(-total // FILE_BYTES))
+    parts = max(1, -(-total // file_bytes(total)))
     order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
     placed = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
 
@@ -157,7 +179,10 @@ def write(docs: DataFrame, path: str, model_path: str, end_id: int = END_ID) ->
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     # The line writer adds the end byte.
-    mapped(placed, run, "record binary", True).select(F.expr("substring(record, 1, length(record) - 1)").cast("string").alias("value")).write.text(path)
+    lines = mapped(placed, run, "record binary", True).select(F.expr("substring(record, 1, length(record) - 1)").cast("string").alias("value"))
+    with limits_sampled(docs.sparkSession, parts):
+        # A file a partition, whatever the session says: readers number files by their partitions.
+        lines.write.option("maxRecordsPerFile", 0).text(path)
 
 
 def read(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -215,5 +240,4 @@ def shuffled(index_rows: DataFrame, seed: int) -> DataFrame:
 
 
 def digest(docs: DataFrame, model_path: str) -> DataFrame:
-    path = f"{shared_dir(docs.sparkSession).rstrip('/')}/glyphsieve/token-files-{uuid.uuid4().hex}"
-    return write_indexed(docs, path, model_path).select("doc_id", "start", "n_tokens", "ids_crc32")
+    return write_indexed(docs, new_path(docs.sparkSession, "token-files"), model_path).select("doc_id", "start", "n_tokens", "ids_crc32")

@@ -2,7 +2,7 @@
 
 Three machines are compiled from a public model and composed lazily with each input:
 
-* the normaliser: the dummy prefix, and a space to the space mark (PieceModel.split);
+* the normaliser: the dummy prefix, and a space to the space mark (PieceModel.prepare);
 * the piece transducer: a trie of pieces whose leaves return to the start and emit an id,
   and arcs that emit the UTF-8 byte ids of a character that no piece holds;
 * for BPE models the neighbour acceptor, whose state is the last id: an arc has weight 0
@@ -15,7 +15,9 @@ neighbouring characters every path passes one state, so the input is cut there a
 parts' paths are kept in a bounded cache. Decoding runs the piece transducer backwards.
 
 Edge cases: null texts encode as empty texts do, to no ids, and decode to an empty text. A literal space mark
-decodes as a space, as the library's does. Repeated rows give a row each.
+decodes as a space, as the library's does. Repeated rows give a row each; an empty table
+gives none. A text is held whole in its worker and cut into parts before paths are sought,
+so no length is too great. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -673,3 +673,36 @@ def test_learned_spans(spark):
     found = {i for i, s in expected.items() if s}
     assert {texts.index(t) for t in texts if t.startswith(("2001", "pass word: ABC"))} <= found
     assert not found & {i for i, t in enumerate(texts) if t in ("und 1234567", "he 7654321") or t.startswith("number")}
+
+
+def test_counts_beside_a_column_of_that_name(docs):
+    path = tokenizer(token_counts.MODEL)
+    found = token_counts.count(docs, path)
+    assert [c for c in found.columns if c.lower() == "n_tokens"] == ["n_tokens"] and dict(found.dtypes)["n_tokens"] == "bigint" and found.count() == docs.count()
+    with pytest.raises(ValueError, match="replace"):
+        token_counts.count(docs, path, column="TEXT")
+
+
+def test_file_sizes():
+    assert token_files.file_bytes(30 << 30) == token_files.FILE_BYTES and token_files.file_bytes(10**14) == token_files.MOST_BYTES
+
+
+def test_very_long_texts(spark):
+    """Texts beyond the parts, chunks and slices that operators work in, each against the library."""
+    draw = random.Random(2)
+    words = ["".join(draw.choice("abcdefghijklmno") for _ in range(draw.randint(1, 9))) for _ in range(3000)]
+    long = " ".join(draw.choice(words) for _ in range(450_000))
+    spaced = "x" * 300_000 + "@a.bc " + "7" * 100_000
+    rows = spark.createDataFrame([(1, long), (2, spaced), (3, long + " tail of its own")], "doc_id long, text string")
+    assert len(long) > pieces.PART_CHARS and len(long.split()) > 65_536
+    library = pieces.model(tokenizer(token_counts.MODEL)).library
+    counts = {r["doc_id"]: r["n_tokens"] for r in token_counts.digest(rows, tokenizer(token_counts.MODEL)).collect()}
+    assert counts == {1: len(library.encode(long)), 2: len(library.encode(spaced)), 3: len(library.encode(long + " tail of its own"))}
+    assert len({r["component_id"] for r in simhash.digest(rows.filter("doc_id != 2")).collect()}) == 1
+    assert len({r["component_id"] for r in simhash.near_duplicates(rows).collect()}) == 2
+    gone = {r["doc_id"]: r["n_removed"] for r in repeats.digest(rows).collect()}
+    assert gone == {1: 0, 2: 0, 3: len(long)}
+    spans = {r["doc_id"]: r["spans"] for r in pii.digest(rows).collect()}
+    assert spans[2] == "email:0:300005" and spans[1] == ""
+    measured = {r["doc_id"]: r for r in quality.digest(rows, tokenizer(quality.MODEL)).collect()}
+    assert measured[1]["n_words"] == 450_000 and measured[1]["n_tokens"] == counts[1]
