@@ -12,9 +12,9 @@ smaller doc_id. Equal strings must meet in one task, without shipping every posi
    (by a hash of their bytes, then byte by byte); the least doc_id stands for them. Hot
    segments are cut into their single strings, which have keys of their own, so that a
    passage in a third of all documents is one row a block.
-4. A bucket has all segments of its keys. Equal ones are settled by the least doc_id. Where
-   a key has several different ones, a suffix array over them, built by two-stage sorting,
-   and its adjacent common prefixes find which strings of SPAN bytes they share.
+4. A bucket has all segments of its keys. A suffix array over them, built by two-stage
+   sorting, and its adjacent common prefixes find which strings of SPAN bytes they share, and
+   the least doc_id that has each.
 5. The answers, a bit for each position of a segment, return to the blocks.
 
 Two-stage sorting: suffixes smaller than their successors are sorted directly, all others
@@ -37,7 +37,6 @@ import hashlib
 import math
 import struct
 import uuid
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -222,6 +221,36 @@ def different(raw, start: np.ndarray, count: np.ndarray, number: np.ndarray, fir
 # -- suffix arrays ------------------------------------------------------------------------------
 
 
+def symbol_words(text: np.ndarray) -> tuple[np.ndarray, int]:
+    """The symbols from each place on as one big-endian word, and how many it holds: 8, or 4 of texts with over 256 different ones."""
+    present = np.zeros(int(text.max()) + 1, bool)
+    present[text] = True
+    if present.sum() <= 256:
+        rank = (np.cumsum(present) - 1).astype(np.uint8)
+        return words64(rank[text].tobytes() + bytes(8 * SPAN)).byteswap(), 8
+    return words64(text.astype(">u2").tobytes() + bytes(16 * SPAN)).byteswap()[::2], 4
+
+
+def ordered(words: np.ndarray, step: int, at: np.ndarray, depth: int) -> np.ndarray:
+    """Places in the order of their first `depth` symbols at least: word by word, each time only those that still tie."""
+    at = at[np.argsort(words[at], kind="stable")]
+    word = words[at]
+    new = np.concatenate([[True], word[1:] != word[:-1]])
+    last = len(words) - 1
+    for d in range(step, depth, step):
+        ties = np.flatnonzero(~(new & np.append(new[1:], True)))
+        if not len(ties):
+            break
+        group, own = np.cumsum(new[ties]), at[ties]
+        word = words[np.minimum(own + d, last)]
+        order = np.lexsort((word, group))
+        at[ties], word = own[order], word[order]
+        fresh = new[ties]
+        fresh[1:] |= word[1:] != word[:-1]
+        new[ties] = fresh
+    return at
+
+
 def suffix_array(text: np.ndarray, depth: int = SPAN) -> np.ndarray:
     """Suffixes of text (uint16, its last symbol 0 and least) in the order of their first `depth` symbols at least.
 
@@ -237,10 +266,7 @@ def suffix_array(text: np.ndarray, depth: int = SPAN) -> np.ndarray:
     inside = nxt < n - 1
     rising[inside] = text[nxt[inside]] < text[nxt[inside] + 1]
     rising[n - 1] = True
-    high = text.astype(">u2").tobytes()
-    size = 2 * depth
-    small = np.flatnonzero(rising)
-    small = np.array(sorted(small.tolist(), key=lambda i: high[2 * i : 2 * i + size]), np.int64)
+    small = ordered(*symbol_words(text), np.flatnonzero(rising), depth)
     symbols = int(text.max()) + 1
     # In a bucket the induced suffixes come before the directly sorted ones.
     parts: list[list[np.ndarray]] = [[] for _ in range(symbols)]
@@ -273,16 +299,26 @@ def _induce(text: np.ndarray, rising: np.ndarray, known: np.ndarray, parts: list
 
 
 def common_prefixes(text: np.ndarray, order: np.ndarray, limit: int = SPAN) -> np.ndarray:
-    """Of each suffix with the one before it, up to limit; 0 for the first."""
+    """Of each suffix with the one before it, up to limit; 0 for the first. Compared word by word."""
+    words, step = symbol_words(text)
     out = np.zeros(len(order), np.int64)
     a, b = order[:-1], order[1:]
-    alive = np.arange(len(a))
-    for d in range(limit):
-        alive = alive[(np.maximum(a[alive], b[alive]) + d < len(text))]
-        alive = alive[text[a[alive] + d] == text[b[alive] + d]]
+    alive, last = np.arange(len(a)), len(words) - 1
+    for d in range(0, limit, step):
         if not len(alive):
             break
-        out[alive + 1] += 1
+        differ = words[np.minimum(a[alive] + d, last)] ^ words[np.minimum(b[alive] + d, last)]
+        same = differ == 0
+        out[alive[same] + 1] += step
+        rest, differ = alive[~same], differ[~same]
+        # Equal symbols in front of the first that differs, by halves.
+        for bits in (32, 16, 8):
+            if bits * step >= 64:
+                equal = differ >> np.uint64(64 - bits) == 0
+                out[rest + 1] += np.where(equal, bits * step // 64, 0)
+                differ = np.where(equal, differ << np.uint64(bits), differ)
+        alive = alive[same]
+    out[1:] = np.minimum(np.minimum(out[1:], limit), len(text) - np.maximum(a, b))
     return out
 
 
@@ -527,7 +563,10 @@ def _segments(blocks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
 
 
 def settle(ids: np.ndarray, positions: np.ndarray, owners: np.ndarray, text: bytes) -> np.ndarray:
-    """A flag for each position of the segments of a bucket: removed for a smaller document's sake."""
+    """A flag for each position of the segments of a bucket: removed for a smaller document's sake.
+
+    Segments of one id go into one suffix array, some ids together; those that no other has the id of have nothing to meet.
+    """
     n = len(ids)
     ends = np.cumsum(positions + SPAN - 1)
     begins = (ends - positions - SPAN + 1).tolist()
@@ -537,29 +576,19 @@ def settle(ids: np.ndarray, positions: np.ndarray, owners: np.ndarray, text: byt
     order = np.argsort(ids, kind="stable")
     cut = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
     upto = np.append(cut[1:], n)
-    pool: list[tuple[bytes, int, list[int]]] = []
+    pool: list[int] = []
     size = 0
 
     def flush():
         nonlocal pool, size
-        if pool:
-            for (_, _, members), found in zip(pool, shared_strings([p[0] for p in pool], [p[1] for p in pool]), strict=True):
-                for m in members:
-                    flags[places[m] : places[m] + len(found)] = found
+        for m, found in zip(pool, shared_strings([text[begins[m] : ends[m]] for m in pool], owners[pool].tolist()) if pool else (), strict=True):
+            flags[places[m] : places[m] + len(found)] = found
         pool, size = [], 0
 
     for a, b in zip(cut[upto - cut > 1].tolist(), upto[upto - cut > 1].tolist(), strict=True):
-        texts: dict[bytes, list[int]] = defaultdict(list)
-        for m in order[a:b].tolist():
-            texts[text[begins[m] : ends[m]]].append(m)
-        for segment, members in texts.items():
-            low = min(owners[members].tolist()) if len(members) > 1 else int(owners[members[0]])
-            for m in members:
-                if owners[m] > low:
-                    flags[places[m] : places[m] + positions[m]] = True
-            if len(texts) > 1:
-                pool.append((segment, low, [m for m in members if owners[m] == low]))
-                size += len(segment)
+        own = order[a:b].tolist()
+        pool += own
+        size += int(positions[own].sum()) + (SPAN - 1) * len(own)
         if size > POOL:
             flush()
     flush()
