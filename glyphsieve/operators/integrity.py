@@ -102,7 +102,9 @@ def hash_faults(rows: DataFrame, text: str, stored: str) -> DataFrame:
 def greedy_batches(items: DataFrame, budget: int = dims.BATCH_CHARS, extra: int = dims.BATCH_EXTRA) -> DataFrame:
     """Codec, path, batch: paths of a codec in order, a new batch where the next path would break the budget.
 
-    The running size restarts with each batch, which no window frame expresses; a codec's paths are walked in order.
+    The running size restarts with each batch, which no window frame expresses; a codec's paths are walked in order
+    by one task. Its bound: batches are the command lines of a converter that runs on one machine over one corpus
+    folder, whose paths (some 100 bytes each) that task holds; ten million of them take a gigabyte.
     """
     from .detect import reachable
 

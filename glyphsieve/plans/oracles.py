@@ -114,6 +114,7 @@ SQL = {
     "bom_kind": f"WITH {CORPUS} SELECT doc_id, {_KIND} AS kind, CASE WHEN {_KIND} = '' THEN '' ELSE replace(replace(lower({_KIND}), 'le', 'LE'), 'be', 'BE') || '-bom' END AS class FROM corpus",
     "bom_kind_counts": f"WITH {CORPUS} SELECT {_KIND} AS kind, count(*) AS n FROM corpus GROUP BY 1",
     "inventory": f"WITH {CORPUS} SELECT path, (length(h)//2)::bigint AS size, sha256(unhex(h)) AS sha256, declared, bom FROM corpus",
+    "inventory_rows": f"""WITH {CORPUS} SELECT 'made' AS "Corpus", path AS "RelativePath", (length(h)//2)::bigint AS "OriginalSize", sha256(unhex(h)) AS "OriginalSha256", strftime(make_timestamp((1700000000 + doc_id) * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS "OriginalLastWriteUtc" FROM corpus WHERE doc_id % 10 <> 4""",
     "codepoint_sha256": f"SELECT doc_id, sha256(unhex({_units('%02X%02X0000', 'unicode(ch) % 256, unicode(ch) // 256')})) AS sha256 FROM documents",
     "sample_prefix": f"WITH {CORPUS} SELECT doc_id, (length({_HEAD})//2)::bigint AS n, sha256(unhex({_HEAD})) AS sha256, CASE WHEN length(h) >= 8 THEN substr(h, 1, 8) END AS header FROM corpus",
     "byte_entropy": f"""WITH {CORPUS}, bytes AS (SELECT doc_id, unnest(regexp_extract_all({_HEAD}, '..')) AS b FROM corpus), n AS (SELECT doc_id, b, count(*) AS n FROM bytes GROUP BY 1, 2), p AS (SELECT *, n::double / sum(n) OVER (PARTITION BY doc_id) AS p FROM n),

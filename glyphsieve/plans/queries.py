@@ -30,6 +30,16 @@ def inventory(s: S, d: str) -> D:
     return rel.corpus(s, d).select("path", F.octet_length("content").cast("long").alias("size"), F.sha2("content", 256).alias("sha256"), "declared", "bom")
 
 
+def inventory_rows(s: S, d: str) -> D:
+    """The inventory's own columns; backup files are not in it."""
+    from ..sources import files
+
+    when = F.timestamp_seconds(F.lit(1_700_000_000) + c("doc_id"))
+    path = F.when(c("doc_id") % 10 == 4, F.concat("path", F.lit(".bak"))).otherwise(c("path"))
+    rows = rel.corpus(s, d).select(path.alias("path"), F.octet_length("content").cast("long").alias("length"), when.alias("modified"), "content")
+    return files.inventory(rows, "made")
+
+
 def codepoint_sha256(s: S, d: str) -> D:
     return rel.documents(s, d).select("doc_id", fc.text_sha256(c("text")).alias("sha256"))
 
@@ -455,7 +465,7 @@ def legacy_detection(s: S, d: str) -> D:
 QUERIES = {
     f.__name__: f
     for f in (
-        bom_kind, bom_kind_counts, inventory, codepoint_sha256, sample_prefix, byte_entropy, utf16_chi_square, nul_channel_ratio, unicode_candidates, utf8_valid, ambiguous_marks,
+        bom_kind, bom_kind_counts, inventory, inventory_rows, codepoint_sha256, sample_prefix, byte_entropy, utf16_chi_square, nul_channel_ratio, unicode_candidates, utf8_valid, ambiguous_marks,
         looks_like_text, detect_corpus, population_by_bucket, claims_by_class, confusion_matrix, overall_metrics, accepted_set_scoring, mismatch_list, run_counters,
         codec_candidates, catalogue_directories, language_codes, directory_codecs, catalog_forward_fill, manifest_classes, scope_filter, filename_crosscheck, strip_bom,
         first_difference, text_identity, outcome_cascade, outcome_counts, coverage_rows, pair_summary, metadata_summary, outcome_pivot, bom_policy, text_loss_risk,
