@@ -16,7 +16,7 @@ from collections import Counter
 import numpy as np
 
 from .. import dims
-from .names import resolve_codec
+from .names import resolve_codec, tool_spellings
 
 BOMS = [(b"\xff\xfe\x00\x00", "utf-32-le"), (b"\x00\x00\xfe\xff", "utf-32-be"), (b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")]
 REJECTED = (UnicodeError, LookupError, ValueError)
@@ -310,6 +310,13 @@ def encoder_strictness(codec: str) -> str:
     return "Unknown"
 
 
+def tool_name(codec: str | None) -> str | None:
+    """The first spelling of a codec under which the converter is seen to convert, null if there is none; a codec without a code page has none."""
+    if codec not in dims.CODE_PAGES:
+        return None
+    return next((name for name in tool_spellings(codec) if resolve_codec(name) == codec and convert("probe".encode(codec), None, name)["status"] in ("Converted", "Unchanged")), None)
+
+
 def convert(content: bytes, detected: str | None, explicit: str | None) -> dict:
     """To UTF-8 without BOM. Nothing is written unless decoding, encoding and reading back are exact."""
     out = {"status": "Error", "stage": None, "reason": None, "output": None}

@@ -1,6 +1,6 @@
 """The audit: a row for every file of a corpus, from its bytes to its one outcome.
 
-Operator ids: J3, J4, J5, N13, X4, F10 and the columns that dims.AUDIT_COLUMNS names; the rules are
+Operator ids: J3, J4, J5, N12, N13, X4, F10 and the columns that dims.AUDIT_COLUMNS names; the rules are
 those of the other operator modules. Three relations with a row a file meet by path:
 
 * inventory: what the files were before conversion, with their reference (C1),
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
+from ..functions import codec_layer as layer
 from ..functions import content as fc
 from ..functions import names
 from . import classify, detect
@@ -38,10 +39,12 @@ def convert(files: DataFrame, explicit: bool = True) -> tuple[DataFrame, DataFra
     explicit: the reference codec is named as the source where policy needs one; where the
     converter has no name for it, the file goes unnamed and is marked so (X4).
     """
-    rows = names.with_code_page(detect.detect(files), "codec", "__page")
+    # Each codec that has a code page is tried once, under its spellings.
+    spelled = F.create_map(*[F.lit(x) for codec in dims.CODE_PAGES if (name := layer.tool_name(codec)) for x in (codec, name)])
+    rows = detect.detect(files).withColumn("__spelled", spelled[c("codec")])
     aided = names.unaided(c("codec"))
-    named = F.when(c("codec").isNotNull() & ~aided & c("__page").isNotNull(), c("codec")) if explicit else F.lit(None).cast("string")
-    unsupported = classify.source_unsupported(c("codec"), F.lit(explicit), c("__page").cast("string"), aided)
+    named = F.when(~aided, c("__spelled")) if explicit else F.lit(None).cast("string")
+    unsupported = classify.source_unsupported(c("codec"), F.lit(explicit), c("__spelled"), aided)
     rows = detect.converted(rows.withColumns({"__explicit": named, "__unsupported": F.coalesce(unsupported, F.lit(False))}), "detected_codec", "__explicit")
     status = c("conversion.status")
     results = rows.select(

@@ -1,12 +1,16 @@
-"""Comparison of two runs. Operator ids: A24, A25, J9, J10, J15, Q9, U1, O2, K12."""
+"""Comparison of two runs. Operator ids: A24, A25, J9, J10, J15, Q6, Q9, U1, O2, K12."""
 
 from __future__ import annotations
 
+import difflib
+from itertools import islice
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
 from .classify import transition
+from .detect import reachable, struct_of
 
 KEY = ["Corpus", "RelativePath"]
 
@@ -50,6 +54,30 @@ def drift(members: DataFrame) -> DataFrame:
     return members.withColumn("sha256", F.sha2(text.cast("binary"), 256)).groupBy("member").agg(F.count_distinct("sha256").alias("versions"), F.count_distinct("repository").alias("repositories"))
 
 
+DIFFERENCE = {"context": 2, "lines": 60}
+
+
+def _difference(member, first, second, here, there) -> dict | None:
+    if first is None or second is None:
+        return None
+    lines = difflib.unified_diff(first.split("\n"), second.split("\n"), f"{here}/{member}", f"{there}/{member}", lineterm="", n=DIFFERENCE["context"])
+    return {"difference": "\n".join(islice(lines, DIFFERENCE["lines"]))}
+
+
+def drifted(members: DataFrame) -> DataFrame:
+    """Q6: member, versions (arrays of repositories, most first) and the difference of the two most frequent versions, where there are several.
+
+    A version's own repositories are few (copies of one source), whatever the number of members.
+    """
+    reachable(members.sparkSession)
+    text = F.array_join(F.transform(F.split(F.regexp_replace(F.trim("text"), "\r\n?", "\n"), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), "\n")
+    versions = members.select("member", "repository", text.alias("text")).groupBy("member", "text").agg(F.array_sort(F.collect_set("repository")).alias("own"))
+    ranked = versions.select("member", F.struct((-F.size("own")).alias("order"), "own", "text").alias("v")).groupBy("member").agg(F.array_sort(F.collect_list("v")).alias("v")).filter("size(v) > 1")
+    pick = lambda i, n: F.col("v")[i][n]
+    shown = struct_of("struct<difference:string>", _difference)("member", pick(0, "text"), pick(1, "text"), pick(0, "own")[0], pick(1, "own")[0])
+    return ranked.select("member", F.transform("v", lambda x: x["own"]).alias("versions"), shown["difference"].alias("difference"))
+
+
 def member_body(source: str, signature: str) -> str | None:
     """Q6: the text from a signature to the end of its braces; strings and comments do not count. Null if there is none."""
     at = source.find(signature)

@@ -32,7 +32,7 @@ def reachable(spark: SparkSession) -> None:
 _KINDS = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
 
-def _struct(schema: str, one):
+def struct_of(schema: str, one):
     """An Arrow function that makes a struct of each row, by `one` of its values, which gives the fields or none.
 
     It is marked as not deterministic, so that Spark never evaluates it once more for a filter on what it gives.
@@ -63,7 +63,7 @@ def _detected(content) -> dict | None:
 def detect(df: DataFrame, content: str = "content") -> DataFrame:
     """Df with detected_codec, detected_bom, detected_code_page and detected_class, null where nothing is named."""
     reachable(df.sparkSession)
-    found = _struct("struct<codec:string,bom:boolean>", _detected)(F.substring(F.col(content), 1, dims.SAMPLE_BYTES))
+    found = struct_of("struct<codec:string,bom:boolean>", _detected)(F.substring(F.col(content), 1, dims.SAMPLE_BYTES))
     out = df.withColumn("__d", found)
     out = out.withColumns({"detected_codec": F.col("__d.codec"), "detected_bom": F.col("__d.bom")}).drop("__d")
     out = out.withColumn("detected_code_page", code_pages()[F.col("detected_codec")])
@@ -81,7 +81,7 @@ def _reading(content, codec) -> dict | None:
 def reference_text(df: DataFrame, codec: str, content: str = "content") -> DataFrame:
     """Df with reference (text, length, sha256, verdict, round_trip) under the declared codec."""
     reachable(df.sparkSession)
-    return df.withColumn("reference", _struct("struct<text:string,length:int,sha256:string,verdict:string,round_trip:boolean>", _reading)(content, codec))
+    return df.withColumn("reference", struct_of("struct<text:string,length:int,sha256:string,verdict:string,round_trip:boolean>", _reading)(content, codec))
 
 
 def _equivalent(content, codec, text) -> bool | None:
@@ -95,7 +95,7 @@ def text_equivalent(df: DataFrame, codec: str, text: str, content: str = "conten
     """Df with equivalent: another codec reads the same text."""
     reachable(df.sparkSession)
 
-    run = _struct("struct<same:boolean>", lambda c, k, t: {"same": _equivalent(c, k, t)})
+    run = struct_of("struct<same:boolean>", lambda c, k, t: {"same": _equivalent(c, k, t)})
     return df.withColumn("equivalent", run(content, codec, text)["same"])
 
 
@@ -113,13 +113,13 @@ def evidence(df: DataFrame, reference: str, detected: str, candidates: list[str]
         }
 
     schema = "struct<constraint:double,accepted:boolean,n_plausible:int,n_readings:int,plausible:string>"
-    return df.withColumn("evidence", _struct(schema, one)(content, reference, detected))
+    return df.withColumn("evidence", struct_of(schema, one)(content, reference, detected))
 
 
 def converted(df: DataFrame, detected: str, explicit: str, content: str = "content") -> DataFrame:
     """Df with conversion (status, stage, reason, output)."""
     reachable(df.sparkSession)
-    run = _struct("struct<status:string,stage:string,reason:string,output:binary>", lambda c, d, e: layer.convert(_bytes(c), d, e))
+    run = struct_of("struct<status:string,stage:string,reason:string,output:binary>", lambda c, d, e: layer.convert(_bytes(c), d, e))
     return df.withColumn("conversion", run(content, detected, explicit))
 
 
@@ -131,7 +131,7 @@ def diagnosed(df: DataFrame, codec: str, mode: str, out: str, content: str = "co
     if mode not in ("production", "strict"):
         raise ValueError(f"no such mode: {mode}")
     reachable(df.sparkSession)
-    run = _struct(DIAGNOSIS, lambda c, k: layer.diagnose(_bytes(c), k, True, mode, decode_only) if k is not None else None)
+    run = struct_of(DIAGNOSIS, lambda c, k: layer.diagnose(_bytes(c), k, True, mode, decode_only) if k is not None else None)
     return df.withColumn(out, run(content, codec))
 
 
@@ -155,7 +155,7 @@ def _forced(content, codec, sha256) -> dict | None:
 def forced_reference(df: DataFrame, reference: str, sha256: str, outcome: str, content: str = "content") -> DataFrame:
     """Df with forced, for rows that neither passed nor needed nothing, and have a reference; one pass, others hand over nulls."""
     wanted = F.col(reference).isNotNull() & ~F.col(outcome).isin("PASS", "NoOpCorrect")
-    run = _struct("struct<outcome:string>", _forced)
+    run = struct_of("struct<outcome:string>", _forced)
     return df.withColumn("forced", run(F.when(wanted, F.col(content)), reference, sha256)["outcome"])
 
 
@@ -179,7 +179,7 @@ def _entropy(content) -> dict | None:
 
 def entropy(df: DataFrame, key: str, content: str = "content") -> DataFrame:
     """Key, n_bytes, entropy (bits a byte) and gated: too even a distribution to be text. Rows without bytes are left out."""
-    found = _struct("struct<n_bytes:bigint,entropy:double>", _entropy)(F.substring(F.col(content), 1, dims.SAMPLE_BYTES))
+    found = struct_of("struct<n_bytes:bigint,entropy:double>", _entropy)(F.substring(F.col(content), 1, dims.SAMPLE_BYTES))
     out = df.select(key, found.alias("e")).select(key, "e.*").filter("n_bytes IS NOT NULL")
     return out.withColumn("gated", (F.col("n_bytes") >= dims.ENTROPY_BYTES) & (F.col("entropy") > dims.ENTROPY_BITS))
 
@@ -192,7 +192,7 @@ def _chi_square(content) -> dict | None:
 
 def chi_square(df: DataFrame, key: str, content: str = "content") -> DataFrame:
     """Key, units and each channel's chi-square against a uniform distribution, over whole two-byte units. Rows without any are left out."""
-    found = _struct("struct<units:bigint,chi_even:double,chi_odd:double>", _chi_square)(F.substring(F.col(content), 1, dims.SAMPLE_BYTES))
+    found = struct_of("struct<units:bigint,chi_even:double,chi_odd:double>", _chi_square)(F.substring(F.col(content), 1, dims.SAMPLE_BYTES))
     return df.select(key, found.alias("x")).select(key, "x.*").filter("units IS NOT NULL")
 
 
@@ -207,7 +207,7 @@ def strictness(names: DataFrame) -> DataFrame:
         codec = resolve_codec(name)
         return {"codec": codec, "available": codec is not None, "decoder": layer.decoder_strictness(name), "encoder": layer.encoder_strictness(name)}
 
-    found = names.select("name").distinct().withColumn("s", _struct("struct<codec:string,available:boolean,decoder:string,encoder:string>", one)("name"))
+    found = names.select("name").distinct().withColumn("s", struct_of("struct<codec:string,available:boolean,decoder:string,encoder:string>", one)("name"))
     return found.select("name", "s.codec", code_pages()[F.col("s.codec")].alias("code_page"), "s.available", "s.decoder", "s.encoder")
 
 
@@ -294,7 +294,7 @@ def conformance(spark: SparkSession) -> DataFrame:
     reachable(spark)
     rows = [(codec, payload, (codec, payload) in ACKNOWLEDGED) for codec, payloads in MALFORMED.items() for payload in payloads]
     rows = spark.createDataFrame(rows, "codec string, payload binary, lenient boolean")
-    refused = _struct("struct<refused:boolean>", lambda c, p: {"refused": layer.strict(p, c) is None})
+    refused = struct_of("struct<refused:boolean>", lambda c, p: {"refused": layer.strict(p, c) is None})
     first = rows.select("codec", "payload", F.lit("python").alias("implementation"), refused("codec", "payload")["refused"].alias("refused"), F.lit(False).alias("acknowledged"))
     other = second_reading(rows, "codec", "payload")
     return first.unionByName(other.select("codec", "payload", F.lit("jvm").alias("implementation"), F.col("other").isNull().alias("refused"), F.col("lenient").alias("acknowledged")))

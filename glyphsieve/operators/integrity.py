@@ -92,6 +92,14 @@ def oracle_verdicts(rows: DataFrame, first: str, second: str) -> DataFrame:
     return rows.withColumn("verdict", verdict)
 
 
+def consequential(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """Q8: RelativePath, codec, index and both code points of rows whose readings part although the audit holds their text for preserved."""
+    from ..functions.content import first_difference
+
+    parted = oracle_verdicts(rows, first, second).filter("verdict = 'disagree' AND TextIdentical").withColumn("d", first_difference(F.col(first), F.col(second)))
+    return parted.select("RelativePath", "codec", F.col("d.index").alias("index"), F.col("d.code_point_a").alias("first"), F.col("d.code_point_b").alias("second"))
+
+
 def hash_faults(rows: DataFrame, text: str, stored: str) -> DataFrame:
     """Q3: rows whose stored text digest is not what the JVM computes from the text (the stored one comes from the codec layer)."""
     from ..functions.content import text_sha256

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from glyphsieve import dims
 from glyphsieve.functions import codec_layer as layer
 from glyphsieve.functions import names
-from glyphsieve.operators import detect
+from glyphsieve.operators import detect, integrity
 
 MIXED = "Plain, café, naïve, Ωμέγα, Ж, 日本語, \U0001f600."
 
@@ -106,3 +106,18 @@ def test_small_rules(spark):
     probes = spark.createDataFrame([("windows-1252", 1252), ("cp1252", 1), ("ibm866", 866)], "name string, value int")
     rows = spark.createDataFrame([(1, ["x", "windows-1252", "cp1252"]), (2, ["nothing"]), (3, ["ibm866"])], "id int, tries array<string>")
     assert {r["id"]: r["page"] for r in names.first_available(rows, "tries", probes, "page").collect()} == {1: 1252, 2: None, 3: 866}
+
+
+def test_tool_names():
+    found = {c: layer.tool_name(c) for c in dims.CODE_PAGES}
+    assert found["koi8-r"] == "koi8-r" and found["cp1252"] == "cp1252" and found["utf-16-le"] and layer.tool_name("iso8859-16") is None and layer.tool_name(None) is None
+    assert all(names.resolve_codec(n) == c for c, n in found.items() if n)
+
+
+def test_disagreement_of_readings(spark):
+    """The two implementations map a few signs differently; where the audit rests on them, it is told so."""
+    files = {"same.txt": ("big5", "中文".encode("big5")), "stroke.txt": ("big5", "中".encode("big5") + b"\xa1\xfe"), "bar.txt": ("shift_jis", b"\x81\x5c"), "changed.txt": ("shift_jis", b"\x81\x5c")}
+    rows = spark.createDataFrame([(p, k, b, p != "changed.txt") for p, (k, b) in files.items()], "RelativePath string, codec string, content binary, TextIdentical boolean")
+    rows = detect.second_reading(detect.reference_text(rows, "codec"), "codec").withColumn("first", F.col("reference.text"))
+    found = {r["RelativePath"]: (r["codec"], r["index"], r["first"], r["second"]) for r in integrity.consequential(rows, "first", "other").collect()}
+    assert found == {"stroke.txt": ("big5", 1, "U+FF0F", "U+2571"), "bar.txt": ("shift_jis", 0, "U+2015", "U+2014")}

@@ -119,6 +119,9 @@ def test_mutated_audit_is_caught(spark):
 def test_drift(spark):
     rows = spark.createDataFrame([("a", "m", "x  y\r\n"), ("b", "m", "x y\n"), ("a", "n", "1"), ("b", "n", "2")], "repository string, member string, text string")
     assert {r["member"]: r["versions"] for r in compare.drift(rows).collect()} == {"m": 1, "n": 2}
+    more = rows.unionByName(spark.createDataFrame([("c", "n", "1 "), ("a", "o", "p\nq"), ("b", "o", "p\nr")], rows.schema))
+    shown = {r["member"]: (r["versions"], r["difference"]) for r in compare.drifted(more).collect()}
+    assert shown == {"n": ([["a", "c"], ["b"]], "--- a/n\n+++ b/n\n@@ -1 +1 @@\n-1\n+2"), "o": ([["a"], ["b"]], "--- a/o\n+++ b/o\n@@ -1,2 +1,2 @@\n p\n-q\n+r")}
     assert compare.member_body('int f() { if (x) { "}" } // }\n }', "int f()") == 'int f() { if (x) { "}" } // }\n }' and compare.member_body("int f(", "int g") is None
 
 
