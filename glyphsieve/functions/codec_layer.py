@@ -196,22 +196,33 @@ _FREQUENT = "оеаинтсрвлкмдпуяыьгзбчйхжшюцщэфъ"
 _HAN = {"gb18030": "的一是不在人有我他这个们中来上大为和国地到以说时要就出会可也你对生能而子那得于", "big5": "的一是不在人有我他這個們中來上大為和國地到以說時要就出會可也你對生能而子那得於"}
 
 
+_ASCII, _KANA, _HANGUL = re.compile("[\x00-\x7f]+"), re.compile("[\u3040-\u30ff]+"), re.compile("[\uac00-\ud7a3]+")
+_COMMON = re.compile("[\u3040-\u30ff\uac00-\ud7a3\u4e00-\u9fff、。，！？「」・：；（）《》“”]+")
+_LETTERS = re.compile("[A-Za-z]+")
+_FREQUENT_HAN = {codec: re.compile(f"[{signs}]+") for codec, signs in _HAN.items()}
+
+
+def _held(pattern: re.Pattern, text: str) -> int:
+    """Characters of a text that runs of a pattern hold."""
+    return len(text) - len(pattern.sub("", text))
+
+
 def _east_asian(text: str, codec: str) -> float | None:
     """How well a text fits the script that a multi-byte codec is for; null where it has too little of any."""
-    wide = [c for c in text if ord(c) > 0x7F]
+    wide = _ASCII.sub("", text)
     # In a text of Latin letters a few signs can pass for double bytes.
-    if not wide or 4 * len(wide) < sum(c.isalpha() for c in text) - len(wide):
+    if not wide or 4 * len(wide) < _held(_LETTERS, text):
         return None
-    share = lambda test: sum(map(test, wide)) / len(wide)
-    kana, hangul = share(lambda c: "\u3040" <= c <= "\u30ff"), share(lambda c: "\uac00" <= c <= "\ud7a3")
-    common = kana + hangul + share(lambda c: "\u4e00" <= c <= "\u9fff" or c in "、。，！？「」・：；（）《》“”")
+    share = lambda pattern: _held(pattern, wide) / len(wide)
+    common = share(_COMMON)
     if common <= 0.85:
         return None
+    kana, hangul = share(_KANA), share(_HANGUL)
     if codec in ("euc_jp", "shift_jis"):
         return common + (0.2 if kana > 0.1 else -0.3)
     if codec == "euc_kr":
         return common + (0.2 if hangul > 0.5 else -0.3)
-    return common + min(0.2, share(lambda c: c in _HAN[codec])) - hangul - kana
+    return common + min(0.2, share(_FREQUENT_HAN[codec])) - hangul - kana
 
 
 def legacy(data: bytes) -> str | None:
@@ -226,19 +237,20 @@ def legacy(data: bytes) -> str | None:
             scored.append((round(score, 3), -rank, codec))
     if scored:
         return max(scored)[2]
-    high = Counter(b for b in data if b > 0x7F)
-    if sum(high.values()) > 0.3 * sum(chr(b).isalpha() or b > 0x7F for b in data):
+    counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+    high, letters = int(counts[128:].sum()), int(counts[65:91].sum() + counts[97:123].sum())
+    if high > 0.3 * (high + letters):
         best = None
         for codec in CYRILLIC:
             text = strict(data, codec)
             if text:
-                wide = [c for c in text if ord(c) > 0x7F]
-                score = sum(len(_FREQUENT) - _FREQUENT.index(c) if c in _FREQUENT else -8 for c in wide) / len(wide)
+                wide = Counter(_ASCII.sub("", text))
+                score = sum(n * (len(_FREQUENT) - _FREQUENT.index(c) if c in _FREQUENT else -8) for c, n in wide.items()) / high
                 if score > 12 and (best is None or score > best[0]):
                     best = score, codec
         if best:
             return best[1]
-    return "cp1252" if strict(data, "cp1252") is not None and any(0x80 <= b <= 0x9F for b in high) else "iso8859-1"
+    return "cp1252" if strict(data, "cp1252") is not None and counts[0x80:0xA0].any() else "iso8859-1"
 
 
 def detect(content: bytes | None) -> tuple[str, bool] | None:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from .classify import transition
-from .detect import reachable, struct_of
+from .detect import struct_of
 
 KEY = ["Corpus", "RelativePath"]
 
@@ -69,7 +69,6 @@ def drifted(members: DataFrame) -> DataFrame:
 
     A version's own repositories are few (copies of one source), whatever the number of members.
     """
-    reachable(members.sparkSession)
     text = F.array_join(F.transform(F.split(F.regexp_replace(F.trim("text"), "\r\n?", "\n"), "\n"), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), "\n")
     versions = members.select("member", "repository", text.alias("text")).groupBy("member", "text").agg(F.array_sort(F.collect_set("repository")).alias("own"))
     ranked = versions.select("member", F.struct((-F.size("own")).alias("order"), "own", "text").alias("v")).groupBy("member").agg(F.array_sort(F.collect_list("v")).alias("v")).filter("size(v) > 1")

@@ -37,6 +37,7 @@ def struct_of(schema: str, one):
 
     It is marked as not deterministic, so that Spark never evaluates it once more for a filter on what it gives.
     """
+    reachable(SparkSession.active())
     fields = [part.split(":") for part in schema.removeprefix("struct<").removesuffix(">").split(",")]
     names, kinds = [n for n, _ in fields], [_KINDS[k] for _, k in fields]
 
@@ -62,7 +63,6 @@ def _detected(content) -> dict | None:
 
 def detect(df: DataFrame, content: str = "content") -> DataFrame:
     """Df with detected_codec, detected_bom, detected_code_page and detected_class, null where nothing is named."""
-    reachable(df.sparkSession)
     found = struct_of("struct<codec:string,bom:boolean>", _detected)(F.substring(F.col(content), 1, dims.SAMPLE_BYTES))
     out = df.withColumn("__d", found)
     out = out.withColumns({"detected_codec": F.col("__d.codec"), "detected_bom": F.col("__d.bom")}).drop("__d")
@@ -80,7 +80,6 @@ def _reading(content, codec) -> dict | None:
 
 def reference_text(df: DataFrame, codec: str, content: str = "content") -> DataFrame:
     """Df with reference (text, length, sha256, verdict, round_trip) under the declared codec."""
-    reachable(df.sparkSession)
     return df.withColumn("reference", struct_of("struct<text:string,length:int,sha256:string,verdict:string,round_trip:boolean>", _reading)(content, codec))
 
 
@@ -93,7 +92,6 @@ def _equivalent(content, codec, text) -> bool | None:
 
 def text_equivalent(df: DataFrame, codec: str, text: str, content: str = "content") -> DataFrame:
     """Df with equivalent: another codec reads the same text."""
-    reachable(df.sparkSession)
 
     run = struct_of("struct<same:boolean>", lambda c, k, t: {"same": _equivalent(c, k, t)})
     return df.withColumn("equivalent", run(content, codec, text)["same"])
@@ -101,7 +99,6 @@ def text_equivalent(df: DataFrame, codec: str, text: str, content: str = "conten
 
 def evidence(df: DataFrame, reference: str, detected: str, candidates: list[str], content: str = "content") -> DataFrame:
     """Df with evidence: what the bytes say against the detected codec."""
-    reachable(df.sparkSession)
 
     def one(data, ref, det) -> dict | None:
         if data is None or ref is None:
@@ -118,7 +115,6 @@ def evidence(df: DataFrame, reference: str, detected: str, candidates: list[str]
 
 def converted(df: DataFrame, detected: str, explicit: str, content: str = "content") -> DataFrame:
     """Df with conversion (status, stage, reason, output)."""
-    reachable(df.sparkSession)
     run = struct_of("struct<status:string,stage:string,reason:string,output:binary>", lambda c, d, e: layer.convert(_bytes(c), d, e))
     return df.withColumn("conversion", run(content, detected, explicit))
 
@@ -130,7 +126,6 @@ def diagnosed(df: DataFrame, codec: str, mode: str, out: str, content: str = "co
     """Df with the diagnosis of one conversion under production or strict decoding."""
     if mode not in ("production", "strict"):
         raise ValueError(f"no such mode: {mode}")
-    reachable(df.sparkSession)
     run = struct_of(DIAGNOSIS, lambda c, k: layer.diagnose(_bytes(c), k, True, mode, decode_only) if k is not None else None)
     return df.withColumn(out, run(content, codec))
 
@@ -201,7 +196,6 @@ def chi_square(df: DataFrame, key: str, content: str = "content") -> DataFrame:
 
 def strictness(names: DataFrame) -> DataFrame:
     """Name, code_page, available, decoder and encoder strictness of distinct codec names."""
-    reachable(names.sparkSession)
 
     def one(name) -> dict:
         codec = resolve_codec(name)
@@ -291,7 +285,6 @@ def second_reading(df: DataFrame, codec: str, content: str = "content") -> DataF
 
 def conformance(spark: SparkSession) -> DataFrame:
     """Codec, payload, implementation (python, jvm), refused and acknowledged, a row for each malformed sequence and implementation."""
-    reachable(spark)
     rows = [(codec, payload, (codec, payload) in ACKNOWLEDGED) for codec, payloads in MALFORMED.items() for payload in payloads]
     rows = spark.createDataFrame(rows, "codec string, payload binary, lenient boolean")
     refused = struct_of("struct<refused:boolean>", lambda c, p: {"refused": layer.strict(p, c) is None})
