@@ -29,7 +29,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import mapped, maybe_broadcast, written
@@ -68,6 +68,8 @@ STEPS, GROUP, REACH, LEAST_REACH = 256, 100, 4.0, 0.04
 LONG_TOKENS, ANY_SIZE = 256, -1
 #: Groups up to which their fences are broadcast, checked by counting.
 FENCE_ROWS = 100_000
+#: Entries of a worker's memo, and rejected texts up to which they are broadcast (some 100 bytes each), checked by counting.
+MEMO, REJECTED_ROWS = 100_000, 500_000
 KEY = ["script", "language", "size"]
 
 SCHEMA = (
@@ -130,7 +132,7 @@ def _cache(path: str) -> tuple[Cache, np.ndarray]:
     m = model(path)
     fallback = np.zeros(1 << 16, bool)
     fallback[[i for b, i in m.byte_id.items() if b not in b"\n\r\t"]] = True
-    return Cache(m, lambda t: np.array(m.encode(t), "<u2").tobytes(), b"".join), fallback
+    return Cache(m, lambda t: np.array(m.encode(t), "<u2").tobytes(), b"".join, entries=MEMO), fallback
 
 
 def fertility(path: str, texts: list[str]) -> list[tuple]:
@@ -165,26 +167,27 @@ def figures(doc_ids, texts, path: str) -> list[pa.Array]:
     return [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
 
 
-def with_figures(docs: DataFrame, carried: list[str], path: str) -> DataFrame:
-    """The carried columns of docs as __c0, __c1, ..., and language and all figures."""
-    held = [f"__c{i}" for i in range(len(carried))]
-    own = [f.split()[0] for f in SCHEMA.split(", ")]
+def language_of(docs: DataFrame) -> Column:
     named = {c.lower(): c for c in docs.columns}
-    language = F.coalesce(F.col(f"`{named['lang']}`").cast("string"), F.lit("")) if "lang" in named else F.lit("")
-    rows = docs.select(*[F.col(f"`{c}`").alias(h) for c, h in zip(carried, held, strict=True)], language.alias("language"), F.col("doc_id").alias("__id"), F.col("text").alias("__text"))
-    at = len(held)
+    return F.coalesce(F.col(f"`{named['lang']}`").cast("string"), F.lit("")) if "lang" in named else F.lit("")
 
-    def run(batches):
-        for batch in sized_batches(batches, at + 2, STAGE_BYTES if at else BATCH_BYTES):
-            yield pa.RecordBatch.from_arrays([*batch.columns[: at + 1], *figures(batch.column(at + 1), batch.column(at + 2), path)], names=[*held, "language", *own])
 
-    fields = "".join(f"`{h}` {docs.schema[c].dataType.simpleString()}, " for h, c in zip(held, carried, strict=True))
-    return mapped(rows, run, f"{fields}language string, {SCHEMA}", True)
+def text_key(text: Column) -> Column:
+    """128 bits of a text (null: empty), which stand for it: whatever is measured depends on the text alone."""
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
 
+def measure(docs: DataFrame, path: str, key: bool = False, limit: int = BATCH_BYTES) -> DataFrame:
+    """language, doc_id and all figures; with the text's key if it is asked for."""
+    own = [f.split()[0] for f in SCHEMA.split(", ")]
+    first = ["language", *["text_key"] * key]
+    rows = docs.select("doc_id", "text", language_of(docs).alias("language"), *[text_key(F.col("text")).alias("text_key")] * key)
+
+    def run(batches):
+        for batch in sized_batches(batches, 1, limit):
+            yield pa.RecordBatch.from_arrays([*batch.columns[2:], *figures(batch.column(0), batch.column(1), path)], names=[*first, *own])
 
-def measure(docs: DataFrame, path: str) -> DataFrame:
-    """language, doc_id and all figures."""
-    return with_figures(docs, [], path)
+    return mapped(rows, run, f"language string, {'text_key binary, ' * key}{SCHEMA}", True)
 
 
 def sized(measured: DataFrame) -> DataFrame:
@@ -236,8 +239,8 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
 
 def keep(docs: DataFrame, path: str, group: int = GROUP) -> DataFrame:
-    """The rows of docs that are kept, all columns."""
-    names = docs.columns
-    # Written with all columns, so that texts are measured once and only figures are read for the fences.
-    rows = written(with_figures(docs, names, path), "quality")
-    return judged(rows, group=group).filter("kept").select(*[F.col(f"__c{i}").alias(n) for i, n in enumerate(names)])
+    """The rows of docs that are kept, all columns. Figures are written with their texts' keys, by which rejected rows are found again; texts are not."""
+    rows = judged(written(measure(docs, path, True, STAGE_BYTES), "quality"), group=group)
+    gone = written(rows.filter("NOT kept").select(F.col("text_key").alias("__rejected"), F.col("language").alias("__rejected_language")).distinct(), "rejected")
+    same = (text_key(F.col("text")) == F.col("__rejected")) & (language_of(docs) == F.col("__rejected_language"))
+    return docs.join(maybe_broadcast(gone, REJECTED_ROWS), same, "left_anti")

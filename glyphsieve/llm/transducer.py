@@ -34,12 +34,14 @@ from .common import mapped
 from .pieces import SPACE, STAGE_BYTES, Cache, PieceModel, encoded, model, sized_batches
 
 MODEL = "piece_bpe_32k.model"
+#: Neighbour pairs and parts that a worker keeps; and in a stage of a pipeline, whose executors hold much else.
 PAIR_ENTRIES, MEMO = 500_000, 250_000
+STAGE_PAIRS, STAGE_MEMO = 200_000, 80_000
 UNKNOWN = -1
 
 
 class Transducer:
-    def __init__(self, pieces: PieceModel):
+    def __init__(self, pieces: PieceModel, pair_entries: int = PAIR_ENTRIES):
         self.pieces = pieces
         self.root: dict = {}
         for piece, i in pieces.ids.items():
@@ -48,6 +50,7 @@ class Transducer:
                 node = node.setdefault(c, {})
             node[""] = i
         self.pair_ok: dict[int, bool] = {}
+        self.pair_entries = pair_entries
         self.surface = {i: p.replace(SPACE, " ").encode() for i, p in pieces.text.items()} | {i: bytes([b]) for i, b in pieces.byte_of.items()}
 
     # -- the neighbour acceptor -------------------------------------------------------
@@ -71,7 +74,7 @@ class Transducer:
         if ok is None:
             a, b = self.pieces.text[left], self.pieces.text[right]
             ok = (a[-1] + b[0]) not in self.pieces.pairs or self.merged(a + b) == [a, b]
-            if len(self.pair_ok) >= PAIR_ENTRIES:
+            if len(self.pair_ok) >= self.pair_entries:
                 self.pair_ok.clear()
             self.pair_ok[key] = ok
         return ok
@@ -158,23 +161,23 @@ class Transducer:
 
 
 @lru_cache(maxsize=1)
-def machine(path: str) -> tuple[Transducer, Cache]:
-    t = Transducer(model(path))
+def machine(path: str, pair_entries: int = PAIR_ENTRIES, memo: int = MEMO) -> tuple[Transducer, Cache]:
+    t = Transducer(model(path), pair_entries)
     width = "<u2" if len(t.surface) < 1 << 16 else "<u4"
-    return t, Cache(t.pieces, lambda token: np.array(t.path(token), width).tobytes(), b"".join, entries=MEMO)
+    return t, Cache(t.pieces, lambda token: np.array(t.path(token), width).tobytes(), b"".join, entries=memo)
 
 
-def ids_of(path: str, texts: list[str]) -> list[np.ndarray]:
-    t, cache = machine(path)
+def ids_of(path: str, texts: list[str], *sizes: int) -> list[np.ndarray]:
+    t, cache = machine(path, *sizes)
     cache.claim()
     ids, ends = encoded([t.pieces.prepare(x) for x in texts], cache.all, "<u2" if len(t.surface) < 1 << 16 else "<u4")
     return np.split(ids.astype("<i4"), ends[1:-1])
 
 
-def _columns(path: str, doc_ids, texts: list[str]) -> list:
+def _columns(path: str, doc_ids, texts: list[str], *sizes: int) -> list:
     """doc_id, ids, n_tokens, ids_crc32 and the decoded texts (a list)."""
-    t, _ = machine(path)
-    rows = ids_of(path, texts)
+    t, _ = machine(path, *sizes)
+    rows = ids_of(path, texts, *sizes)
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
     ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*rows, np.empty(0, "<i4")])))
     crc = pa.array([zlib.crc32(r.tobytes()) for r in rows], pa.int64())
@@ -186,7 +189,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         for batch in sized_batches(batches, 1, STAGE_BYTES):
-            *columns, back = _columns(path, batch.column(0), [x or "" for x in batch.column(1).to_pylist()])
+            *columns, back = _columns(path, batch.column(0), [x or "" for x in batch.column(1).to_pylist()], STAGE_PAIRS, STAGE_MEMO)
             yield pa.RecordBatch.from_arrays([*columns, pa.array(back, pa.string())], names=["doc_id", "ids", "n_tokens", "ids_crc32", "decoded"])
 
     return mapped(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>, n_tokens bigint, ids_crc32 bigint, decoded string", True)
