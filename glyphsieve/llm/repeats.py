@@ -12,9 +12,9 @@ smaller doc_id. Equal strings must meet in one task, without shipping every posi
    (by a hash of their bytes, then byte by byte); the least doc_id stands for them. Hot
    segments are cut into their single strings, which have keys of their own, so that a
    passage in a third of all documents is one row a block.
-4. A bucket has all segments of its keys. A suffix array over them, built by two-stage
-   sorting, and its adjacent common prefixes find which strings of SPAN bytes they share, and
-   the least doc_id that has each.
+4. A bucket has all segments of its keys. Equal ones are settled by the least doc_id. Where
+   a key has several different ones, a suffix array over them, built by two-stage sorting,
+   and its adjacent common prefixes find which strings of SPAN bytes they share.
 5. The answers, a bit for each position of a segment, return to the blocks.
 
 Two-stage sorting: suffixes smaller than their successors are sorted directly, all others
@@ -565,7 +565,8 @@ def _segments(blocks: DataFrame, answers: DataFrame, bits: int) -> DataFrame:
 def settle(ids: np.ndarray, positions: np.ndarray, owners: np.ndarray, text: bytes) -> np.ndarray:
     """A flag for each position of the segments of a bucket: removed for a smaller document's sake.
 
-    Segments of one id go into one suffix array, some ids together; those that no other has the id of have nothing to meet.
+    Of equal segments of one id the least owner's stands for all; where an id has several different
+    ones, those go into a suffix array, some ids together.
     """
     n = len(ids)
     ends = np.cumsum(positions + SPAN - 1)
@@ -576,19 +577,29 @@ def settle(ids: np.ndarray, positions: np.ndarray, owners: np.ndarray, text: byt
     order = np.argsort(ids, kind="stable")
     cut = np.flatnonzero(np.concatenate([[True], ids[order][1:] != ids[order][:-1]]))
     upto = np.append(cut[1:], n)
-    pool: list[int] = []
+    pool: list[tuple[bytes, int, list[int]]] = []
     size = 0
 
     def flush():
         nonlocal pool, size
-        for m, found in zip(pool, shared_strings([text[begins[m] : ends[m]] for m in pool], owners[pool].tolist()) if pool else (), strict=True):
-            flags[places[m] : places[m] + len(found)] = found
+        if pool:
+            for (_, _, members), found in zip(pool, shared_strings([p[0] for p in pool], [p[1] for p in pool]), strict=True):
+                for m in members:
+                    flags[places[m] : places[m] + len(found)] = found
         pool, size = [], 0
 
     for a, b in zip(cut[upto - cut > 1].tolist(), upto[upto - cut > 1].tolist(), strict=True):
-        own = order[a:b].tolist()
-        pool += own
-        size += int(positions[own].sum()) + (SPAN - 1) * len(own)
+        texts: dict[bytes, list[int]] = {}
+        for m in order[a:b].tolist():
+            texts.setdefault(text[begins[m] : ends[m]], []).append(m)
+        for segment, members in texts.items():
+            low = min(owners[members].tolist()) if len(members) > 1 else int(owners[members[0]])
+            for m in members:
+                if owners[m] > low:
+                    flags[places[m] : places[m] + positions[m]] = True
+            if len(texts) > 1:
+                pool.append((segment, low, [m for m in members if owners[m] == low]))
+                size += len(segment)
         if size > POOL:
             flush()
     flush()
