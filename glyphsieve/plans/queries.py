@@ -58,13 +58,11 @@ def utf16_chi_square(s: S, d: str) -> D:
 
 
 def nul_channel_ratio(s: S, d: str) -> D:
-    head = fc.sample(c("content"))
-    return rel.corpus(s, d).select("doc_id", F.round(fc.nul_share(head, False), 6).alias("even"), F.round(fc.nul_share(head, True), 6).alias("odd"))
+    return detect.nul_shares(rel.corpus(s, d), "doc_id").select("doc_id", F.round("even", 6).alias("even"), F.round("odd", 6).alias("odd"))
 
 
 def unicode_candidates(s: S, d: str) -> D:
-    head = fc.sample(c("content"))
-    return rel.corpus(s, d).select("doc_id", fc.utf32_order(head).alias("utf32"), fc.utf16_order(head).alias("utf16"))
+    return detect.unicode_candidates(rel.corpus(s, d), "doc_id")
 
 
 def utf8_valid(s: S, d: str) -> D:
