@@ -12,7 +12,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["unicode_candidates"])
+@pytest.mark.parametrize("name", ["unicode_candidates", "nul_channel_ratio"])
 def test_units_are_counted_without_arrays(spark, name):
     text = plan(queries.QUERIES[name](spark, SF))
     assert "regexp_extract_all" not in text and text.count("ArrowEvalPython") == 1
