@@ -29,6 +29,17 @@ def reachable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(p for p in (here, env.get("PYTHONPATH", "")) if p)
 
 
+#: Rows and bytes of an Arrow batch, set where the session has larger ones: files are long, and both sides of the pipe hold whole batches.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    for key, most in ARROW.items():
+        held = spark.conf.get(key)
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(key, str(most))
+
+
 _KINDS = {"string": pa.string(), "boolean": pa.bool_(), "int": pa.int32(), "bigint": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
 
 
@@ -38,6 +49,7 @@ def struct_of(schema: str, one):
     It is marked as not deterministic, so that Spark never evaluates it once more for a filter on what it gives.
     """
     reachable(SparkSession.active())
+    bounded_batches(SparkSession.active())
     fields = [part.split(":") for part in schema.removeprefix("struct<").removesuffix(">").split(",")]
     names, kinds = [n for n, _ in fields], [_KINDS[k] for _, k in fields]
 
@@ -47,7 +59,9 @@ def struct_of(schema: str, one):
             found = one(*(v.as_py() for v in row)) or {}
             for cell, n in zip(cells, names, strict=True):
                 cell.append(found.get(n))
-        return pa.StructArray.from_arrays([pa.array(cell, k) for cell, k in zip(cells, kinds, strict=True)], names=names)
+        made = pa.StructArray.from_arrays([pa.array(cell, k) for cell, k in zip(cells, kinds, strict=True)], names=names)
+        pa.default_memory_pool().release_unused()
+        return made
 
     return F.arrow_udf(run, ", ".join(f"{n} {k}" for n, k in fields)).asNondeterministic()
 
@@ -64,7 +78,11 @@ def _detected(content) -> dict | None:
 def detect(df: DataFrame, content: str = "content") -> DataFrame:
     """Df with detected_codec, detected_bom, detected_code_page and detected_class, null where nothing is named."""
     found = struct_of("struct<codec:string,bom:boolean>", _detected)(F.substring(F.col(content), 1, dims.SAMPLE_BYTES))
-    out = df.withColumn("__d", found)
+    return _named(df.withColumn("__d", found))
+
+
+def _named(out: DataFrame) -> DataFrame:
+    """The columns of detect() from the struct __d."""
     out = out.withColumns({"detected_codec": F.col("__d.codec"), "detected_bom": F.col("__d.bom")}).drop("__d")
     out = out.withColumn("detected_code_page", code_pages()[F.col("detected_codec")])
     return out.withColumn("detected_class", classified(F.col("detected_codec"), F.col("detected_code_page"), F.col("detected_bom")))
@@ -78,9 +96,16 @@ def _reading(content, codec) -> dict | None:
     return found | {"round_trip": layer.round_trips(_bytes(content), text, codec) if text is not None else None}
 
 
+REFERENCE = "struct<text:string,length:int,sha256:string,verdict:string,round_trip:boolean>"
+
+
+def _referred(text: bool):
+    return struct_of(REFERENCE if text else REFERENCE.replace("text:string,", ""), _reading)
+
+
 def reference_text(df: DataFrame, codec: str, content: str = "content") -> DataFrame:
     """Df with reference (text, length, sha256, verdict, round_trip) under the declared codec."""
-    return df.withColumn("reference", struct_of("struct<text:string,length:int,sha256:string,verdict:string,round_trip:boolean>", _reading)(content, codec))
+    return df.withColumn("reference", _referred(True)(content, codec))
 
 
 def _equivalent(content, codec, text) -> bool | None:
@@ -93,8 +118,12 @@ def _equivalent(content, codec, text) -> bool | None:
 def text_equivalent(df: DataFrame, codec: str, text: str, content: str = "content") -> DataFrame:
     """Df with equivalent: another codec reads the same text."""
 
-    run = struct_of("struct<same:boolean>", lambda c, k, t: {"same": _equivalent(c, k, t)})
-    return df.withColumn("equivalent", run(content, codec, text)["same"])
+    return df.withColumn("equivalent", equivalence(codec, text, content))
+
+
+def equivalence(codec: str, text: str, content: str = "content") -> Column:
+    """The verdict of text_equivalent() as an expression."""
+    return struct_of("struct<same:boolean>", lambda c, k, t: {"same": _equivalent(c, k, t)})(content, codec, text)["same"]
 
 
 def evidence(df: DataFrame, reference: str, detected: str, candidates: list[str], content: str = "content") -> DataFrame:
@@ -119,15 +148,42 @@ def converted(df: DataFrame, detected: str, explicit: str, content: str = "conte
     return df.withColumn("conversion", run(content, detected, explicit))
 
 
+CONVERSION = "struct<codec:string,bom:boolean,status:string,stage:string,reason:string,output:binary>"
+
+
+def _detected_converted(content, explicit) -> dict:
+    data = _bytes(content)
+    codec, bom = layer.detect(data) or (None, None)
+    return {"codec": codec, "bom": bom, **layer.convert(data, codec, explicit)}
+
+
+def detected_converted(df: DataFrame, explicit: str, content: str = "content", reference: str | None = None, texts: bool = True) -> DataFrame:
+    """D10, X1 and V9 in one pass over the bytes, by one worker a task: the columns of detect(), conversion, and reference where a codec is given.
+
+    texts False: without output and text, for callers that only ask for verdicts and digests.
+    """
+    made = {"__x": struct_of(CONVERSION if texts else CONVERSION.replace(",output:binary", ""), _detected_converted)(content, explicit)}
+    if reference:
+        made["reference"] = _referred(texts)(content, reference)
+    x = lambda *names: F.struct(*[F.col(f"__x.{n}").alias(n) for n in names])
+    out = df.withColumns(made).withColumns({"__d": x("codec", "bom"), "conversion": x("status", "stage", "reason", *(["output"] if texts else []))})
+    return _named(out.drop("__x"))
+
+
 DIAGNOSIS = "struct<codec:string,stage:string,error:string,message:string,sha256:string,length:int,encoded:int,head:string>"
 
 
 def diagnosed(df: DataFrame, codec: str, mode: str, out: str, content: str = "content", decode_only: bool = False) -> DataFrame:
     """Df with the diagnosis of one conversion under production or strict decoding."""
+    return df.withColumn(out, diagnosis(codec, mode, content, decode_only))
+
+
+def diagnosis(codec: str, mode: str, content: str = "content", decode_only: bool = False) -> Column:
+    """The diagnosis of diagnosed() as an expression, so that several share one pass."""
     if mode not in ("production", "strict"):
         raise ValueError(f"no such mode: {mode}")
     run = struct_of(DIAGNOSIS, lambda c, k: layer.diagnose(_bytes(c), k, True, mode, decode_only) if k is not None else None)
-    return df.withColumn(out, run(content, codec))
+    return run(content, codec)
 
 
 def silent_loss(df: DataFrame) -> DataFrame:

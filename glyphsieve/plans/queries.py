@@ -333,8 +333,12 @@ def strictness_by_page(s: S, d: str) -> D:
 
 def conversions(s: S, d: str) -> D:
     """Every file, unaided where the policy allows, Latin-1 files named for every other one."""
-    rows = detect.detect(rel.corpus(s, d)).withColumn("explicit", F.when((c("declared") == "iso-8859-1") & (c("doc_id") % 24 == 10), "iso8859-1"))
-    return detect.converted(rows, "detected_codec", "explicit")
+    return detect.detected_converted(named(rel.corpus(s, d)), "explicit")
+
+
+def named(rows: D) -> D:
+    """rows with explicit: the source that some are converted from by name."""
+    return rows.withColumn("explicit", F.when((c("declared") == "iso-8859-1") & (c("doc_id") % 24 == 10), "iso8859-1"))
 
 
 def convert_corpus(s: S, d: str) -> D:
@@ -353,7 +357,7 @@ def declared(rows: D) -> D:
 
 
 def forced_reference(s: S, d: str) -> D:
-    rows = detect.reference_text(declared(conversions(s, d)), "codec")
+    rows = detect.detected_converted(declared(named(rel.corpus(s, d))), "explicit", reference="codec", texts=False)
     rows = rows.withColumns({"sha256": c("reference.sha256"), "outcome": F.when(c("conversion.status") == "Converted", "PASS").otherwise("RefusedByPolicy")})
     return detect.forced_reference(rows, "codec", "sha256", "outcome").groupBy("outcome", F.coalesce("forced", F.lit("")).alias("forced")).agg(F.count("*").alias("n"))
 
@@ -368,7 +372,7 @@ def silent_loss(s: S, d: str) -> D:
     """A byte FF ends every fourth file of each encoding: Latin-1 alone can have it there."""
     broken = F.when(c("doc_id") % 48 < 12, F.concat(c("content"), F.unhex(F.lit("FF")))).otherwise(c("content"))
     rows = declared(rel.corpus(s, d)).withColumn("content", broken)
-    rows = detect.diagnosed(detect.diagnosed(rows, "codec", "production", "production"), "codec", "strict", "strict")
+    rows = rows.withColumns({mode: detect.diagnosis("codec", mode) for mode in ("production", "strict")})
     return detect.silent_loss(rows).select("doc_id", "silent_loss", F.coalesce("strict.stage", F.lit("")).alias("stage"))
 
 

@@ -1,7 +1,10 @@
 """Steps whose cost must not outgrow the input: no per-byte rows or arrays in the JVM, few Python passes, no shuffle of contents."""
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from glyphsieve.functions import codec_layer as layer
 from glyphsieve.operators import detect
 from glyphsieve.plans import queries
 
@@ -25,3 +28,12 @@ def test_shares_and_orders(spark):
     assert shares == {0: (None, None), 1: (None, None), 2: (1, 0), 3: (0, 1), 4: (1, 0), 5: (0, 1), 6: (0.5, 1), 7: (1, 0.5), 8: (0, 1), 9: (None, None)}
     orders = {r["id"]: (r["utf32"], r["utf16"]) for r in detect.unicode_candidates(rows, "id").collect()}
     assert orders == {**{i: (None, None) for i in range(10)}, 3: (None, "LE"), 4: (None, "BE"), 6: ("LE", None), 7: ("BE", None), 8: (None, "LE")}
+
+
+@pytest.mark.parametrize(("name", "passes"), [("forced_reference", 2), ("silent_loss", 1), ("claims_by_class", 1)])
+def test_passes_are_few_and_batches_small(spark, name, passes):
+    """Every pass holds a worker and a batch for each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    text = plan(queries.QUERIES[name](spark, SF))
+    assert len([line for line in text.splitlines() if "ArrowEvalPython" in line and "content" in text]) <= passes
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
