@@ -130,6 +130,15 @@ def directory_codecs(dirs: DataFrame, languages: DataFrame | None = None) -> Dat
     return d.select("directory").join(best, "directory", "left")
 
 
+def directory_codec(directory: Column) -> Column:
+    """N3 without language tags, as an expression: the longest prefix of whole segments that is a codec; the registry bounds its table."""
+    table = F.create_map(*[F.lit(x) for pair in codec_names().items() for x in pair])
+    low = F.lower(F.trim(directory))
+    parts = F.split(low, "-")
+    found = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.element_at(table, F.array_join(F.slice(parts, F.lit(1), n), "-")))
+    return F.when(directory.isNotNull() & ~low.isin("none-none", ""), F.get(F.reverse(F.filter(found, lambda x: x.isNotNull())), F.lit(0)))
+
+
 def language_tags(dirs: DataFrame) -> DataFrame:
     """Tag, n: what follows the longest resolving proper prefix, where two directories or more have it."""
     table = F.broadcast(codec_dimension(dirs.sparkSession).select("name", "codec"))

@@ -91,15 +91,19 @@ def resolve_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
 
 def resolve_directories(files: DataFrame, top: bool, languages: DataFrame | None = None) -> DataFrame:
     """C1 for directory corpora: files (path) with declared, codec, bom and source, from the top or the parent directory."""
-    from ..functions.names import directory_codecs
+    from ..functions.names import directory_codec, directory_codecs
 
     dirs = directories(F.col("path"))
     token = F.when(F.size(dirs) > 0, F.element_at(dirs, 1 if top else -1))
     rows = files.withColumns({"__scope": scope(F.col("path")), "__token": token})
     inside = F.col("__scope").isNull() & F.col("__token").isNotNull()
-    codecs = directory_codecs(rows.filter(inside).select(F.col("__token").alias("directory")), languages)
-    # One row per distinct directory name.
-    rows = rows.join(codecs.withColumnRenamed("directory", "__token").withColumnRenamed("codec", "__codec"), "__token", "left")
+    if languages is None:
+        # A few directories can hold all files, so contents are not dealt by their names.
+        rows = rows.withColumn("__codec", directory_codec(F.when(inside, F.col("__token"))))
+    else:
+        codecs = directory_codecs(rows.filter(inside).select(F.col("__token").alias("directory")), languages)
+        # One row per distinct directory name.
+        rows = rows.join(codecs.withColumnRenamed("directory", "__token").withColumnRenamed("codec", "__codec"), "__token", "left")
     none = true(no_reference(F.col("__token")))
     source = F.coalesce(F.col("__scope"), F.when(F.col("__token").isNull(), "OutOfScope").when(none, "NoReferenceEncoding").otherwise("TopLevelDirectory" if top else "ParentDirectory"))
     rows = rows.withColumns({"source": source, "declared": F.when(inside, F.col("__token")).otherwise(""), "bom": F.lit("")})

@@ -30,10 +30,26 @@ def test_shares_and_orders(spark):
     assert orders == {**{i: (None, None) for i in range(10)}, 3: (None, "LE"), 4: (None, "BE"), 6: ("LE", None), 7: ("BE", None), 8: (None, "LE")}
 
 
-@pytest.mark.parametrize(("name", "passes"), [("forced_reference", 2), ("silent_loss", 1), ("claims_by_class", 1)])
+@pytest.mark.parametrize(("name", "passes"), [("forced_reference", 2), ("silent_loss", 1), ("claims_by_class", 1), ("audit_outcomes", 3), ("audit_rows", 3)])
 def test_passes_are_few_and_batches_small(spark, name, passes):
     """Every pass holds a worker and a batch for each task."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     text = plan(queries.QUERIES[name](spark, SF))
     assert len([line for line in text.splitlines() if "ArrowEvalPython" in line and "content" in text]) <= passes
     assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 1000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
+@pytest.mark.parametrize("name", ["audit_rows", "audit_outcomes", "converter_results"])
+def test_contents_are_not_dealt(spark, name):
+    """No join but with a broadcast table has contents on a side."""
+    joins = [j for j in plan(queries.QUERIES[name](spark, SF)).splitlines() if "Join" in j and "rightHint=(strategy=broadcast)" not in j]
+    assert len(joins) <= (1 if name == "converter_results" else 1), joins
+
+
+def test_directory_codec(spark):
+    from glyphsieve.functions import names
+
+    given = [*queries.DIRECTORIES, "None", "", " UTF-8-x ", None]
+    dirs = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "id int, directory string")
+    plain = {r["directory"]: r["codec"] for r in names.directory_codecs(dirs.filter("directory IS NOT NULL")).collect()}
+    assert {r["directory"]: r["codec"] for r in dirs.select("directory", names.directory_codec(F.col("directory")).alias("codec")).collect()} == plain | {None: None}
