@@ -30,7 +30,7 @@ def test_shares_and_orders(spark):
     assert orders == {**{i: (None, None) for i in range(10)}, 3: (None, "LE"), 4: (None, "BE"), 6: ("LE", None), 7: ("BE", None), 8: (None, "LE")}
 
 
-@pytest.mark.parametrize(("name", "passes"), [("forced_reference", 2), ("silent_loss", 1), ("claims_by_class", 1), ("audit_outcomes", 3), ("audit_rows", 3)])
+@pytest.mark.parametrize(("name", "passes"), [("forced_reference", 2), ("silent_loss", 1), ("claims_by_class", 1), ("audit_outcomes", 3), ("audit_rows", 3), ("legacy_detection", 1)])
 def test_passes_are_few_and_batches_small(spark, name, passes):
     """Every pass holds a worker and a batch for each task."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
@@ -53,3 +53,15 @@ def test_directory_codec(spark):
     dirs = spark.createDataFrame([(i, x) for i, x in enumerate(given)], "id int, directory string")
     plain = {r["directory"]: r["codec"] for r in names.directory_codecs(dirs.filter("directory IS NOT NULL")).collect()}
     assert {r["directory"]: r["codec"] for r in dirs.select("directory", names.directory_codec(F.col("directory")).alias("codec")).collect()} == plain | {None: None}
+
+
+def test_cyrillic_weights():
+    """The scores from byte counts are those from the decoded characters."""
+    text = "Съешь же ещё этих мягких французских булок, да выпей чаю" * 3
+    for codec in layer.CYRILLIC:
+        data = text.encode(codec)
+        weights, undefined = layer._cyrillic_weights()[codec]
+        counts = np.bincount(np.frombuffer(data, np.uint8), minlength=256)
+        plain = sum(len(layer._FREQUENT) - layer._FREQUENT.index(x) if x in layer._FREQUENT else -8 for x in text if x > "\x7f")
+        assert not counts[undefined].any() and int(counts[128:] @ weights) == plain
+        assert all((layer.strict(bytes([b]), codec) is None) == (b in undefined) for b in range(256))
