@@ -8,6 +8,7 @@ costly measure hand nulls to it.
 from __future__ import annotations
 
 import contextlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -244,9 +245,10 @@ def _counts(content: bytes | None, even: bool) -> np.ndarray:
 
 def _entropy(content) -> dict | None:
     n = _counts(content, False).sum(axis=0)
-    total, n = int(n.sum()), n[n > 0]
-    # -sum(p log2 p) = log2 N - sum(n log2 n) / N
-    return {"n_bytes": total, "entropy": float(np.log2(total) - (n * np.log2(n)).sum() / total)} if total else None
+    total = int(n.sum())
+    p = (n[n > 0] / max(total, 1)).tolist()
+    # Shares that are powers of two are exact, and so is their sum; a single value gives -0.0, as the sum in SQL does.
+    return {"n_bytes": total, "entropy": -math.fsum(x * math.log2(x) for x in p)} if total else None
 
 
 def entropy(df: DataFrame, key: str, content: str = "content") -> DataFrame:

@@ -50,7 +50,9 @@ def sample_prefix(s: S, d: str) -> D:
 
 
 def byte_entropy(s: S, d: str) -> D:
-    return detect.entropy(rel.corpus(s, d), "doc_id").select("doc_id", "n_bytes", F.round("entropy", 6).alias("entropy"), "gated")
+    # Rounding would lose the sign of -0.0.
+    rounded = F.when(c("entropy") == 0, c("entropy")).otherwise(F.round("entropy", 6))
+    return detect.entropy(rel.corpus(s, d), "doc_id").select("doc_id", "n_bytes", rounded.alias("entropy"), "gated")
 
 
 def utf16_chi_square(s: S, d: str) -> D:

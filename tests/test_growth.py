@@ -1,14 +1,15 @@
 """Steps whose cost must not outgrow the input: no per-byte rows or arrays in the JVM, few Python passes, no shuffle of contents."""
 
+import duckdb
 import numpy as np
 import pytest
+from helpers import SF, same_rows
 from pyspark.sql import functions as F
 
 from glyphsieve.functions import codec_layer as layer
 from glyphsieve.operators import detect
-from glyphsieve.plans import queries
+from glyphsieve.plans import oracles, queries
 
-SF = "/root/testdata/sf0.001"
 
 
 def plan(df) -> str:
@@ -65,3 +66,16 @@ def test_cyrillic_weights():
         plain = sum(len(layer._FREQUENT) - layer._FREQUENT.index(x) if x in layer._FREQUENT else -8 for x in text if x > "\x7f")
         assert not counts[undefined].any() and int(counts[128:] @ weights) == plain
         assert all((layer.strict(bytes([b]), codec) is None) == (b in undefined) for b in range(256))
+
+
+@pytest.mark.parametrize("name", ["byte_entropy"])
+def test_short_files_against_sql(spark, tmp_path, name):
+    """Files of one value, and of values in exact powers of two, which tables of more documents have."""
+    texts = ["A", "AAAA", "-", "AB" * 3, "ABCC" * 3, "AABC" * 48, "é", "A" * 127 + "B"]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(12 * i + v, t) for i, t in enumerate(texts) for v in range(12)], "doc_id bigint, text string").write.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    out, df = con.execute(oracles.SQL[name]), queries.QUERIES[name](spark, str(tmp_path))
+    rows, want = df.collect(), out.fetchall()
+    assert same_rows(rows, df.columns, [d[0] for d in out.description], want), sorted(set(map(str, map(tuple, rows))) ^ set(map(str, want)))[:6]
