@@ -62,7 +62,9 @@ def confusion(df: DataFrame) -> DataFrame:
 
 
 def percent(a: Column, b: Column, digits: int = 6) -> Column:
-    return F.round(F.when(b > 0, 100.0 * a / b).otherwise(0.0), digits)
+    """Rounded as SQL engines round doubles: the scaled double to its nearest integer. Spark's round() takes the decimal digits instead, which differs at ties."""
+    scale = 10.0**digits
+    return F.floor(F.when(b > 0, 100.0 * a / b).otherwise(0.0) * scale + 0.5) / scale
 
 
 def overall(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from helpers import SF, same_rows
 from pyspark.sql import functions as F
 
 from glyphsieve.functions import codec_layer as layer
-from glyphsieve.operators import detect
+from glyphsieve.operators import detect, score
 from glyphsieve.plans import oracles, queries
 
 
@@ -79,3 +79,11 @@ def test_short_files_against_sql(spark, tmp_path, name):
     out, df = con.execute(oracles.SQL[name]), queries.QUERIES[name](spark, str(tmp_path))
     rows, want = df.collect(), out.fetchall()
     assert same_rows(rows, df.columns, [d[0] for d in out.description], want), sorted(set(map(str, map(tuple, rows))) ^ set(map(str, want)))[:6]
+
+
+def test_rates_at_ties(spark):
+    """A matrix of 640,000 rows, where shares end in a five at the seventh digit."""
+    rows = [(a, 640_000) for a in (402, 406, 1000, 639_598, 0, 640_000)] + [(0, 0)]
+    found = spark.createDataFrame(rows, "a long, b long").select("a", "b", score.percent(F.col("a"), F.col("b")).alias("x")).collect()
+    sql = duckdb.connect().execute(f"SELECT a, b, {oracles._share('a', 'b')} FROM (VALUES {str(rows)[1:-1]}) AS t(a, b)").fetchall()
+    assert {(r["a"], r["b"]): r["x"] for r in found} == {(a, b): x for a, b, x in sql}
