@@ -20,6 +20,8 @@ from pyarrow.compute import split_pattern as pc_split
 SPACE = "▁"
 #: Entries a worker keeps before it starts anew, and the longest pre-token that is kept.
 CACHE_ENTRIES, CACHE_CHARS = 150_000, 48
+#: Pre-tokens that are encoded in one go, those of them that make one text for the library, and the characters from which on one is factored instead.
+MANY, LINES, LONG_CHARS = 8192, 64, 1024
 _RUNS = re.compile(" {2,}")
 #: Signs that end words, and one of them after anything but a letter or digit of Latin-1.
 _STOPS = ".,"
@@ -87,6 +89,32 @@ class PieceModel:
             return self.library.encode(token[1:].replace(SPACE, " ")) if len(token) > 1 else [self.ids[SPACE]]
         return self.library.encode("\n" + token)[2:]
 
+    def encode_many(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens that hold no line feed, with a line feed's before each, and the places of those and the end.
+
+        Many are lines of one text, since no piece crosses a line feed. Where that has no id of its own, and in
+        unigram models, whose sums of scores would be rounded otherwise, each is encoded alone.
+        """
+        feed = self.byte_id.get(10, -1)
+        if feed < 0 or self.unigram:
+            found = [np.array([feed, *(self.encode(t) if t else [])], np.int32) for t in tokens]
+            places = np.cumsum([0, *map(len, found)])
+            return np.concatenate([*found, np.empty(0, np.int32)]), places
+        found = [np.array(self.library.encode("\n" + "\n".join(tokens[i : i + LINES])), np.int32)[1:] for i in range(0, len(tokens), LINES)]
+        ids = np.concatenate([*found, np.empty(0, np.int32)])
+        return ids, np.append(np.flatnonzero(ids == feed), len(ids))
+
+    def packed(self, tokens: list[str], kind: str) -> list[bytes]:
+        """encode of each, packed."""
+        ids, places = self.encode_many(tokens)
+        raw, width = ids.astype(kind).tobytes(), np.dtype(kind).itemsize
+        starts, ends = ((places[:-1] + 1) * width).tolist(), (places[1:] * width).tolist()
+        return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+
+    def lengths(self, tokens: list[str]) -> list[int]:
+        """Number of ids of each."""
+        return (np.diff(self.encode_many(tokens)[1]) - 1).tolist()
+
 
 _holders: list["Bounded"] = []
 
@@ -121,12 +149,16 @@ class Bounded(dict):
 
     def keep(self, token: str, value) -> None:
         if len(token) <= self.chars:
-            if len(self) >= self.entries + len(self.fixed):
-                self.old = dict(self)
-                self.clear()
-                self.update(self.fixed)
+            self.room(1)
             self[token] = value
 
+    def room(self, n: int) -> None:
+        """Makes place for n entries."""
+        if len(self) + n > self.entries + len(self.fixed):
+            self.old = dict(self)
+            self.clear()
+            self.update(self.fixed)
+
     def make(self, token: str):
         raise NotImplementedError
 
@@ -143,11 +175,34 @@ class Bounded(dict):
 
 
 class Cache(Bounded):
-    """Pre-token to value: from its factors' values if there are several, else by `encode`."""
+    """Pre-token to value: from its factors' values if there are several, else by `encode`; where `many` gives the values of a list, those that `all` lacks are made by that, unless they are long."""
 
-    def __init__(self, pieces: PieceModel, encode, join, known: dict | None = None, entries: int = CACHE_ENTRIES):
+    def __init__(self, pieces: PieceModel, encode, join, known: dict | None = None, entries: int = CACHE_ENTRIES, many=None):
         super().__init__({"": join([])} | (known or {}), entries)
-        self.pieces, self.encode, self.join = pieces, encode, join
+        self.pieces, self.encode, self.join, self.many = pieces, encode, join, many
+
+    def all(self, tokens: list[str]) -> list:
+        if self.many is None:
+            return super().all(tokens)
+        values = list(map(self.get, tokens))
+        lack = [i for i, v in enumerate(values) if v is None]
+        step = max(1, min(MANY, self.entries))
+        for at in range(0, len(lack), step):
+            fresh = []
+            for i in lack[at : at + step]:
+                token = tokens[i]
+                if token in self.old or len(token) > LONG_CHARS or "\n" in token:
+                    values[i] = self[token]
+                else:
+                    fresh.append(i)
+            names = [tokens[i] for i in fresh]
+            made = self.many(names) if names else []
+            for i, value in zip(fresh, made, strict=True):
+                values[i] = value
+            short = {t: v for t, v in zip(names, made, strict=True) if len(t) <= self.chars}
+            self.room(len(short))
+            self.update(short)
+        return values
 
     def make(self, token: str):
         parts = self.pieces.factors(token)

@@ -88,10 +88,11 @@ def repeated_words(words: list[bytes], size: int = WINDOW) -> int:
     with np.errstate(over="ignore"):
         for k in range(size):
             key = key * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n]
-    _, back, counts = np.unique(key, return_inverse=True, return_counts=True)
-    at = np.flatnonzero(counts[back] > 1)
-    if not len(at):
+    ranked = np.sort(key)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    if not len(twice):
         return 0
+    at = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, key), len(twice) - 1)] == key)
     # Equal keys are confirmed word by word.
     seen = Counter(tuple(words[i : i + size]) for i in at.tolist())
     steps = np.zeros(len(words) + 1, np.int64)
@@ -132,7 +133,7 @@ def _cache(path: str) -> tuple[Cache, np.ndarray]:
     m = model(path)
     fallback = np.zeros(1 << 16, bool)
     fallback[[i for b, i in m.byte_id.items() if b not in b"\n\r\t"]] = True
-    return Cache(m, lambda t: np.array(m.encode(t), "<u2").tobytes(), b"".join, entries=MEMO), fallback
+    return Cache(m, lambda t: np.array(m.encode(t), "<u2").tobytes(), b"".join, entries=MEMO, many=lambda ts: m.packed(ts, "<u2")), fallback
 
 
 def fertility(path: str, texts: list[str]) -> list[tuple]:

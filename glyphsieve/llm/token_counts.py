@@ -35,7 +35,7 @@ _caches: dict[str, Cache] = {}
 def _counter(path: str, table) -> Cache:
     if path not in _caches:
         m = model(path)
-        _caches[path] = Cache(m, lambda t: len(m.encode(t)), sum, table.value)
+        _caches[path] = Cache(m, lambda t: len(m.encode(t)), sum, table.value, many=m.lengths)
     return _caches[path]
 
 

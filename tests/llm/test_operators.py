@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -253,6 +254,60 @@ def test_fertility_figures(docs):
         assert math.isclose(r["entropy"], -(p * np.log2(p)).sum(), abs_tol=1e-9)
 
 
+class Counted:
+    """A library that counts its calls."""
+
+    def __init__(self, library):
+        self.library, self.calls = library, 0
+
+    def encode(self, *args, **named):
+        self.calls += 1
+        return self.library.encode(*args, **named)
+
+
+def rare_texts():
+    """Texts of words that no memo holds, and odd ones."""
+    draw = random.Random(8)
+    rare = [" ".join("".join(draw.choice("abcdeéß日本語😀$▁.,") for _ in range(draw.randint(1, 12))) for _ in range(500)) for _ in range(6)]
+    return [t or "" for _, t in TEXTS] + rare + ["日本語" * 3000, "aB" * 3000 + "\n\n" + "é ", "\n", "▁", " ", "<0x0A> \r\n\t"]
+
+
+@pytest.mark.parametrize("operator", ["quality", "token_counts"])
+def test_library_is_asked_for_many_pre_tokens_at_once(monkeypatch, operator):
+    """However many pre-tokens the memo lacks, a few calls."""
+    m = pieces.PieceModel(tokenizer(quality.MODEL))
+    texts = rare_texts()
+    exact = m.library.encode(texts)
+    m.library = Counted(m.library)
+    if operator == "quality":
+        monkeypatch.setattr(quality, "model", lambda path: m)
+        monkeypatch.setattr(quality, "_cache", quality._cache.__wrapped__)
+        assert [f[0] for f in quality.fertility(m.path, texts)] == list(map(len, exact))
+    else:
+        monkeypatch.setattr(token_counts, "model", lambda path: m)
+        monkeypatch.setattr(token_counts, "_caches", {})
+        cache = token_counts._counter(m.path, SimpleNamespace(value={}))
+        assert pieces.counted([m.prepare(t) for t in texts], cache.all).tolist() == list(map(len, exact))
+    assert m.library.calls < 100
+
+
+def test_memos_of_every_size_give_the_same():
+    m = pieces.PieceModel(tokenizer(quality.MODEL))
+    texts = rare_texts()
+    exact = m.library.encode(texts)
+    prepared = [m.prepare(t) for t in texts]
+    for entries in (1, 7, 1000, 100_000):
+        packed = pieces.Cache(m, lambda t: np.array(m.encode(t), "<u2").tobytes(), b"".join, entries=entries, many=lambda ts: m.packed(ts, "<u2"))
+        lengths = pieces.Cache(m, lambda t: len(m.encode(t)), sum, entries=entries, many=m.lengths)
+        for _ in range(2):
+            ids, ends = pieces.encoded(prepared, packed.all, "<u2")
+            assert [x.tolist() for x in np.split(ids, ends[1:-1])] == exact
+            assert pieces.counted(prepared, lengths.all).tolist() == list(map(len, exact))
+            assert len(packed) <= entries + 1 and len(lengths) <= entries + 1
+    m.unigram = True  # each alone
+    assert m.packed(["", "▁the", "日本"], "<u2") == [np.array(m.encode(t) if t else [], "<u2").tobytes() for t in ("", "▁the", "日本")] and m.lengths([]) == []
+
+
 def plain_fences(rows):
     """(chars_low, chars_high, bits_low, bits_high) of each group, by sorting."""
     groups = {}
